@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import brown, packing, simhash, substrings
+from ledgerleaf.llm import brown, packing, simhash, substrings, toxicity
 
 QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op8_brown_lm": brown.op8_brown_lm,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
