@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import brown, packing, simhash, substrings, toxicity
+from ledgerleaf.llm import brown, decontaminate, packing, simhash, substrings, toxicity
 
 QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_brown_lm": brown.op8_brown_lm,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
