@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import brown, decontaminate, embeddings, packing, simhash, substrings, toxicity
+from ledgerleaf.llm import brown, decontaminate, embeddings, lines, packing, simhash, substrings, toxicity
 
 QUERIES = {
     "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_brown_lm": brown.op8_brown_lm,
