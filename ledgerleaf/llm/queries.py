@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import brown, decontaminate, embeddings, lines, packing, simhash, substrings, toxicity
+from ledgerleaf.llm import brown, decontaminate, embeddings, lines, packing, simhash, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_line_dedup": lines.op5_line_dedup,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_warc": warc.SQL}
