@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import brown, decontaminate, embeddings, lines, packing, simhash, substrings, toxicity, warc
+from ledgerleaf.llm import brown, decontaminate, embeddings, languages, lines, packing, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_language_id": languages.op2_language_id,
     "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_line_dedup": lines.op5_line_dedup,
