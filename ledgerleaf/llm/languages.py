@@ -33,7 +33,7 @@ class Settings:
     strength: float = 5.0  # rows that the prior of a level weighs in the next
     declared_right: float = 0.9
     suffix_right: float = 0.8
-    most_bits: float = 5.5  # a byte; a text that no language explains better is rejected
+    most_bits: float = 6.0  # a byte; a text that no language explains better is rejected
     least_posterior: float = 0.5
 
 
@@ -66,14 +66,15 @@ class Model:
     seen: np.ndarray = field(default_factory=lambda: np.zeros((TRIPLES, 0), bool))
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's log-likelihood in each language, and how many bytes it is over."""
+        """Each text's log-likelihood in each language, and how many bytes it is over; 1 at least where there is any letter."""
         pair, triple, last, text = grams(data, offsets)
         n = len(offsets) - 1
         out = np.zeros((n, len(self.names)))
         for k in range(len(self.names)):
             p = self.per_pair[pair, k] + np.where(self.seen[triple, k], self.table[triple, k], self.one[last, k])
             out[:, k] = np.bincount(text, np.minimum(p, 0.0), n)
-        return out, np.bincount(text, minlength=n)
+        some = np.concatenate([[0], np.cumsum(letters(data) != 32)])[offsets]
+        return out, np.maximum(np.bincount(text, minlength=n), np.diff(some) > 0)
 
 
 def fit(labelled: DataFrame, settings: Settings) -> Model:
