@@ -123,17 +123,17 @@ class Index:
         self.ids = ids
         self.values = [values(t, t.words.first[i], t.words.first[i + 1], data) for i in range(len(ids))]
         count = t.words.counts
-        rows = []
+        rows = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         self.sizes = sorted({min(size, int(c)) for c in count if c >= 3})
         for s in self.sizes:
             h, at = windows(t, s)
             item = t.words.text_of()[at]
             own = np.minimum(count[item], size) == s
             rows.append((h[own], item[own], t.words.place()[at][own]))
-        h, item, place = (np.concatenate(x) if rows else np.zeros(0, np.int64) for x in (zip(*rows, strict=True) if rows else ((), (), ())))
+        h, item, place = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(h, kind="stable")
         self.h, self.item, self.place = h[order], item[order], place[order]
-        self.total = np.bincount(self.item, minlength=len(ids)) if len(h) else np.zeros(len(ids), np.int64)
+        self.total = np.bincount(self.item, minlength=len(ids))
         bits = np.zeros(1 << 20, bool)
         bits[(self.h >> np.uint64(44)).astype(np.int64)] = True
         self.bits = bits

@@ -168,7 +168,7 @@ def tile_plan(counts: dict[int, int], radius: int, tile_rows: int) -> tuple[list
     return tiles, [(i, j) for i in range(len(spans)) for j in range(i, len(spans)) if spans[j][0] - spans[i][1] <= radius]
 
 
-def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, bits: int = 256, radius: int = 46, tile_rows: int = 20_000) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, bits: int = 256, radius: int = 49, tile_rows: int = 20_000) -> DataFrame:
     """(id, component_id) of every row of docs with a unique id, linked where wide fingerprints differ in `radius` bits or fewer.
 
     Of texts whose shingle counts have the cosine c, each bit differs with probability arccos(c) / pi. A Jaccard similarity of 0.8

@@ -63,8 +63,8 @@ def sent(grp: int, buckets: int, h: np.ndarray, keys: np.ndarray, places: np.nda
     named = wanted[once] & ~twice[once]
     order = np.lexsort((once, ~named, bucket))
     once, bucket, named = once[order], bucket[order], named[order]
-    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(once)], strict=True):
+    cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(once)] if len(once) else []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
         mid = lo + int(named[lo:hi].sum())
         own, rest = once[lo:mid], once[mid:hi]
         yield (int(bucket[lo]), grp, False, h[rest].astype(size).tobytes(), h[own].astype(size).tobytes(), *packed_places(keys[own], places[own]))
