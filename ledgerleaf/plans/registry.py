@@ -301,11 +301,11 @@ def objects_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("order_book", """
 WITH o AS (SELECT o_custkey, list(o_totalprice / 1e5 ORDER BY o_orderkey) AS l, sum(o_totalprice) / 1e5 AS t, max(o_totalprice) / 1e5 AS m FROM orders GROUP BY o_custkey)
-SELECT o_custkey AS entity_id, round(t / 10, 4) AS book_to_revenue, round(list_sum(l[1:5]), 4) AS top5, round(list_sum(l[1:5]) / t * 100, 4) AS top5_pct, round(m / t * 100, 4) AS largest_pct, round(0.4 * 100, 4) AS executable_pct, round((t / 8 - 1) * 100 + 1e-9, 4) AS growth_pct FROM o""")
+SELECT o_custkey AS entity_id, round(t / 10, 4) AS book_to_revenue, round(list_sum(l[1:5]), 4) AS top5, round(list_sum(l[1:5]) / t * 100, 4) AS top5_pct, round(m / t * 100, 4) AS largest_pct, round(0.4 * 100, 4) AS executable_pct, round((t / 8.1 - 1) * 100, 4) AS growth_pct FROM o""")
 def order_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("v", F.col("o_totalprice") / 1e5)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "v"))), lambda x: x["v"])
-    rows = o.groupBy(F.col("o_custkey").alias("entity_id")).agg(ordered.alias("top_orders"), F.sum("v").alias("total_order_book")).withColumns({"sector": F.lit("EPC"), "largest_order": F.lit(None).cast("double"), "executable_12m": F.col("total_order_book") * 0.4, "book_year_ago": F.lit(8.0), "ltm_revenue": F.lit(10.0)})
+    rows = o.groupBy(F.col("o_custkey").alias("entity_id")).agg(ordered.alias("top_orders"), F.sum("v").alias("total_order_book")).withColumns({"sector": F.lit("EPC"), "largest_order": F.lit(None).cast("double"), "executable_12m": F.col("total_order_book") * 0.4, "book_year_ago": F.lit(8.1), "ltm_revenue": F.lit(10.0)})
     return rounded(offer.order_book(rows))
 
 
@@ -675,3 +675,98 @@ def entity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     found = s.select(F.col("s_suppkey").alias("ordinal"), F.concat(F.lit("Firm "), "s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, " Limited").otherwise(" Ltd.")).alias("name"), F.lit("COMPANY").alias("entity_type"), F.col("s_suppkey").alias("page"), F.lit(0.9).alias("confidence"))
     return text.dedupe_entities(found).select(F.regexp_extract("normalized", r"(\d+)", 1).cast("int").alias("normalized_key"), "mentions")
+
+
+# ---- normalisation, parsers and headers ----
+
+
+@query("normalised_history", """
+WITH r AS (SELECT o_custkey AS entity_id, concat('FY', right(cast(year(o_orderdate) AS varchar), 2)) AS fiscal_year, CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.01 WHEN 2 THEN 0.1 END AS f, CASE WHEN o_orderkey % 3 = 0 THEN 'consolidated' WHEN o_orderkey % 3 = 1 THEN 'standalone' ELSE 'other' END AS statement_type, o_orderkey AS k, o_totalprice AS v FROM orders),
+p AS (SELECT *, CASE statement_type WHEN 'consolidated' THEN 0 WHEN 'standalone' THEN 1 ELSE 2 END AS rk FROM r WHERE f IS NOT NULL)
+SELECT entity_id, fiscal_year, cast(right(fiscal_year, 2) AS int) AS fy_key, statement_type, round(v * f + 1e-9, 2) AS revenue FROM p QUALIFY row_number() OVER (PARTITION BY entity_id, fiscal_year ORDER BY rk, CASE WHEN rk = 2 THEN k ELSE -k END) = 1""")
+def normalised_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    raw = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("entity_id"), F.concat(F.lit("FY"), F.right(F.year("o_orderdate").cast("string"), F.lit(2))).alias("fiscal_year"), F.when(k % 4 == 0, "crore").when(k % 4 == 1, "lakh").when(k % 4 == 2, "million").otherwise("stones").alias("unit"),
+        F.when(k % 3 == 0, "consolidated").when(k % 3 == 1, "standalone").otherwise("other").alias("statement_type"), k.alias("ordinal"), F.format_string("%.2f", "o_totalprice").alias("revenue"),
+    )
+    return financials.normalise(raw, ["revenue"]).withColumn("revenue", F.round("revenue", 2))
+
+
+@query("amount_parsers", """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 0 - v WHEN 1 THEN v WHEN 2 THEN v / 100 ELSE 0 END AS statement, CASE o_orderkey % 5 WHEN 0 THEN 0 - v WHEN 3 THEN 0 END AS cell
+FROM (SELECT o_orderkey, cast(o_orderkey % 1000 AS double) AS v FROM orders)""")
+def amount_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    v = (k % 1000).cast("string")
+    raw = F.when(k % 5 == 0, F.concat(F.lit("("), v, F.lit(")"))).when(k % 5 == 1, F.concat(F.lit("₹ "), v, F.lit(" Cr"))).when(k % 5 == 2, F.concat(v, F.lit(" Lakh"))).when(k % 5 == 3, "nil").otherwise("n.m.")
+    return table(spark, sf_dir, "orders").select("o_orderkey", (exprs.amount_statement(raw) + 0.0).alias("statement"), (exprs.amount_cell(raw) + 0.0).alias("cell"))
+
+
+@query("new_age_metrics", "SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN abs(c_acctbal) / 12 END, 4) AS monthly_burn, cast(trunc(CASE WHEN c_acctbal < 0 THEN 500 / (abs(c_acctbal) / 12) END) AS int) AS runway_months FROM customer WHERE c_acctbal <> 0")
+def new_age_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").where("c_acctbal <> 0").select("c_custkey", F.col("c_acctbal").alias("cfo"), *[F.lit(v).alias(k) for k, v in {"cash": 500.0, "revenue": 100.0, "variable_costs": 40.0, "users": 10.0, "gmv": 50.0}.items()])
+    return rounded(financials.new_age_metrics(rows).select("c_custkey", "monthly_burn", "runway_months"))
+
+
+@query("statement_melt", """
+SELECT o_orderkey AS table_id, 'Revenue' AS metric, 'FY2023' AS fiscal_year, floor(o_totalprice) AS value FROM orders UNION ALL SELECT o_orderkey, 'Revenue', 'FY2024', o_custkey FROM orders UNION ALL SELECT o_orderkey, 'Loss', 'FY2023', 0 - cast(o_custkey AS double) FROM orders""")
+def statement_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.melt_statement(_statements(spark, sf_dir)).select("table_id", "metric", "fiscal_year", (F.col("value") + 0.0).alias("value"))
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price, other = F.floor("o_totalprice").cast("long").cast("string"), F.col("o_custkey").cast("string")
+    rows = F.array(F.array(F.lit("Revenue"), price, other), F.array(F.lit(" "), F.lit(""), F.lit("")), F.array(F.lit("Loss"), F.concat(F.lit("("), other, F.lit(")")), F.lit("n.m.")), F.array(F.lit("Total"), price, price))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id"), F.array(*[F.lit(x) for x in ("Particulars", "FY2023", "FY2024")]).alias("headers"), rows.alias("rows"))
+
+
+@query("table_growth", "SELECT o_orderkey AS table_id, 'Revenue' AS metric, 'FY2024' AS fiscal_year, round((o_custkey - floor(o_totalprice)) / floor(o_totalprice) * 100, 2) AS growth FROM orders WHERE floor(o_totalprice) <> 0")
+def table_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.table_growth(text.melt_statement(_statements(spark, sf_dir)))
+
+
+@query("table_classify", "SELECT o_orderkey AS table_id, 'income_statement' AS table_type, round(least(1.0, 2 / (13 * 0.3)), 6) AS confidence FROM orders")
+def table_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.classify_tables(_statements(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("unit_detect", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'crore' WHEN 1 THEN 'lakh' WHEN 2 THEN 'million' ELSE 'actual' END AS unit FROM part")
+def unit_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("₹ in Crores", "in Lakhs", "USD million", "Amount")])
+    none = F.array().cast("array<array<string>>")
+    return table(spark, sf_dir, "part").select("p_partkey", text.unit_of(F.array(names[F.col("p_partkey") % 4]), none).alias("unit"))
+
+
+@query("section_headers")
+def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerleaf.operators import sections
+
+    d = table(spark, sf_dir, "documents")
+    return sections.headers(d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_num"), "text"))
+
+
+@query("cache_misses", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.lit("m").alias("model"))
+    return store.cache_misses(d.where("doc_id % 3 <> 0"), d.where("doc_id % 3 = 0")).select("doc_id")
+
+
+@query("page_validation", "SELECT page_id % 10 AS document_id, count(*) AS page_count, round(count(*) FILTER (page_id // 10 < 10 AND page_id % 3 = 0) / greatest(count(*) FILTER (page_id // 10 < 10), 1), 4) AS scanned_share FROM pages GROUP BY 1")
+def page_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerleaf.sources import pages as scan
+
+    p = table(spark, sf_dir, "pages")
+    rows = p.select((F.col("page_id") % 10).alias("document_id"), (F.floor(F.col("page_id") / 10) + 1).alias("page_num"), F.when(F.col("page_id") % 3 == 0, "").otherwise(F.repeat(F.lit("x"), 300)).alias("text"), F.lit(1).alias("image_count"), F.lit(0.1).alias("image_share"))
+    return rounded(scan.validation(rows).select("document_id", "page_count", "scanned_share"))
+
+
+@query("covenant_summary", "SELECT s_nationkey AS entity_id, count(*) AS n, bool_or(s_suppkey % 11 = 0) AS any_breach FROM supplier GROUP BY s_nationkey")
+def covenant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.covenants(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("entity_id"), (F.col("s_suppkey") % 11 == 0).alias("breached")))
+
+
+@query("promoter_dossier", "SELECT s_name AS name, s_acctbal AS holding, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS directorships FROM supplier")
+def promoter_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").withColumnRenamed("s_name", "name")
+    return offer.dossier(s.select("name"), s.select("name", F.col("s_acctbal").alias("holding")), s.where("s_suppkey % 2 = 0").select("name", F.col("s_nationkey").alias("directorships")))

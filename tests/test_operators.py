@@ -137,3 +137,42 @@ def test_stream_gives_the_batch_windows(spark, tmp_path):
     got = windows.run_once(spark, source, windows.tumbling, str(tmp_path / "check"))
     want = windows.tumbling(windows.events(spark.read.parquet(path)))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_stages_resume_with_their_data(spark, tmp_path):
+    from ledgerleaf.plans import stages
+
+    calls = []
+
+    def step(name, f):
+        return name, lambda df: calls.append(name) or f(df)
+
+    plan = [step("double", lambda d: d.withColumn("x", F.col("x") * 2)), step("sum", lambda d: d.agg(F.sum("x").alias("x")))]
+    source = spark.createDataFrame([(1,), (2,)], "x long")
+    out, ran = stages.run(spark, str(tmp_path), source, plan)
+    assert out.first().x == 6 and ran == ["double", "sum"]
+    out, ran = stages.run(spark, str(tmp_path), source, plan)
+    assert out.first().x == 6 and ran == [] and calls == ["double", "sum"]
+    assert stages.run(spark, str(tmp_path), source.union(source), plan)[1] == ["double", "sum"]
+
+
+def test_headers_levels_names_and_promoters(spark):
+    from ledgerleaf.operators import sections
+
+    p = spark.createDataFrame([(1, 1, "RISK FACTORS\nplain text of no interest at all\n1.2.1 Our Business\n\nRISK FACTORS")], "document_id int, page_num int, text string")
+    got = {r.title: (r.section_type, r.level) for r in sections.headers(p).collect()}
+    assert got == {"RISK FACTORS": ("RISK_FACTORS", 3), "1.2.1 Our Business": ("BUSINESS", 3)}
+    names = spark.createDataFrame([("My Report - Final (v2).pdf",), ("???.pdf",)], "f string").select(sections.document_name(F.col("f"))).collect()
+    assert [r[0] for r in names] == ["My_Report_Final_v2", "document"]
+    s = spark.createDataFrame([(1, "Mr. Ravi Kumar, aged 45, DIN: 01234567, has 20 years of experience. Ms. Asha Rao, DIN 76543210.")], "id int, text string")
+    assert sorted((r.name, r.din, r.age) for r in sections.promoters(s).collect()) == [("Asha Rao", "76543210", None), ("Ravi Kumar", "01234567", 45)]
+
+
+def test_page_layout(spark):
+    from ledgerleaf.sources import pages
+
+    b = [(10.0, 5.0, 50.0, 20.0, "Head"), (12.0, 100.0, 60.0, 120.0, "12 34 56"), (300.0, 100.0, 400.0, 120.0, "1 2 3"), (350.0, 200.0, 400.0, 220.0, "9 9"), (15.0, 780.0, 60.0, 790.0, " Foot ")]
+    df = spark.createDataFrame([(1, 1, "short", 1, 0.9, b, 600.0, 800.0)], "document_id long, page_num int, text string, image_count int, image_share double, blocks array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>, width double, height double")
+    r = df.select(pages.has_tables(F.col("blocks")), pages.is_multi_column(F.col("blocks"), F.col("width")), pages.edge_text(F.col("blocks"), F.col("height"), True), pages.edge_text(F.col("blocks"), F.col("height"), False)).first()
+    assert tuple(r) == (True, True, "Head", "Foot")
+    assert pages.validation(df).first().mostly_scanned and pages.page_range(df, 0, 1).count() == 1 and pages.page_range(df, 1, 5).count() == 0
