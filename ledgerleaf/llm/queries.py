@@ -16,4 +16,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
-ORACLE_SQL = {"op1_warc": warc.SQL}
+ORACLE_SQL = {"op1_warc": warc.SQL, "op3_embedding_near_dedup": embeddings.SQL, "op6_substring_dedup": substrings.SQL}
