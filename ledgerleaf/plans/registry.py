@@ -301,7 +301,7 @@ def objects_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("order_book", """
 WITH o AS (SELECT o_custkey, list(o_totalprice / 1e5 ORDER BY o_orderkey) AS l, sum(o_totalprice) / 1e5 AS t, max(o_totalprice) / 1e5 AS m FROM orders GROUP BY o_custkey)
-SELECT o_custkey AS entity_id, round(t / 10, 4) AS book_to_revenue, round(list_sum(l[1:5]), 4) AS top5, round(list_sum(l[1:5]) / t * 100, 4) AS top5_pct, round(m / t * 100, 4) AS largest_pct, round(0.4 * 100, 4) AS executable_pct, round((t / 8.1 - 1) * 100, 4) AS growth_pct FROM o""")
+SELECT o_custkey AS entity_id, round(t / 10, 4) AS book_to_revenue, round(list_sum(l[1:5]), 4) AS top5, round(list_sum(l[1:5]) / t * 100, 4) AS top5_pct, round(m / t * 100, 4) AS largest_pct, 40.0::DOUBLE AS executable_pct, round((t / 8.1 - 1) * 100, 4) AS growth_pct FROM o""")
 def order_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("v", F.col("o_totalprice") / 1e5)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "v"))), lambda x: x["v"])
