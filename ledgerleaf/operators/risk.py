@@ -220,3 +220,29 @@ def veto_flags(inputs: DataFrame) -> DataFrame:
 
 def covenants(rows: DataFrame, by: str = "entity_id") -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("breached"), F.lit(False)).alias("any_breach"))
+
+
+# Fields of an indebtedness table and the words of their headers, in order.
+DEBT_HEADERS = [("lender", ("lender", "bank", "institution")), ("facility_type", ("facility", "type", "nature")), ("interest_rate", ("rate", "interest")), ("amount", ("outstanding", "amount", "sanctioned")), ("security", ("security", "secured"))]
+
+
+def indebtedness(tables: DataFrame) -> DataFrame:
+    """(table_id, row_no, lender, facility_type, amount, interest_rate, is_secured) of rows with a positive amount. A header names the first
+    field one of whose words it has; of several headers of a field the last counts."""
+    from ledgerleaf.functions.exprs import amount_debt, rate
+
+    def field(header: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, words in DEBT_HEADERS:
+            out = out.when(F.lower(header).rlike("|".join(words)), name)
+        return out
+
+    fields = tables.withColumn("_f", F.transform("headers", field))
+    rows = fields.select("table_id", "_f", F.posexplode("rows").alias("row_no", "cells")).where(F.size("cells") >= 2)
+    place = lambda name: F.size("_f") - F.array_position(F.reverse("_f"), name)
+    cell = lambda name: F.when(F.array_contains("_f", name), F.get("cells", place(name).cast("int")))
+    out = rows.select(
+        "table_id", "row_no", F.coalesce(F.nullif(F.trim(cell("lender")), F.lit("")), F.lit("Unknown")).alias("lender"), facility(cell("facility_type")).alias("facility_type"), amount_debt(cell("amount")).alias("amount"),
+        rate(cell("interest_rate")).alias("interest_rate"), (~F.coalesce(F.lower(F.array_join("cells", " ")).contains("unsecured"), F.lit(False))).alias("is_secured"),
+    )
+    return out.where("amount > 0")

@@ -62,7 +62,7 @@ def table_growth(facts: DataFrame) -> DataFrame:
 
 
 def markdown(headers: Column, rows: Column) -> Column:
-    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"\|", r"\\\\|"), r"\n", " ")
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"\|", r"\\|"), r"\n", " ")
     line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, clean), " | "), F.lit(" |"))
     return F.concat_ws("\n", line(headers), F.concat(F.lit("| "), F.array_join(F.transform(headers, lambda _: F.lit("---")), " | "), F.lit(" |")), F.array_join(F.transform(rows, line), "\n"))
 
@@ -284,3 +284,44 @@ def unit_vector(v: Column) -> Column:
     d = v.cast("array<double>")
     n = F.sqrt(F.aggregate(F.transform(d, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
     return F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d)
+
+
+# ---- lookups, maps and JSON ----
+
+
+def section_boundaries(sections: DataFrame) -> DataFrame:
+    """A map from title to (start_page, end_page) for each document; of equal titles the last counts."""
+    last = sections.groupBy("document_id", "title").agg(F.max_by(F.struct("start_page", "end_page"), F.struct("start_page", "section_id")).alias("span"))
+    return last.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("title", "span")))).alias("boundaries"))
+
+
+def find_section(sections: DataFrame, title: str) -> DataFrame:
+    """In each document the first section whose title is this one, contains it or is contained in it, whatever the case."""
+    own, low = F.lower("title"), title.lower()
+    like = (own == low) | F.contains(own, F.lit(low)) | F.contains(F.lit(low), own)
+    return sections.where(like).withColumn("_n", F.row_number().over(Window.partitionBy("document_id").orderBy("start_page", "section_id"))).where("_n = 1").drop("_n")
+
+
+def by_type(found: DataFrame) -> DataFrame:
+    """(entity_type, entities): each type's normal names in order."""
+    return found.groupBy("entity_type").agg(F.array_sort(F.collect_set("normalized")).alias("entities"))
+
+
+def exported(citations: DataFrame) -> DataFrame:
+    """The citation set as one JSON document a row."""
+    rows = citation_set(citations)
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def imported(lines: DataFrame, schema: str = "claim_id string, ordinal long, section string, page int, snippet string") -> DataFrame:
+    """Citations from JSON documents; those without a claim, or that are no JSON, are skipped."""
+    return lines.select(F.from_json("json", schema).alias("c")).select("c.*").where("claim_id is not null")
+
+
+def table_chunk(headers: Column, rows: Column, kind: Column, most_tokens: int = 1000) -> Column:
+    """A table as text: whole where it has few tokens, else its kind, size, first five headers and first three rows."""
+    whole = markdown(headers, rows)
+    names = F.concat(F.array_join(F.slice(headers, 1, 5), ", "), F.when(F.size(headers) > 5, F.concat(F.lit(" (+"), F.size(headers) - 5, F.lit(" more)"))).otherwise(""))
+    sample = F.array_join(F.transform(F.slice(rows, 1, 3), lambda r: F.array_join(F.transform(F.slice(r, 1, 5), lambda c: F.substring(c, 1, 30)), " | ")), "\n")
+    short = F.concat(F.lit("Table: "), kind, F.lit(", "), F.size(rows), F.lit(" x "), F.size(headers), F.lit("\nColumns: "), names, F.lit("\n"), sample)
+    return F.when(tokens(whole) <= most_tokens, whole).otherwise(short)

@@ -176,3 +176,31 @@ def test_page_layout(spark):
     r = df.select(pages.has_tables(F.col("blocks")), pages.is_multi_column(F.col("blocks"), F.col("width")), pages.edge_text(F.col("blocks"), F.col("height"), True), pages.edge_text(F.col("blocks"), F.col("height"), False)).first()
     assert tuple(r) == (True, True, "Head", "Foot")
     assert pages.validation(df).first().mostly_scanned and pages.page_range(df, 0, 1).count() == 1 and pages.page_range(df, 1, 5).count() == 0
+
+
+def test_indebtedness_rows(spark):
+    t = spark.createDataFrame([("t", ["Name of lender", "Nature of facility", "Outstanding (Cr)", "Rate of interest"], [["HDFC", "Term loan", "100 Cr", "9.5%"], ["", "Unsecured loan", "5000 Lakh", "12"], ["X", "CC", "nil", ""], ["short"]])], "table_id string, headers array<string>, rows array<array<string>>")
+    got = [(r.lender, r.facility_type, r.amount, r.interest_rate, r.is_secured) for r in risk.indebtedness(t).orderBy("row_no").collect()]
+    assert got == [("HDFC", "Term Loan", 100.0, 9.5, True), ("Unknown", "Unsecured Loan", 50.0, 12.0, False)]
+
+
+def test_sections_citations_and_table_text(spark):
+    s = spark.createDataFrame([(1, 1, "Risk Factors", 1, 4), (1, 2, "Our Business", 5, 9), (1, 3, "Risk Factors", 10, 12)], "document_id int, section_id int, title string, start_page int, end_page int")
+    assert text.section_boundaries(s).first().boundaries["Risk Factors"].start_page == 10
+    assert text.find_section(s, "business").first().section_id == 2
+    c = spark.createDataFrame([("a", 1, "S", 3, "old"), ("a", 2, "S", 3, "new"), (None, 3, "S", 1, "x")], "claim_id string, ordinal long, section string, page int, snippet string")
+    back = text.imported(text.exported(c).unionByName(spark.createDataFrame([("{}",), ("no",)], "json string")))
+    assert [(r.claim_id, r.snippet) for r in back.collect()] == [("a", "new")]
+    row = spark.createDataFrame([(["A|x", "B"], [["1", "2\n3"]])], "h array<string>, r array<array<string>>")
+    whole, short = row.select(text.table_chunk(F.col("h"), F.col("r"), F.lit("debt")), text.table_chunk(F.col("h"), F.col("r"), F.lit("debt"), 0)).first()
+    assert whole == "| A\\|x | B |\n| --- | --- |\n| 1 | 2 3 |" and short.startswith("Table: debt, 1 x 2\nColumns: A|x, B\n1 | 2")
+
+
+def test_config_layers():
+    from ledgerleaf.plans import config
+
+    c = config.load({"search": {"top_k": 3}, "chunking": {"target": 2000, "most": 3000}}, environment={"LEDGERLEAF_SEARCH__METRIC": "dot", "LEDGERLEAF_MIN_TABLE_CONFIDENCE": "0.5"})
+    assert (c.search.top_k, c.search.metric, c.chunking.target, c.min_table_confidence) == (3, "dot", 2000, 0.5)
+    for bad in ({"chunking": {"overlap_chars": 9999}}, {"search": {"metric": "x"}}, {"nothing": 1}):
+        with pytest.raises(ValueError):
+            config.load(bad, environment={})
