@@ -30,7 +30,7 @@ class ChunkTokenizer:
     what is no letter after it. So a text can be cut there, and the ids of its chunks are the ids of the text. Ids of
     chunks are kept in a table of fixed size, found by the chunk's 64-bit hash; what has no place there is encoded again."""
 
-    SLOTS, KEEP = 1 << 21, 12_000_000
+    SLOTS, KEEP = 1 << 20, 6_000_000
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,7 +45,7 @@ class ChunkTokenizer:
 
     def clear(self) -> None:
         self.key = np.zeros(self.SLOTS, np.uint64)
-        self.at, self.size = np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int32)
+        self.at, self.size = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def keep(self, ids: np.ndarray) -> int:
@@ -60,10 +60,10 @@ class ChunkTokenizer:
         if self.used > self.KEEP:
             self.clear()
         h = hash_spans(data, starts, ends) | np.uint64(1)  # 0 is an empty slot
-        one = (h >> np.uint64(43)).astype(np.int64)
-        two = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        one = (h >> np.uint64(44)).astype(np.int64)
+        two = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         slot = np.where(self.key[one] == h, one, two)
-        at, size = self.at[slot], self.size[slot]
+        at, size = self.at[slot].astype(np.int64), self.size[slot]
         missing = np.flatnonzero(self.key[slot] != h)
         if len(missing):
             new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)

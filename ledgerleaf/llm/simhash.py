@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm.graph import Forest, components
 from ledgerleaf.llm.scratch import written
 from ledgerleaf.llm.streams import groups
+from ledgerleaf.llm.textbytes import trim
 
 SEED = 42
 
@@ -128,19 +129,27 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 # ---- wide fingerprints, for similarity instead of copies ----
 
 
-def compare_wide(batches: Iterator[pa.RecordBatch], radius: int, tile: int = 512) -> Iterator[pa.RecordBatch]:
-    """As compare, of fingerprints (binary) of several 64-bit words. Two words rule out nearly all pairs; the others are counted in full."""
+def packed_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each tile, with its fingerprints and ids as two blobs, so that a tile meets others as one row."""
+    for table in groups(batches, "tile"):
+        fps, ids = b"".join(table.column("fp").to_pylist()), table.column("id").to_numpy().tobytes()
+        yield pa.record_batch([pa.array([table.column("tile")[0].as_py()], pa.int64()), pa.array([fps], pa.binary()), pa.array([ids], pa.binary())], names=["tile", "fps", "ids"])
+
+
+def compare_wide(batches: Iterator[pa.RecordBatch], words: int, radius: int, block: int = 512) -> Iterator[pa.RecordBatch]:
+    """All pairs of two tiles (roles 0 and 1), or of one with itself, within the radius, as links that span what they join. Two
+    64-bit words of a fingerprint rule out nearly all pairs; the others are counted in full."""
     for table in groups(batches, "task"):
-        role = table.column("role").to_numpy()
-        table = table.take(pa.array(np.argsort(role, kind="stable")))
-        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(len(role), -1)
-        node, home = table.column("id").to_numpy(), int((role == 0).sum())
-        forest, other = Forest(len(fp)), home < len(fp)
-        columns = [np.ascontiguousarray(fp[:, w]) for w in range(fp.shape[1])]
-        for i in range(0, home, tile):
-            top = min(i + tile, home)
-            for j in range(home if other else i, len(fp), 2 * tile):
-                near = sum(np.bitwise_count(c[i:top, None] ^ c[None, j : j + 2 * tile]) for c in columns[:2])
+        rows = sorted(zip(table.column("role").to_pylist(), table.column("fps").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: r[0])
+        fp = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(-1, words) for r in rows])
+        node = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])
+        home = len(rows[0][2]) // 8
+        forest, other = Forest(len(fp)), len(rows) > 1
+        columns = [np.ascontiguousarray(fp[:, w]) for w in range(words)]
+        for i in range(0, home, block):
+            top = min(i + block, home)
+            for j in range(home if other else i, len(fp), 2 * block):
+                near = sum(np.bitwise_count(c[i:top, None] ^ c[None, j : j + 2 * block]) for c in columns[:2])
                 a, b = np.nonzero(near <= radius)
                 a, b = a + i, b + j
                 full = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= radius
@@ -148,6 +157,7 @@ def compare_wide(batches: Iterator[pa.RecordBatch], radius: int, tile: int = 512
         a, b = forest.links()
         if len(a):
             yield pa.record_batch([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["src", "dst"])
+        trim()
 
 
 def tile_plan(counts: dict[int, int], radius: int, tile_rows: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -179,6 +189,7 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int
             found = [fingerprint(t.as_py() or b"", words, bits) for t in batch.column(1).cast(pa.large_binary())]
             counts = [int.from_bytes(x).bit_count() for x in found]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), pa.array(counts, pa.int32())], names=["id", "fp", "n"])
+            trim()
 
     prints = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp binary, n int"), "wide")
     distinct = written(prints.groupBy("fp", "n").agg(F.min("id").alias("id")), "distinct")
@@ -189,8 +200,9 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int
         first += many
     plan = [(t, i, 0) for t, (i, j) in enumerate(pairs)] + [(t, j, 1) for t, (i, j) in enumerate(pairs) if i != j]
     tasks = docs.sparkSession.createDataFrame(plan or [(-1, -1, 0)], "task long, tile long, role int")
-    met = distinct.select("id", "fp", of.alias("tile")).join(tasks, "tile").select("task", "id", "fp", "role")
-    links = met.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: compare_wide(b, radius), "src long, dst long")
+    packed = distinct.select("id", "fp", of.alias("tile")).repartition("tile").sortWithinPartitions("tile").mapInArrow(packed_tiles, "tile long, fps binary, ids binary")
+    met = written(packed, "tiles").join(tasks, "tile").select("task", "role", "fps", "ids")
+    links = met.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: compare_wide(b, bits // 64, radius), "src long, dst long")
     joined = distinct.join(components(links), "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
     return prints.join(joined, "fp").select("id", "component_id")
 

@@ -6,6 +6,7 @@ word: a batch is cut into pieces of about PIECE bytes, and each step is a few ar
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,10 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[ord("A") : ord("Z") + 1] += 32
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # not glibc
+    _libc = None
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
 
@@ -59,6 +64,14 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, np.n
         hi = min(hi, n)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Gives back to the system what this process has freed: workers live on between tasks, and an executor's memory counts them all."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 class Words:
