@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm.graph import Forest, components
 from ledgerleaf.llm.scratch import written
 from ledgerleaf.llm.streams import groups
-from ledgerleaf.llm.textbytes import trim
+from ledgerleaf.llm.textbytes import mixed, trim
 
 SEED = 42
+#: Bits in which the first halves of two wide fingerprints may differ: at a similarity of 0.8, 19 do, give or take 4.
+HALF = 40
 
 
-def fingerprint(text: bytes, words: int, bits: int = 64) -> bytes:
-    """The bytes, highest first, of a text's fingerprint of 64 or 256 bits; no word: zeros."""
+def fingerprint(text: bytes, words: int) -> bytes:
+    """The bytes, highest first, of a text's fingerprint of 64 bits; no word: zeros."""
     found = text.lower().split()
     if not found:
-        return bytes(bits // 8)
+        return bytes(8)
     joined = b" ".join(found)
     if len(found) < words:
         shingles = [joined]
@@ -31,11 +33,10 @@ def fingerprint(text: bytes, words: int, bits: int = 64) -> bytes:
         size = np.fromiter(map(len, found), np.int64, len(found))
         ends = np.cumsum(size + 1) - 1
         shingles = [joined[s:e] for s, e in zip((ends - size).tolist(), ends[words - 1 :].tolist(), strict=False)]
-    hashes = [(xxhash.xxh64_digest, SEED)] if bits == 64 else [(xxhash.xxh3_128_digest, SEED), (xxhash.xxh3_128_digest, SEED + 1)]
-    total = np.zeros(bits, np.int64)
+    total = np.zeros(64, np.int64)
     for at in range(0, len(shingles), 65_536):
-        some = [np.frombuffer(b"".join(map(f, shingles[at : at + 65_536], repeat(seed))), np.uint8).reshape(-1, bits // 8 // len(hashes)) for f, seed in hashes]
-        total += np.unpackbits(np.concatenate(some, axis=1), axis=1).sum(axis=0, dtype=np.int64)
+        some = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles[at : at + 65_536], repeat(SEED))), np.uint8).reshape(-1, 8)
+        total += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(total * 2 > len(shingles)).tobytes()
 
 
@@ -129,6 +130,76 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 # ---- wide fingerprints, for similarity instead of copies ----
 
 
+def shingle_set(text: bytes, words: int) -> tuple[list[bytes], np.ndarray]:
+    """A text's distinct shingles and their 64-bit hashes in order, A-Z in lower case; a text of fewer words is one shingle."""
+    found = text.lower().split()
+    if not found:
+        return [], np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    last = ends[words - 1 :] if len(found) >= words else ends[-1:]
+    shingles = list({joined[s:e] for s, e in zip(starts.tolist(), last.tolist(), strict=False)})
+    return shingles, np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, shingles, repeat(SEED))), np.uint64))
+
+
+def wide_fingerprint(text: bytes, words: int) -> tuple[bytes, int]:
+    """256 bits, each the majority over the text's distinct shingles, and a 64-bit sum that tells sets of shingles apart."""
+    shingles, hashes = shingle_set(text, words)
+    if not shingles:
+        return bytes(32), 0
+    total = np.zeros(256, np.int64)
+    for at in range(0, len(shingles), 65_536):
+        some = [np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, shingles[at : at + 65_536], repeat(seed))), np.uint8).reshape(-1, 16) for seed in (SEED, SEED + 1)]
+        total += np.unpackbits(np.concatenate(some, axis=1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(shingles)).tobytes(), int(mixed(hashes).sum(dtype=np.uint64).astype(np.int64))
+
+
+def jaccard_at_least(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets, as sorted arrays, share at least `least` of what they hold together."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if len(small) < least * len(large) - 1e-9:
+        return False
+    if not len(large):
+        return True
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def verify_tiles(batches: Iterator[pa.RecordBatch], words: int, radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Links that span what pairs of documents within the radius join, of one tile (role 0) or of two (roles 0 and 1), where the
+    exact similarity of their shingles is `least` or more. A pair that earlier links already join is not looked at again."""
+    for table in groups(batches, "task"):
+        role, node = table.column("role").to_numpy(), table.column("id").to_numpy()
+        order = np.lexsort((node, role))
+        table, role, node = table.take(pa.array(order)), role[order], node[order]
+        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, words)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        home = int((role == 0).sum())
+        other = home < len(node)
+        label = list(range(len(node)))
+
+        def root(x: int, label: list[int] = label) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        src, dst = [], []
+        for i in range(home):
+            at = home if other else i + 1
+            near = np.flatnonzero(np.bitwise_count(fp[i] ^ fp[at:]).sum(1, dtype=np.int64) <= radius) + at
+            for j in near.tolist():
+                a, b = root(i), root(j)
+                if a != b and jaccard_at_least(sets[i], sets[j], least):
+                    label[max(a, b)] = min(a, b)
+                    src.append(i)
+                    dst.append(j)
+        if src:
+            yield pa.record_batch([pa.array(node[src], pa.int64()), pa.array(node[dst], pa.int64())], names=["src", "dst"])
+        trim()
+
+
 def packed_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each tile, with its fingerprints and ids as two blobs, so that a tile meets others as one row."""
     for table in groups(batches, "tile"):
@@ -138,7 +209,7 @@ def packed_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare_wide(batches: Iterator[pa.RecordBatch], words: int, radius: int, block: int = 512) -> Iterator[pa.RecordBatch]:
     """All pairs of two tiles (roles 0 and 1), or of one with itself, within the radius, as links that span what they join. Two
-    64-bit words of a fingerprint rule out nearly all pairs; the others are counted in full."""
+    64-bit words of a fingerprint, that may differ in HALF bits, rule out nearly all pairs; the others are counted in full."""
     for table in groups(batches, "task"):
         rows = sorted(zip(table.column("role").to_pylist(), table.column("fps").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: r[0])
         fp = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(-1, words) for r in rows])
@@ -150,7 +221,7 @@ def compare_wide(batches: Iterator[pa.RecordBatch], words: int, radius: int, blo
             top = min(i + block, home)
             for j in range(home if other else i, len(fp), 2 * block):
                 near = sum(np.bitwise_count(c[i:top, None] ^ c[None, j : j + 2 * block]) for c in columns[:2])
-                a, b = np.nonzero(near <= radius)
+                a, b = np.nonzero(near <= min(radius, HALF))
                 a, b = a + i, b + j
                 full = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= radius
                 forest.join(a[full], b[full])
@@ -178,33 +249,50 @@ def tile_plan(counts: dict[int, int], radius: int, tile_rows: int) -> tuple[list
     return tiles, [(i, j) for i in range(len(spans)) for j in range(i, len(spans)) if spans[j][0] - spans[i][1] <= radius]
 
 
-def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, bits: int = 256, radius: int = 49, tile_rows: int = 20_000) -> DataFrame:
-    """(id, component_id) of every row of docs with a unique id, linked where wide fingerprints differ in `radius` bits or fewer.
+def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, radius: int = 56, least: float = 0.8, tile_rows: int = 20_000, group_rows: int = 256) -> DataFrame:
+    """(id, component_id) of every row of docs with a unique id, linked where the sets of word shingles have a Jaccard similarity
+    of `least` or more. Wide fingerprints that differ in `radius` bits or fewer only find the candidates: each link is verified on
+    the exact sets. Blank texts are alike.
 
-    Of texts whose shingle counts have the cosine c, each bit differs with probability arccos(c) / pi. A Jaccard similarity of 0.8
-    is a cosine of about 0.89: 39 of 256 bits, give or take 6; of 0.6, 59. Unrelated texts differ in 128, give or take 8."""
+    Of sets of shingles with the cosine c, each bit differs with probability arccos(c) / pi. A similarity of 0.8 is a cosine of
+    0.89: 39 of 256 bits, give or take 6. Unrelated texts differ in 128, give or take 8. What candidates join is a group; a group
+    of more than group_rows documents is cut into tiles, and each pair of its tiles is verified by a task of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py() or b"", words, bits) for t in batch.column(1).cast(pa.large_binary())]
-            counts = [int.from_bytes(x).bit_count() for x in found]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), pa.array(counts, pa.int32())], names=["id", "fp", "n"])
+            found = [wide_fingerprint(t.as_py() or b"", words) for t in batch.column(1).cast(pa.large_binary())]
+            counts = [int.from_bytes(x).bit_count() for x, _ in found]
+            yield pa.record_batch([batch.column(0), pa.array([x for x, _ in found], pa.binary()), pa.array(counts, pa.int32()), pa.array([y for _, y in found], pa.int64())], names=["id", "fp", "n", "sum"])
+            trim()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py() or b"", words)[1].tobytes() for t in batch.column(4).cast(pa.large_binary())]
+            yield pa.record_batch([*batch.columns[:4], pa.array(found, pa.binary())], names=["id", "fp", "group", "tiles", "shingles"])
             trim()
 
-    prints = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp binary, n int"), "wide")
-    distinct = written(prints.groupBy("fp", "n").agg(F.min("id").alias("id")), "distinct")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    prints = written(texts.mapInArrow(run, "id long, fp binary, n int, sum long"), "wide")
+    distinct = written(prints.groupBy("fp", "n", "sum").agg(F.min("id").alias("id")), "distinct")
     tiles, pairs = tile_plan({r.n: r["count"] for r in distinct.groupBy("n").count().collect()}, radius, tile_rows)
     first, of = 0, F.lit(-1).cast("long")
     for low, high, many in tiles:
-        of = F.when(F.col("n").between(low, high), F.lit(first) + F.pmod(F.xxhash64("fp"), F.lit(many))).otherwise(of)
+        of = F.when(F.col("n").between(low, high), F.lit(first) + F.pmod(F.xxhash64("id"), F.lit(many))).otherwise(of)
         first += many
     plan = [(t, i, 0) for t, (i, j) in enumerate(pairs)] + [(t, j, 1) for t, (i, j) in enumerate(pairs) if i != j]
     tasks = docs.sparkSession.createDataFrame(plan or [(-1, -1, 0)], "task long, tile long, role int")
     packed = distinct.select("id", "fp", of.alias("tile")).repartition("tile").sortWithinPartitions("tile").mapInArrow(packed_tiles, "tile long, fps binary, ids binary")
     met = written(packed, "tiles").join(tasks, "tile").select("task", "role", "fps", "ids")
-    links = met.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: compare_wide(b, bits // 64, radius), "src long, dst long")
-    joined = distinct.join(components(links), "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    return prints.join(joined, "fp").select("id", "component_id")
+    candidates = components(met.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: compare_wide(b, 4, radius), "src long, dst long"))
+    member = written(distinct.join(candidates, "id").select("id", "fp", F.col("component_id").alias("group")), "candidates")
+    size = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("tiles"))
+    held = written(texts.join(member.join(size, "group"), "id").select("id", "fp", "group", "tiles", "text").mapInArrow(sets, "id long, fp binary, group long, tiles int, shingles binary"), "shingles")
+    mine = F.pmod(F.xxhash64("id"), F.col("tiles"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(mine, t.cast("long")).alias("i"), F.greatest(mine, t.cast("long")).alias("j"), F.when(mine <= t, 0).otherwise(1).alias("role")))
+    shared = held.select("id", "fp", "group", "shingles", F.explode(meets).alias("t")).select(F.xxhash64("group", "t.i", "t.j").alias("task"), F.col("t.role").alias("role"), "id", "fp", "shingles")
+    links = shared.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: verify_tiles(b, 4, radius, least), "src long, dst long")
+    joined = distinct.join(components(links), "id", "left").select("fp", "sum", F.coalesce("component_id", "id").alias("component_id"))
+    return prints.join(joined, ["fp", "sum"]).select("id", "component_id")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

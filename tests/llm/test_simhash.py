@@ -72,3 +72,34 @@ def test_wide_groups_join_edits_not_strangers(spark):
     rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(half)), (4, " ".join(base))]
     got = {r.id: r.component_id for r in simhash.near_groups(docs(spark, rows), "doc_id", tile_rows=1).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_wide_groups_are_those_of_exact_similarity(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(240)]
+        rows.append((len(rows), " ".join(base)))
+        for changes in (1, 3, 4, 5, 6, 7, 8, 9, 10, 12):
+            w = list(base)
+            for k in rng.sample(range(5, 235), changes):
+                w[k] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    rows.append((len(rows), " ".join([f"g0w{i}" for i in range(240)] + [f"g0w{i % 6}" for i in range(400)])))  # repeats count once
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {i: i for i in sets}
+    for _ in range(6):
+        for i, a in sets.items():
+            for j in range(i // 11 * 11, i):
+                if want[i] != want[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+        last = len(rows) - 1
+        for j in range(11):
+            if want[last] != want[j] and len(sets[last] & sets[j]) >= 0.8 * len(sets[last] | sets[j]):
+                want[last] = want[j] = min(want[last], want[j])
+    for more in ({}, {"group_rows": 3}):
+        got = {r.id: r.component_id for r in simhash.near_groups(docs(spark, rows), "doc_id", **more).collect()}
+        assert got == want
+    assert len(set(want.values())) > 60 and want[len(rows) - 1] == 0
