@@ -270,14 +270,15 @@ def scored(vectors: DataFrame, query: DataFrame, metric: str = "cosine") -> Data
     return rows.withColumn("score", how[metric]())
 
 
-def top_k(vectors: DataFrame, query: DataFrame, k: int = 10, key: str = "vec_id", where: Column | None = None, threshold: float | None = None, metric: str = "cosine") -> DataFrame:
-    """The k best of each query with their rank; filters apply before. Ties by key. A group limit keeps k rows a task before the shuffle."""
+def top_k(vectors: DataFrame, query: DataFrame, k: int | None = 10, key: str = "vec_id", where: Column | None = None, threshold: float | None = None, metric: str = "cosine") -> DataFrame:
+    """The k best of each query with their rank; filters apply before. Ties by key. k None: all, for a threshold. A group limit keeps k rows a task before the shuffle."""
     rows = vectors if where is None else vectors.where(where)
     rows = scored(rows, query, metric)
     if threshold is not None:
         rows = rows.where(F.col("score") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", key, "score", "rank")
 
 
 def unit_vector(v: Column) -> Column:

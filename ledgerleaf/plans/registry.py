@@ -652,7 +652,7 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vector_threshold", _topk_sql(f"{_COS} >= 0.2", 1000))
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(text.top_k(*_vectors(spark, sf_dir), k=1000, threshold=0.2))
+    return rounded(text.top_k(*_vectors(spark, sf_dir), k=None, threshold=0.2))
 
 
 @query("chunk_documents")

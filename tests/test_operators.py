@@ -204,3 +204,11 @@ def test_config_layers():
     for bad in ({"chunking": {"overlap_chars": 9999}}, {"search": {"metric": "x"}}, {"nothing": 1}):
         with pytest.raises(ValueError):
             config.load(bad, environment={})
+
+
+def test_vector_threshold_returns_every_match(spark, tmp_path):
+    from ledgerleaf.plans import registry
+
+    spark.range(1500).selectExpr("id AS vec_id", "array(1.0f, cast(id % 2 AS float)) AS embedding", "0 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.vector_threshold(spark, str(tmp_path)).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {0: 1500, 7: 1500}
