@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm.scratch import written
@@ -35,6 +35,10 @@ class Settings:
     suffix_right: float = 0.8
     most_bits: float = 6.0  # a byte; a text that no language explains better is rejected
     least_posterior: float = 0.5
+    least_share: float = 0.001  # of all labelled texts; rarer languages are not learned
+    most_languages: int = 32  # the most frequent of them are learned; a task's tables grow with their number
+    broadcast_hosts: int = 100_000  # as many sums, of some hundred bytes each, are broadcast; more are joined with salt
+    salts: int = 32
 
 
 def letters(data: np.ndarray) -> np.ndarray:
@@ -77,16 +81,43 @@ class Model:
         return out, np.maximum(np.bincount(text, minlength=n), np.diff(some) > 0)
 
 
-def fit(labelled: DataFrame, settings: Settings) -> Model:
-    """From labelled (id, language, text). Of a language's rows those are read whose id's hash is low, about `sample` of them."""
-    rows = labelled.where("language is not null and text is not null and id is not null")
-    sizes = {r.language: r["count"] for r in rows.groupBy("language").count().orderBy("language").collect()}
-    names = sorted(sizes)
+def code(column: str) -> Column:
+    """A language's two letters; null for what doesn't begin with two."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(column)), "^[a-z]{2}", 0), F.lit(""))
+
+
+def deal() -> Column:
+    """A number below a million by which texts are chosen to learn from."""
+    return F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
+
+
+def shares(labelled: DataFrame, settings: Settings) -> dict[str, float]:
+    """The languages that are learned, and what share of each one's texts is read."""
+    known = labelled.where("text is not null").select(code("language").alias("language")).where("language is not null")
+    sizes = known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(settings.most_languages).collect()
+    total = sum(r["count"] for r in sizes)
+    return {r.language: min(1.0, settings.sample / r["count"]) for r in sorted(sizes, key=lambda r: r.language) if r["count"] >= settings.least_share * total}
+
+
+def chosen(shares: dict[str, float], language: Column) -> Column:
+    """Whether a row (id, text) is one of those to learn `language` from."""
+    if not shares:
+        return F.lit(False)
+    of = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
+    return F.coalesce(deal() < of[language] * 1_000_000, F.lit(False))
+
+
+def fit(labelled: DataFrame, settings: Settings, share: dict[str, float] | None = None) -> Model:
+    """From labelled (id, language, text). Of a language's rows those are read whose hash is low, about `sample` of them. Codes
+    are taken by their first two letters; a language of fewer than least_share of all rows, or beyond the most_languages most
+    frequent, is not learned. Languages with equally many rows are taken by name."""
+    share = shares(labelled, settings) if share is None else share
+    names = sorted(share)
     if not names:
         return Model([], np.zeros((TRIPLES, 0)), np.zeros((65_536, 0)), np.zeros((256, 0)))
-    share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, settings.sample / sizes[k]))])
     number = F.create_map(*[F.lit(x) for i, k in enumerate(names) for x in (k, i)])
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("language")] * 1_000_000).select(number[F.col("language")].alias("k"), "text")
+    rows = labelled.where("text is not null").select("id", "text", code("language").alias("language"))
+    some = rows.where(chosen(share, F.col("language"))).select(number[F.col("language")].alias("k"), "text")
     size = len(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,31 +142,37 @@ def fit(labelled: DataFrame, settings: Settings) -> Model:
     return Model(names, table.astype(np.float32), -np.log(pair + 1).astype(np.float32), log_one.astype(np.float32), triple > 0)
 
 
-def identify(rows: DataFrame, model: Model, settings: Settings | None = None) -> DataFrame:
+def identify(rows: DataFrame, model: Model, settings: Settings | None = None, text_of: str | None = None) -> DataFrame:
     """(id, language, posterior, text_language, bits_per_byte, accepted) of each of rows (id, text, declared, suffix, host).
 
     A text without letters, of which no language explains a byte in most_bits, or whose posterior is below
-    least_posterior is not accepted; without letters its language is `und`. A null declared, suffix or host is no evidence.
-    Null, blank and empty texts have no letters. Repeated ids and rows get a row each."""
+    least_posterior is not accepted; without letters its language is `und`. Of languages equally likely the first by name is
+    taken. A null declared, suffix or host is no evidence, nor is a declared language that the model hasn't learned.
+    Null, blank and empty texts have no letters. Repeated ids and rows get a row each; other columns are left out.
+
+    text_of: rows hold a struct `row` instead of text, and its field of this name is the text; `row` is passed on, so that a
+    caller can filter what it holds without a join."""
     settings = settings or Settings()
     names, size = model.names, len(model.names)
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    carried = [] if text_of is None else ["row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in pieces(batch.column(1)):
+            text = batch.column(1) if text_of is None else batch.column(1).field(text_of)
+            for lo, hi, data, offsets in pieces(text):
                 scores, n = shared.value.score(data, offsets)
-                yield pa.record_batch([*(batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3, 4)), pa.array(list(scores), pa.list_(pa.float64())), pa.array(n.astype(np.int64))], names=["id", "declared", "suffix", "host", "scores", "n"])
+                kept = [batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3, 4)] + [batch.column(1).slice(lo, hi - lo)] * len(carried)
+                yield pa.record_batch([*kept, pa.array(list(scores), pa.list_(pa.float64())), pa.array(n.astype(np.int64))], names=["id", "declared", "suffix", "host", *carried, "scores", "n"])
 
-    kind = dict(rows.dtypes)["id"]
-    code = lambda c: F.substring(F.lower(F.trim(c)), 1, 2)
-    plain = rows.select("id", "text", code("declared").alias("declared"), F.lower("suffix").alias("suffix"), F.lower("host").alias("host"))
-    scored = plain.mapInArrow(run, f"id {kind}, declared string, suffix string, host string, scores array<double>, n long")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    plain = rows.select("id", "row" if carried else "text", code("declared").alias("declared"), F.lower("suffix").alias("suffix"), F.lower("host").alias("host"))
+    scored = plain.mapInArrow(run, f"id {kinds['id']}, declared string, suffix string, host string, " + "".join(f"row {kinds['row']}, " for _ in carried) + "scores array<double>, n long")
     # a likelihood over more than `weigh` bytes counts like one over so many
     tempered = F.transform("scores", lambda x: x * F.least(F.lit(1.0), F.lit(float(settings.weigh)) / F.greatest(F.col("n"), F.lit(1).cast("long"))))
     scored = scored.withColumn("text_log", tempered)
 
-    def normal(logs: object) -> object:
+    def normal(logs: Column) -> Column:
         top = F.array_max(logs)
         e = F.transform(logs, lambda x: F.exp(x - top))
         total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
@@ -147,29 +184,33 @@ def identify(rows: DataFrame, model: Model, settings: Settings | None = None) ->
     sums = [F.sum(F.col("by_text")[i]).alias(f"s{i}") for i in range(size)]
     mine = F.coalesce("by_text", F.array(*[F.lit(0.0)] * size)) if size else F.array().cast("array<double>")
     if not size:
-        none = scored.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(None).cast("double").alias("bits_per_byte"), F.lit(False).alias("accepted"))
+        none = scored.select("id", *carried, F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(None).cast("double").alias("bits_per_byte"), F.lit(False).alias("accepted"))
         return none
     everywhere = known.agg(*sums).first()
     whole = [float(everywhere[f"s{i}"] or 0) for i in range(size)]
     flat = F.array(*[F.lit((w + 1) / (sum(whole) + size)) for w in whole])
 
-    def level(key: str) -> DataFrame:
-        found = known.where(F.col(key) != "").groupBy(key).agg(*sums)
-        return found.select(key, F.array(*[f"s{i}" for i in range(size)]).alias(f"{key}_sums"))
+    def with_sums(left: DataFrame, key: str) -> DataFrame:
+        """left with the sums of its key: a host may hold a third of all rows, so its rows never meet in one task."""
+        found = written(known.where(F.col(key) != "").groupBy(key).agg(*sums).select(key, F.array(*[f"s{i}" for i in range(size)]).alias(f"{key}_sums")), key)
+        if found.count() <= settings.broadcast_hosts:
+            return left.join(F.broadcast(found), key, "left")
+        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))))
+        return left.withColumn("_salt", F.pmod(F.xxhash64("id", "n", "scores"), F.lit(settings.salts)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
 
-    def smoothed(own: str, above: object) -> object:
+    def smoothed(own: str, above: Column) -> Column:
         """Sums without the row itself, and the prior above as so many rows more."""
         rest = F.zip_with(F.coalesce(own, mine), mine, lambda a, b: F.greatest(a - b, F.lit(0.0)))
         total = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x) + settings.strength
         return F.zip_with(rest, above, lambda a, b: (a + settings.strength * b) / total)
 
-    def says(column: str, right: float) -> object:
+    def says(column: str, right: float) -> Column:
         """log P(what is declared | language): right for the language named, the rest shared by the others."""
         wrong = (1 - right) / max(1, size - 1)
         return F.array(*[F.when(F.col(column).isNull() | ~F.col(column).isin(names), F.lit(0.0)).when(F.col(column) == k, F.lit(float(np.log(right)))).otherwise(F.lit(float(np.log(max(wrong, 1e-9))))) for k in names])
 
     country = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
-    joined = scored.join(level("host"), "host", "left").join(level("domain"), "domain", "left")
+    joined = with_sums(with_sums(scored, "host"), "domain")
     joined = joined.withColumn("by_suffix", country[F.col("suffix")])
     joined = joined.withColumn("prior", smoothed("host_sums", smoothed("domain_sums", flat)))
     logs = F.zip_with(F.zip_with("text_log", F.transform("prior", lambda x: F.log(x)), lambda a, b: a + b), F.zip_with(says("declared", settings.declared_right), says("by_suffix", settings.suffix_right), lambda a, b: a + b), lambda a, b: a + b)
@@ -179,7 +220,7 @@ def identify(rows: DataFrame, model: Model, settings: Settings | None = None) ->
     bits = -F.array_max("scores") / F.col("n") / float(np.log(2))
     some = F.col("n") > 0
     out = joined.select(
-        "id", F.when(some, best(F.col("posteriors"))).otherwise("und").alias("language"), F.when(some, F.array_max("posteriors")).otherwise(0.0).alias("posterior"),
+        "id", *carried, F.when(some, best(F.col("posteriors"))).otherwise("und").alias("language"), F.when(some, F.array_max("posteriors")).otherwise(0.0).alias("posterior"),
         F.when(some, best(F.col("by_text"))).alias("text_language"), F.when(some, bits).alias("bits_per_byte"),
     )
     return out.withColumn("accepted", F.coalesce((F.col("bits_per_byte") <= settings.most_bits) & (F.col("posterior") >= settings.least_posterior), F.lit(False)))
