@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.scratch import buckets_for, with_key, written
+from ledgerleaf.llm.scratch import buckets_for, text_bytes, with_key, written
 from ledgerleaf.llm.streams import groups
 from ledgerleaf.llm.textbytes import LOWER_ASCII, Words, mixed, pieces, planes, unplanes
 
@@ -77,8 +77,8 @@ def vocabulary(texts: DataFrame, buckets: int, top: int) -> DataFrame:
             h, n, rest = merged()
             bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            to = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(b, order[to[b] : to[b + 1]]) for b in range(buckets) if to[b] < to[b + 1]]
+            some, at = np.unique(bucket[order], return_index=True)
+            rows = list(zip(some.tolist(), np.split(order, at[1:]), strict=True)) if len(some) else []
             yield pa.record_batch(
                 [pa.array([b for b, _ in rows], pa.int32()), pa.array([h[i].tobytes() for _, i in rows], pa.binary()), pa.array([planes(n[i].astype(np.uint64)) for _, i in rows], pa.binary()), pa.array([rest[i].tobytes() for _, i in rows], pa.binary())],
                 names=["bucket", "hashes", "counts", "rests"],
@@ -276,7 +276,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     Null and blank texts consist of the end token alone. Repeated ids and rows are scored one by one; a null condition
     is false. With nothing to learn from, every base_score is 0."""
     settings = settings or Settings()
-    buckets = buckets_for(docs, 64 << 20)  # a task holds the vocabulary of a bucket only
+    buckets = buckets_for(text_bytes(docs, text_col), 32 << 20)  # a task holds the vocabulary of a bucket only
     keyed = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.expr(training), F.lit(False)).alias("in_training")), "id")
     learn = keyed.where("in_training").select("text")
     words = vocabulary(learn, buckets, settings.hot)
@@ -311,13 +311,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                 rare = np.flatnonzero(~hot)
                 bucket = ((h[rare] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                rare, to = rare[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+                some, to = np.unique(bucket[order], return_index=True)
                 rows = []
-                for b in range(buckets):
-                    mine = rare[to[b] : to[b + 1]]
-                    if len(mine):
-                        runs = np.flatnonzero(np.append(True, of[mine][1:] != of[mine][:-1]))
-                        rows.append((b, h[mine].tobytes(), rest[mine].tobytes(), planes(keys[of[mine][runs]]), planes(np.diff(np.append(runs, len(mine))).astype(np.uint32))))
+                for b, mine in zip(some.tolist(), np.split(rare[order], to[1:]), strict=True) if len(some) else ():
+                    runs = np.flatnonzero(np.append(True, of[mine][1:] != of[mine][:-1]))
+                    rows.append((b, h[mine].tobytes(), rest[mine].tobytes(), planes(keys[of[mine][runs]]), planes(np.diff(np.append(runs, len(mine))).astype(np.uint32))))
                 if rows:
                     k = len(rows)
                     b, *blobs = zip(*rows, strict=True)

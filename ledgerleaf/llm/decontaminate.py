@@ -8,15 +8,16 @@ its slots are compared with the text's: each value must stand for one value thro
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.scratch import with_key
+from ledgerleaf.llm.scratch import fields, rows_of, with_key
 from ledgerleaf.llm.textbytes import LOWER_ASCII, Words, mixed, pieces
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
@@ -47,6 +48,8 @@ class Template:
     words: Words  # without punctuation at their ends; those that are nothing else are left out
     hashes: np.ndarray
     kinds: np.ndarray
+    plain: np.ndarray  # hashes of the words themselves, in lower case
+    heads: np.ndarray  # whether a word is the first of its line
 
 
 def template(data: np.ndarray, offsets: np.ndarray) -> Template:
@@ -83,16 +86,30 @@ def template(data: np.ndarray, offsets: np.ndarray) -> Template:
         kinds[np.isin(h, _UNITS)] = UNIT
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
         kinds[digits[words.ends] > digits[words.starts]] = NUMBER
-    h = np.where(kinds == LITERAL, h, mixed(kinds.astype(np.uint64)))
-    return Template(words, h, kinds)
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    heads = np.ones(len(h), bool)
+    heads[1:] = breaks[words.starts[1:]] > breaks[words.ends[:-1]]
+    heads[words.first[:-1][words.counts > 0]] = True
+    return Template(words, np.where(kinds == LITERAL, h, mixed(kinds.astype(np.uint64))), kinds, h, heads)
 
 
-def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a template's windows of `size` words, at least half of them literal, and their first words."""
-    h, at = t.words.runs(t.hashes, size)
-    literal = np.concatenate([[0], np.cumsum(t.kinds == LITERAL)])
-    rich = 2 * (literal[at + size] - literal[at]) >= size
-    return h[rich] + np.uint64(size), at[rich]
+TYPED, PLAIN = 0, 1
+
+
+def windows(t: Template, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(TYPED, hashes of a template's windows of `size` words, at least half of them literal, and their first words), and the same of
+    the words themselves (PLAIN). A window of one or two words is PLAIN, and a line of its own."""
+    if size >= 3:
+        h, at = t.words.runs(t.hashes, size)
+        literal = np.concatenate([[0], np.cumsum(t.kinds == LITERAL)])
+        rich = 2 * (literal[at + size] - literal[at]) >= size
+        yield TYPED, h[rich] + np.uint64(size), at[rich]
+    h, at = t.words.runs(t.plain, size)
+    if size < 3:
+        ends = np.append(t.heads[1:], True)
+        alone = t.heads[at] & ends[at + size - 1] & ~np.any([t.heads[at + i] for i in range(1, size)] or [np.zeros(len(at), bool)], axis=0)
+        h, at = h[alone], at[alone]
+    yield PLAIN, mixed(h + np.uint64(size)), at
 
 
 def values(t: Template, lo: int, hi: int, data: np.ndarray) -> list[tuple[int, bytes]]:
@@ -124,35 +141,35 @@ class Index:
         self.values = [values(t, t.words.first[i], t.words.first[i + 1], data) for i in range(len(ids))]
         count = t.words.counts
         rows = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        self.sizes = sorted({min(size, int(c)) for c in count if c >= 3})
+        self.sizes = sorted({min(size, int(c)) for c in count if c})
         for s in self.sizes:
-            h, at = windows(t, s)
-            item = t.words.text_of()[at]
-            own = np.minimum(count[item], size) == s
-            rows.append((h[own], item[own], t.words.place()[at][own]))
+            for way, h, at in windows(t, s):
+                item = t.words.text_of()[at]
+                own = np.minimum(count[item], size) == s
+                rows.append((h[own], item[own] * 2 + way, t.words.place()[at][own]))
         h, item, place = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(h, kind="stable")
         self.h, self.item, self.place = h[order], item[order], place[order]
-        self.total = np.bincount(self.item, minlength=len(ids))
+        self.total = np.bincount(self.item, minlength=2 * len(ids))
         bits = np.zeros(1 << 20, bool)
         bits[(self.h >> np.uint64(44)).astype(np.int64)] = True
         self.bits = bits
 
     def hits(self, t: Template) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, windows found, offset of the text's words from the item's, found at it) where any is found."""
+        """(text, item, TYPED or PLAIN, windows found, offset of the text's words from the item's) where any is found."""
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         of, place = t.words.text_of(), t.words.place()
         for s in self.sizes:
-            h, at = windows(t, s)
-            maybe = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-            lo = np.searchsorted(self.h, h[maybe])
-            hi = np.searchsorted(self.h, h[maybe], "right")
-            for a, x, y in zip(at[maybe[lo < hi]].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                for k in range(x, y):
-                    found[int(of[a]), int(self.item[k])].append((int(self.place[k]), int(place[a])))
+            for _, h, at in windows(t, s):
+                maybe = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
+                lo = np.searchsorted(self.h, h[maybe])
+                hi = np.searchsorted(self.h, h[maybe], "right")
+                for a, x, y in zip(at[maybe[lo < hi]].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                    for k in range(x, y):
+                        found[int(of[a]), int(self.item[k])].append((int(self.place[k]), int(place[a])))
         for (text, item), pairs in found.items():
-            shift, n = Counter(p - q for q, p in pairs).most_common(1)[0]
-            yield text, item, len({q for q, _ in pairs}), shift, n
+            shift = Counter(p - q for q, p in pairs).most_common(1)[0][0]
+            yield text, item // 2, item % 2, len({q for q, _ in pairs}), shift
 
     def verified(self, t: Template, data: np.ndarray, text: int, item: int, shift: int) -> tuple[bool, bool]:
         """Whether the slots agree, and whether any value was changed."""
@@ -161,46 +178,81 @@ class Index:
         pairs = [(k, v, w) for (k, v), (kind, w) in zip(self.values[item][a - lo - shift :], values(t, a, b, data), strict=False) if k == kind != LITERAL]
         return consistent(pairs), any(v != w for _, v, w in pairs)
 
+    def items_in(self, data: np.ndarray, offsets: np.ndarray, least: float) -> list[tuple[int, int, float, bool]]:
+        """(text, item id, share of windows found, whether values were changed) of each item of which a share `least` of the
+        windows is in a text, either of its words or of its template with agreeing slots."""
+        t = template(data, offsets)
+        best: dict[tuple[int, int], tuple[float, bool]] = {}
+        for text, item, way, n, shift in self.hits(t):
+            share = n / float(self.total[2 * item + way])
+            if share >= least:
+                agree, changed = self.verified(t, data, text, item, shift)
+                if agree or way == PLAIN:
+                    old = best.get((text, item), (0.0, True))
+                    best[text, item] = max(share, old[0]), changed and old[1]
+        return [(text, self.ids[item], share, changed) for (text, item), (share, changed) in best.items()]
+
 
 FOUND = "key long, item_id long, containment double, reparameterised boolean"
 
 
-def matches(docs: DataFrame, index: Index, least: float) -> DataFrame:
-    """FOUND rows of docs (_k, text) for each item of which a share `least` of the windows is there, with agreeing slots."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def parts_of(benchmark: DataFrame, size: int, part_items: int) -> Iterator[Broadcast]:
+    """The index of benchmark (item_id, text), in parts of about part_items items that are each broadcast."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    parts = max(1, -(-items.count() // part_items))
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").toPandas()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows.item_id.tolist(), rows.text.tolist(), size))
+
+
+def matches(docs: DataFrame, index: Broadcast, least: float) -> DataFrame:
+    """FOUND rows of docs (_k, text) for each item that is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for lo, _, data, offsets in pieces(batch.column(1)):
-                t = template(data, offsets)
-                rows = []
-                for text, item, n, shift, _ in ix.hits(t):
-                    if n >= least * ix.total[item]:
-                        agree, changed = ix.verified(t, data, text, item, shift)
-                        if agree:
-                            rows.append((int(keys[lo + text]), ix.ids[item], n / float(ix.total[item]), changed))
+                rows = [(int(keys[lo + text]), *found) for text, *found in index.value.items_in(data, offsets, least)]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["key", "item_id", "containment", "reparameterised"])
 
     return docs.select("_k", "text").mapInArrow(run, FOUND)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = 8, least: float = 0.5, part_items: int = 20_000) -> DataFrame:
+    """The rows of docs that hold no item of benchmark, each judged where it is read. As `contained` in all else."""
+    rows = rows_of(docs)
+
+    def keep(index: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fine = np.ones(batch.num_rows, bool)
+                for lo, _, data, offsets in pieces(batch.column(0).field(text_col)):
+                    fine[[lo + text for text, *_ in index.value.items_in(data, offsets, least)]] = False
+                yield batch.filter(pa.array(fine))
+
+        return run
+
+    for index in parts_of(benchmark, size, part_items):
+        rows = rows.mapInArrow(keep(index), rows.schema)
+    return rows.select(*fields(docs.columns))
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8, least: float = 0.5, part_items: int = 20_000) -> DataFrame:
     """(id, n_items, item_id, containment, reparameterised, contaminated) of every row of docs: how many items of benchmark
     (item_id, text) it holds, that with the most windows found (ties: the smallest id), and whether that one's values differ.
 
+    An item is found by its words, or by its template where half of a window's words are literal: with changed values, one that
+    is mostly values cannot be told from chance. An item shorter than a window is one window; one of fewer than three words is only
+    found where it is a line of its own. Null items and those without words match nothing.
+
     The benchmark's index is broadcast in parts of part_items items, each a pass over docs, so no part outgrows a task
-    however long the benchmark is. Items of fewer than three words, or null, match nothing; an item shorter than a
-    window is one window. Null and blank texts hold nothing. Repeated ids and rows are judged one by one."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    parts = max(1, -(-items.count() // part_items))
+    however long the benchmark is. Null and blank texts hold nothing. Repeated ids and rows are judged one by one; other
+    columns are left out."""
     keyed = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     found = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").toPandas()
-        some = matches(keyed, Index(rows.item_id.tolist(), rows.text.tolist(), size), least)
+    for index in parts_of(benchmark, size, part_items):
+        some = matches(keyed, index, least)
         found = some if found is None else found.unionByName(some)
     best = found.groupBy("key").agg(F.countDistinct("item_id").alias("n_items"), F.max(F.struct("containment", -F.col("item_id"), "reparameterised")).alias("b"))
     best = best.select("key", "n_items", (-F.col("b.col2")).alias("item_id"), "b.containment", "b.reparameterised")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,21 +34,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df's plan; of a file scan, the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def cleanup(spark: SparkSession) -> bool:
+    """Removes all tables that `written` has made in the shared folder, by this session or others. Results that still read them
+    must have been written or collected before. False: there were none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/ledgerleaf")
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
 
 
-def buckets_for(df: DataFrame, bytes_per_bucket: int, least: int = 8, most: int = 65_536) -> int:
-    """How many buckets to deal df's derived rows to, so that a bucket's size doesn't grow with the input."""
-    return max(least, min(most, -(-input_bytes(df) // bytes_per_bucket)))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """The bytes of a string column's values, summed over all rows."""
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def buckets_for(text_bytes: int, bytes_per_bucket: int, least: int = 8) -> int:
+    """How many buckets to deal rows made of a text to, so that a bucket's size doesn't grow with the input."""
+    return max(least, -(-text_bytes // bytes_per_bucket))
+
+
+def rows_of(df: DataFrame) -> DataFrame:
+    """df's rows as one struct `row`, so that none of its columns can clash with an operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias("row"))
+
+
+def fields(columns: list[str]) -> list[Column]:
+    """The columns of a `row` that rows_of has made."""
+    return [F.col("row").getField(c).alias(c) for c in columns]
 
 
 def with_key(df: DataFrame, id_col: str, key: str = "_k") -> DataFrame:
-    """df with a long key that is unique. It is id_col itself where those are unique and not null;
-    else each row is written once with a number of its own, so that repeated rows stay apart."""
-    if dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
-        bad = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    """df with a long key that is unique, in place of any column of that name. It is id_col itself (a column, or a struct's field)
+    where those are unique and not null; else each row is written once with a number of its own, so that repeated rows stay apart."""
+    kind = df.select(F.col(id_col).alias("id"))
+    if kind.dtypes[0][1] in ("bigint", "int", "smallint", "tinyint"):
+        bad = kind.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull())
         if bad.isEmpty():
             return df.withColumn(key, F.col(id_col).cast("long"))
     return written(df.withColumn(key, F.monotonically_increasing_id()), "keyed")

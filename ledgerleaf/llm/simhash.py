@@ -15,6 +15,7 @@ from ledgerleaf.llm.graph import Forest, components
 from ledgerleaf.llm.scratch import written
 from ledgerleaf.llm.streams import groups
 from ledgerleaf.llm.textbytes import mixed, trim
+from ledgerleaf.llm.verified import verified
 
 SEED = 42
 #: Bits in which the first halves of two wide fingerprints may differ: at a similarity of 0.8, 19 do, give or take 4.
@@ -166,40 +167,6 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def verify_tiles(batches: Iterator[pa.RecordBatch], words: int, radius: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Links that span what pairs of documents within the radius join, of one tile (role 0) or of two (roles 0 and 1), where the
-    exact similarity of their shingles is `least` or more. A pair that earlier links already join is not looked at again."""
-    for table in groups(batches, "task"):
-        role, node = table.column("role").to_numpy(), table.column("id").to_numpy()
-        order = np.lexsort((node, role))
-        table, role, node = table.take(pa.array(order)), role[order], node[order]
-        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, words)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        home = int((role == 0).sum())
-        other = home < len(node)
-        label = list(range(len(node)))
-
-        def root(x: int, label: list[int] = label) -> int:
-            while label[x] != x:
-                label[x] = label[label[x]]
-                x = label[x]
-            return x
-
-        src, dst = [], []
-        for i in range(home):
-            at = home if other else i + 1
-            near = np.flatnonzero(np.bitwise_count(fp[i] ^ fp[at:]).sum(1, dtype=np.int64) <= radius) + at
-            for j in near.tolist():
-                a, b = root(i), root(j)
-                if a != b and jaccard_at_least(sets[i], sets[j], least):
-                    label[max(a, b)] = min(a, b)
-                    src.append(i)
-                    dst.append(j)
-        if src:
-            yield pa.record_batch([pa.array(node[src], pa.int64()), pa.array(node[dst], pa.int64())], names=["src", "dst"])
-        trim()
-
-
 def packed_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each tile, with its fingerprints and ids as two blobs, so that a tile meets others as one row."""
     for table in groups(batches, "tile"):
@@ -231,32 +198,29 @@ def compare_wide(batches: Iterator[pa.RecordBatch], words: int, radius: int, blo
         trim()
 
 
-def tile_plan(counts: dict[int, int], radius: int, tile_rows: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Tiles (lowest count, highest count, how many tiles share them) of about tile_rows fingerprints in order of population
-    count, and the pairs of tile numbers whose counts come within the radius."""
-    tiles: list[tuple[int, int, int]] = []
-    low = size = 0
+def tile_plan(counts: dict[int, int], radius: int, tile_rows: int) -> list[tuple[int, int, int, int, int]]:
+    """Runs of fingerprints in order of population count, (lowest, highest count, first tile, tiles, last tile that theirs meet):
+    tiles of about tile_rows fingerprints, which meet those whose counts come within the radius. There are 257 runs at most."""
+    runs: list[list[int]] = []
     for c in sorted(counts):
-        if size and size + counts[c] > tile_rows:
-            tiles.append((low, last, max(1, -(-size // tile_rows))))
-            size = 0
-        if not size:
-            low = c
-        size, last = size + counts[c], c
-    if size:
-        tiles.append((low, last, max(1, -(-size // tile_rows))))
-    spans = [(lo, hi) for lo, hi, n in tiles for _ in range(n)]
-    return tiles, [(i, j) for i in range(len(spans)) for j in range(i, len(spans)) if spans[j][0] - spans[i][1] <= radius]
-
-
-def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, radius: int = 56, least: float = 0.8, tile_rows: int = 20_000, group_rows: int = 256) -> DataFrame:
+        if runs and runs[-1][2] + counts[c] <= tile_rows:
+            runs[-1][1], runs[-1][2] = c, runs[-1][2] + counts[c]
+        else:
+            runs.append([c, c, counts[c]])
+    many = [max(1, -(-n // tile_rows)) for _, _, n in runs]
+    first = [sum(many[:i]) for i in range(len(runs))]
+    last = [max(first[j] + many[j] - 1 for j in range(i, len(runs)) if runs[j][0] - runs[i][1] <= radius) for i in range(len(runs))]
+    return [(lo, hi, f, m, t) for (lo, hi, _), f, m, t in zip(runs, first, many, last, strict=True)]
+
+
+def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, radius: int = 56, least: float = 0.8, tile_rows: int = 20_000) -> DataFrame:
     """(id, component_id) of every row of docs with a unique id, linked where the sets of word shingles have a Jaccard similarity
     of `least` or more. Wide fingerprints that differ in `radius` bits or fewer only find the candidates: each link is verified on
-    the exact sets. Blank texts are alike.
+    the exact sets. Null, empty and blank texts are alike, and a text of fewer words is one shingle. Other columns are left out.
 
     Of sets of shingles with the cosine c, each bit differs with probability arccos(c) / pi. A similarity of 0.8 is a cosine of
-    0.89: 39 of 256 bits, give or take 6. Unrelated texts differ in 128, give or take 8. What candidates join is a group; a group
-    of more than group_rows documents is cut into tiles, and each pair of its tiles is verified by a task of its own."""
+    0.89: 39 of 256 bits, give or take 6. Unrelated texts differ in 128, give or take 8. What candidates join is a group,
+    in which links are verified tile by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,31 +231,38 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py() or b"", words)[1].tobytes() for t in batch.column(4).cast(pa.large_binary())]
-            yield pa.record_batch([*batch.columns[:4], pa.array(found, pa.binary())], names=["id", "fp", "group", "tiles", "shingles"])
+            found = [fp + shingle_set(t.as_py() or b"", words)[1].tobytes() for fp, t in zip(batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary()), strict=True)]
+            yield pa.record_batch([*batch.columns[:2], pa.array(found, pa.binary())], names=["id", "group", "payload"])
             trim()
 
+    def load(payloads: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        return np.frombuffer(b"".join(p[:32] for p in payloads), np.uint64).reshape(-1, 4), [np.frombuffer(p, np.uint64, offset=32) for p in payloads]
+
+    def near(state: tuple[np.ndarray, list[np.ndarray]], i: int, others: np.ndarray) -> np.ndarray:
+        fp, members = state
+        out = np.bitwise_count(fp[i] ^ fp[others]).sum(1, dtype=np.int64) <= radius
+        for k in np.flatnonzero(out).tolist():
+            out[k] = jaccard_at_least(members[i], members[int(others[k])], least)
+        return out
+
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = written(texts.mapInArrow(run, "id long, fp binary, n int, sum long"), "wide")
     distinct = written(prints.groupBy("fp", "n", "sum").agg(F.min("id").alias("id")), "distinct")
-    tiles, pairs = tile_plan({r.n: r["count"] for r in distinct.groupBy("n").count().collect()}, radius, tile_rows)
-    first, of = 0, F.lit(-1).cast("long")
-    for low, high, many in tiles:
+    runs = tile_plan({r.n: r["count"] for r in distinct.groupBy("n").count().collect()}, radius, tile_rows)
+    of = F.lit(-1).cast("long")
+    for low, high, first, many, _ in runs:
         of = F.when(F.col("n").between(low, high), F.lit(first) + F.pmod(F.xxhash64("id"), F.lit(many))).otherwise(of)
-        first += many
-    plan = [(t, i, 0) for t, (i, j) in enumerate(pairs)] + [(t, j, 1) for t, (i, j) in enumerate(pairs) if i != j]
-    tasks = docs.sparkSession.createDataFrame(plan or [(-1, -1, 0)], "task long, tile long, role int")
+    # a tile's pairs are listed by Spark, not by the driver
+    plan = docs.sparkSession.createDataFrame([(f, m, t) for _, _, f, m, t in runs], "first long, many long, last long")
+    pairs = plan.select("last", F.explode(F.expr("sequence(first, first + many - 1)")).alias("i")).select("i", F.explode(F.expr("sequence(i, last)")).alias("j"))
+    both = F.array(F.struct(F.col("i").alias("tile"), F.lit(0).alias("role")), F.struct(F.col("j").alias("tile"), F.lit(1).alias("role")))
+    tasks = pairs.select(F.xxhash64("i", "j").alias("task"), F.explode(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)).alias("t")).select("task", "t.tile", "t.role")
     packed = distinct.select("id", "fp", of.alias("tile")).repartition("tile").sortWithinPartitions("tile").mapInArrow(packed_tiles, "tile long, fps binary, ids binary")
     met = written(packed, "tiles").join(tasks, "tile").select("task", "role", "fps", "ids")
     candidates = components(met.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: compare_wide(b, 4, radius), "src long, dst long"))
-    member = written(distinct.join(candidates, "id").select("id", "fp", F.col("component_id").alias("group")), "candidates")
-    size = member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("tiles"))
-    held = written(texts.join(member.join(size, "group"), "id").select("id", "fp", "group", "tiles", "text").mapInArrow(sets, "id long, fp binary, group long, tiles int, shingles binary"), "shingles")
-    mine = F.pmod(F.xxhash64("id"), F.col("tiles"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(mine, t.cast("long")).alias("i"), F.greatest(mine, t.cast("long")).alias("j"), F.when(mine <= t, 0).otherwise(1).alias("role")))
-    shared = held.select("id", "fp", "group", "shingles", F.explode(meets).alias("t")).select(F.xxhash64("group", "t.i", "t.j").alias("task"), F.col("t.role").alias("role"), "id", "fp", "shingles")
-    links = shared.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: verify_tiles(b, 4, radius, least), "src long, dst long")
-    joined = distinct.join(components(links), "id", "left").select("fp", "sum", F.coalesce("component_id", "id").alias("component_id"))
+    member = written(distinct.join(candidates, "id").select("id", F.col("component_id").alias("group"), "fp"), "candidates")
+    members = texts.join(member, "id").select("id", "group", "fp", "text").mapInArrow(sets, "id long, group long, payload binary")
+    joined = distinct.join(verified(members, load, near), "id", "left").select("fp", "sum", F.coalesce("component_id", "id").alias("component_id"))
     return prints.join(joined, ["fp", "sum"]).select("id", "component_id")
 
 

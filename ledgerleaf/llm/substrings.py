@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.scratch import buckets_for, with_key
+from ledgerleaf.llm.scratch import buckets_for, text_bytes, with_key
 from ledgerleaf.llm.streams import groups
 from ledgerleaf.llm.textbytes import Words, pieces, planes, unplanes
 
@@ -130,7 +130,8 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     A null or blank text has no words and keeps the empty string. Rows that repeat an id, or whole rows, are texts
     of their own and repeat each other."""
     block = (window + 1) // 2
-    buckets, many = buckets_for(docs, 6 << 20), buckets_for(docs, 2 << 20)
+    size = text_bytes(docs, text_col)
+    buckets, many = buckets_for(size, 10 << 20), buckets_for(size, 3 << 20)
     keyed = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     keyed = keyed.withColumn("grp", F.pmod(F.xxhash64("_k"), F.lit(many)).cast("int"))
     id_type = dict(keyed.dtypes)["id"]

@@ -28,3 +28,28 @@ def test_odd_rows_and_empty_tables(spark):
     assert decontaminate.contained(odd(spark), items).count() == 11
     assert decontaminate.contained(docs(spark, []), items).count() == 0
     assert decontaminate.contained(odd(spark), items.limit(0)).count() == 11
+
+
+def test_items_of_values_and_short_items(spark):
+    items = [(1, "Compute 12 + 7 km minus 33 kg times 45 / 9 hours"), (2, "Paris"), (3, "Name the capital"), (4, "Anna met Carl and Eva in Rome"), (5, ""), (6, "--- !!!")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "So far so good. Compute 12 + 7 km minus 33 kg times 45 / 9 hours. And then more."), (2, "He went to Paris in May."), (3, "Which one?\nParis\nLondon"), (4, "Please Name the capital of it."),
+        (5, "Then anna met Carl and Eva in Rome, it seems"), (6, None), (7, "Compute 99 + 8 km minus 31 kg times 46 / 2 hours"),
+    ]
+    got = {r.id: (r.item_id, r.reparameterised) for r in decontaminate.contained(docs(spark, rows), table).collect()}
+    # an item that is mostly values is not found with other values
+    assert got == {1: (1, False), 2: (None, False), 3: (2, False), 4: (3, False), 5: (4, False), 6: (None, False), 7: (None, False)}
+
+
+def test_every_item_verbatim_and_with_other_numbers(spark):
+    """All items of the benchmark, each put into a text: by itself, and with every number changed to another."""
+    import re
+
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    texts = {r.item_id: r.text for r in items.collect()}
+    changed = {i: re.sub(r"\d+", lambda m: str(int(m[0]) * 7 + 11), t) for i, t in texts.items()}
+    rows = [(i, "What comes before. " + t + " What comes after.") for i, t in texts.items()] + [(100_000 + i, "What comes before. " + t + " What comes after.") for i, t in changed.items()]
+    got = {r.id: r.n_items for r in decontaminate.contained(docs(spark, rows), items).collect()}
+    assert all(got[i] > 0 for i in texts)
+    assert sum(got[100_000 + i] > 0 for i in texts) >= 0.9 * len(texts)

@@ -1,7 +1,7 @@
 import xxhash
 from helpers import docs, odd, words
 
-from ledgerleaf.llm import simhash
+from ledgerleaf.llm import simhash, verified
 
 
 def brute_print(t):
@@ -74,7 +74,7 @@ def test_wide_groups_join_edits_not_strangers(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
-def test_wide_groups_are_those_of_exact_similarity(spark):
+def test_wide_groups_are_those_of_exact_similarity(spark, monkeypatch):
     import random
 
     rng = random.Random(8)
@@ -99,7 +99,8 @@ def test_wide_groups_are_those_of_exact_similarity(spark):
         for j in range(11):
             if want[last] != want[j] and len(sets[last] & sets[j]) >= 0.8 * len(sets[last] | sets[j]):
                 want[last] = want[j] = min(want[last], want[j])
-    for more in ({}, {"group_rows": 3}):
-        got = {r.id: r.component_id for r in simhash.near_groups(docs(spark, rows), "doc_id", **more).collect()}
+    for size in (1024, 3):
+        monkeypatch.setattr(simhash, "verified", lambda *a, size=size: verified.verified(*a, tile_rows=size))
+        got = {r.id: r.component_id for r in simhash.near_groups(docs(spark, rows), "doc_id").collect()}
         assert got == want
     assert len(set(want.values())) > 60 and want[len(rows) - 1] == 0
