@@ -1,11 +1,14 @@
 """Language-model scores from Brown class-based n-grams.
 
-Frequent words are symbols of their own; all others belong to a rest symbol by their ending. Exchange clustering on
-the symbols' bigram counts puts each symbol in a class. A word's probability is that of its class after the class
-before, times that of its symbol in the class, times that of the word in its symbol.
-
-Counts come from every training text. Only what has a fixed size is broadcast: the symbols' tables and the counts of the
-`hot` most frequent words. Counts of all other words stay in buckets by hash, and rare words of a text go there.
+The most frequent words are clustered by exchange on their bigram counts. Every other word that is not truly rare then moves
+to the class that its own neighbours' classes fit best: exchange against the class contexts, word by word in buckets, so that the
+clustered vocabulary grows with the corpus. Truly rare and unknown words go where words of their ending go. A
+word's probability is that of its class after the class before, times that of the word in its class, with a discount that leaves
+room for words never seen.
+
+Texts are read once and kept as numbered words, a piece to a row. Counts and classes of all words stay in buckets by hash; a
+piece asks each bucket once for its different words. Only what has a fixed size is broadcast: the clustered symbols' tables
+and the class bigrams.
 """
 
 from __future__ import annotations
@@ -20,22 +23,25 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.llm.scratch import buckets_for, text_bytes, with_key, written
 from ledgerleaf.llm.streams import groups
-from ledgerleaf.llm.textbytes import LOWER_ASCII, Words, mixed, pieces, planes, unplanes
+from ledgerleaf.llm.textbytes import LOWER_ASCII, Words, mixed, pieces, planes, trim, unplanes
 
-REST = 64  # rest symbols
+REST = 64  # symbols of endings
 DISCOUNT = 0.7
+UNKNOWN = 255
 
 
 @dataclass
 class Settings:
-    symbols: int = 1024
-    classes: int = 64
-    hot: int = 65_536
-    sweeps: int = 6
+    symbols: int = 1024  # words that the driver clusters; all others are classed in buckets
+    classes: int = 64  # 254 at most
+    sweeps: int = 30  # at most; exchange ends when a sweep moves nothing
+    fewest: int = 3  # times that a word must occur to be classed by its neighbours
+    piece_bytes: int = 4 << 20
+    bucket_bytes: int = 32 << 20  # of text, whose words a bucket holds
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words in lower case, their hashes and rest symbols: by the last two bytes, all words with a digit together."""
+    """Words in lower case, their hashes and endings: by the last two bytes, all words with a digit together."""
     data = LOWER_ASCII[data]
     words = Words(data, offsets)
     h = words.hashes()
@@ -46,57 +52,83 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     return words, h, rest
 
 
-def sums_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, sorted, and each value's sums over equal keys."""
-    if not len(key):
-        return (key, *values)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return (key[at], *(np.add.reduceat(v[order], at) for v in values))
+PIECES = "piece long, keys binary, learn binary, sizes binary, hashes binary, rests binary, words binary"
+
+
+def as_pieces(keyed: DataFrame, piece_bytes: int) -> DataFrame:
+    """PIECES: of a run of texts, their keys, whether to learn from each, how many words each has, their different words'
+    hashes and endings, the frequent ones first, and the number of each word among those. piece is the first text's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+            for lo, hi, data, offsets in pieces(batch.column(2), piece_bytes):
+                words, h, rest = words_of(data, offsets)
+                different, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(-n, kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                blobs = [keys[lo:hi].tobytes(), learn[lo:hi].tobytes(), planes(words.counts.astype(np.uint32)), different[order].tobytes(), rest[first[order]].tobytes(), planes(rank[back].astype(np.uint32))]
+                yield pa.record_batch([pa.array([int(keys[lo])], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=[x.split()[0] for x in PIECES.split(", ")])
+
+    return written(keyed.select("_k", "in_training", "text").mapInArrow(run, PIECES), "words")
+
+
+class Piece:
+    """A row of PIECES."""
+
+    def __init__(self, row: dict):
+        self.number = row["piece"]
+        self.keys, self.learn = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["learn"], np.uint8) > 0
+        self.sizes = unplanes(row["sizes"], np.uint32).astype(np.int64)
+        self.hashes, self.rests = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["rests"], np.uint8)
+        self.words = unplanes(row["words"], np.uint32).astype(np.int64)
+
+    def learned(self) -> np.ndarray:
+        """Which of the words are of texts to learn from."""
+        return np.repeat(self.learn, self.sizes)
+
+    def with_ends(self, values: np.ndarray, end: int) -> np.ndarray:
+        """Values of all texts' words, each text followed by `end`."""
+        return np.insert(values, np.cumsum(self.sizes), end)
+
+
+def each_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Piece(batch.slice(i, 1).to_pylist()[0])
+        trim()
+
+
+def by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, indices into h) of each bucket that any of h belongs to."""
+    bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    some, at = np.unique(bucket[order], return_index=True)
+    if len(some):
+        yield from zip(some.tolist(), np.split(order, at[1:]), strict=True)
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.record_batch([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
 COUNTED = "bucket int, hashes binary, counts binary, rests binary"
 
 
 def vocabulary(texts: DataFrame, buckets: int, top: int) -> DataFrame:
-    """One row a bucket: its words' hashes in order, counts and rest symbols; sums of them by rest symbol; and its most
-    frequent, twice its share of `top`: words are dealt by hash, so that holds the `top` of all, or as frequent ones."""
+    """One row a bucket: its words' hashes in order, counts in texts to learn from, and endings; and its most frequent, twice its
+    share of `top`: words are dealt by hash, so those hold the `top` of all, or as frequent ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def merged() -> tuple[np.ndarray, ...]:
-            h, n, packed = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
-            h = h[order]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            return h[at], np.add.reduceat(n[order], at) if len(at) else n, packed[order][at]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, n, rest = merged()
-            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            some, at = np.unique(bucket[order], return_index=True)
-            rows = list(zip(some.tolist(), np.split(order, at[1:]), strict=True)) if len(some) else []
-            yield pa.record_batch(
-                [pa.array([b for b, _ in rows], pa.int32()), pa.array([h[i].tobytes() for _, i in rows], pa.binary()), pa.array([planes(n[i].astype(np.uint64)) for _, i in rows], pa.binary()), pa.array([rest[i].tobytes() for _, i in rows], pa.binary())],
-                names=["bucket", "hashes", "counts", "rests"],
-            )
-
-        for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(0)):
-                _, h, rest = words_of(data, offsets)
-                held.append((h, np.ones(len(h), np.int64), rest))
-                if len(held) % 8 == 0:
-                    held = [merged()]
-                if sum(len(x[0]) for x in held) > 4_000_000:
-                    held = [merged()]
-                    if len(held[0][0]) > 2_000_000:
-                        yield from flush()
-                        held = []
-        if held:
-            yield from flush()
+        for p in each_piece(batches):
+            n = np.bincount(p.words[p.learned()], minlength=len(p.hashes))
+            some = np.flatnonzero(n)
+            rows = [(b, p.hashes[i].tobytes(), planes(n[i].astype(np.uint64)), p.rests[i].tobytes()) for b, i in ((b, some[at]) for b, at in by_bucket(p.hashes[some], buckets))]
+            yield batch_of(rows, COUNTED)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "bucket"):
@@ -111,50 +143,50 @@ def vocabulary(texts: DataFrame, buckets: int, top: int) -> DataFrame:
             best = np.lexsort((h, -n))[: -(-2 * top // buckets)]
             yield pa.record_batch(
                 [
-                    pa.array([rows[0]["bucket"]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([planes(n.astype(np.uint64))], pa.binary()), pa.array([rest.tobytes()], pa.binary()),
-                    pa.array([np.bincount(rest, n, REST).astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([np.bincount(rest, minlength=REST).tolist()], pa.list_(pa.int64())),
-                    pa.array([[{"n": int(n[i]), "h": int(h[i].astype(np.int64)), "rest": int(rest[i])} for i in best]], pa.list_(pa.struct([("n", pa.int64()), ("h", pa.int64()), ("rest", pa.int32())]))),
+                    pa.array([rows[0]["bucket"]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([planes(n.astype(np.uint64))], pa.binary()), pa.array([rest.tobytes()], pa.binary()), pa.array([int(n.sum())], pa.int64()), pa.array([len(n)], pa.int64()),
+                    pa.array([[{"n": int(n[i]), "h": int(h[i].astype(np.int64))} for i in best]], pa.list_(pa.struct([("n", pa.int64()), ("h", pa.int64())]))),
                 ],
                 names=["bucket", "hashes", "counts", "rests", "tokens", "types", "best"],
             )
+            trim()
 
     counted = texts.mapInArrow(count, COUNTED).repartition("bucket").sortWithinPartitions("bucket")
-    return written(counted.mapInArrow(add, f"{COUNTED}, tokens array<long>, types array<long>, best array<struct<n:long,h:long,rest:int>>"), "vocabulary")
+    return written(counted.mapInArrow(add, f"{COUNTED}, tokens long, types long, best array<struct<n:long,h:long>>"), "vocabulary")
 
 
-def symbols_in(h: np.ndarray, rest: np.ndarray, keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Each word's symbol: its own if its hash is in keys (sorted), else its rest symbol."""
+def found_in(h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of h is in keys (sorted), and whether it is there."""
     if not len(keys):
-        return rest.astype(np.int64)
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, symbols[at], rest)
+    return at, keys[at] == h
 
 
-def bigrams(texts: DataFrame, keys: np.ndarray, own: np.ndarray, n_symbols: int, slices: int = 32) -> np.ndarray:
-    """How often each symbol follows each over all texts; the last symbol stands for a text's start and end.
+def bigrams(texts: DataFrame, keys: np.ndarray, n_symbols: int, slices: int = 32) -> np.ndarray:
+    """How often each symbol follows each over all texts to learn from: endings, then `keys`, then a text's start and end.
     The result has n_symbols squared cells, whatever the input."""
     end, cells = n_symbols - 1, n_symbols * n_symbols
     width = -(-cells // slices)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width * slices, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in pieces(batch.column(0)):
-                words, h, rest = words_of(data, offsets)
-                line, _ = with_ends(words, symbols_in(h, rest, keys, own), end)
-                total[:cells] += np.bincount(np.append(end, line[:-1]) * n_symbols + line, minlength=cells)
+        for p in each_piece(batches):
+            at, known = found_in(p.hashes, keys)
+            line = p.with_ends(np.where(known, REST + at, p.rests)[p.words], end)
+            to = np.flatnonzero(np.repeat(p.learn, p.sizes + 1))
+            total[:cells] += np.bincount(np.append(end, line)[to] * n_symbols + line[to], minlength=cells)
         for s in range(slices):
             part = total[s * width : (s + 1) * width]
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.record_batch([pa.array([s], pa.int32()), pa.array([planes(np.diff(at, prepend=0).astype(np.uint32))], pa.binary()), pa.array([planes(part[at].astype(np.uint64))], pa.binary())], names=["slice", "steps", "counts"])
+                yield batch_of([(s, planes(np.diff(at, prepend=0).astype(np.uint32)), planes(part[at].astype(np.uint64)))], "slice int, steps binary, counts binary")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "slice"):
             total = np.zeros(width, np.int64)
             for r in table.to_pylist():
                 total[np.cumsum(unplanes(r["steps"], np.uint32).astype(np.int64))] += unplanes(r["counts"], np.uint64).astype(np.int64)
-            yield pa.record_batch([pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+            yield batch_of([(table.column("slice")[0].as_py(), total.tobytes())], "slice int, counts binary")
 
     counted = texts.mapInArrow(count, "slice int, steps binary, counts binary").repartition("slice").sortWithinPartitions("slice")
     matrix = np.zeros((slices, width), np.int64)
@@ -163,15 +195,9 @@ def bigrams(texts: DataFrame, keys: np.ndarray, own: np.ndarray, n_symbols: int,
     return matrix.reshape(-1)[:cells].reshape(n_symbols, n_symbols)
 
 
-def with_ends(words: Words, symbols: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts one after another, each text followed by `end`, and which text each belongs to."""
-    line = np.insert(symbols, words.first[1:], end)
-    return line, np.repeat(np.arange(len(words.counts)), words.counts + 1)
-
-
 def exchange(matrix: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """The class of each symbol but the last, which has class `classes` to itself. Each symbol in turn moves to the class
-    where the class bigrams' likelihood is highest, until a sweep moves none."""
+    where the class bigrams' likelihood is highest, until a sweep moves none, or for so many sweeps."""
     n = len(matrix) - 1
     m = matrix.astype(np.float64)
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
@@ -220,53 +246,196 @@ def exchange(matrix: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
+CONTEXTS = f"{COUNTED}, prevs binary, nexts binary"
+CLASSED = "bucket int, hashes binary, counts binary, classes binary, class_tokens array<long>, class_types array<long>"
+
+
+def classed(texts: DataFrame, words: DataFrame, buckets: int, keys: np.ndarray, of: np.ndarray, cc: np.ndarray, settings: Settings) -> DataFrame:
+    """CLASSED: vocabulary's words with a class each, and sums of counts and of different words by class. A word that the driver has
+    not clustered and that occurs `fewest` times or more goes where the likelihood of its neighbours' classes is highest; of equal
+    classes to the first."""
+    k = len(cc)
+    shared = texts.sparkSession.sparkContext.broadcast((keys, of))
+    p = cc + 0.5
+    fit_ = np.log(p * p.sum() / p.sum(1, keepdims=True) / p.sum(0, keepdims=True))[:, :]
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, of = shared.value
+        for p in each_piece(batches):
+            at, known = found_in(p.hashes, keys)
+            symbol = np.where(known, REST + at, p.rests)
+            line = p.with_ends(of[symbol][p.words], k - 1).astype(np.uint8)
+            own = p.with_ends(p.words, -1)
+            some = np.flatnonzero((own >= 0) & np.repeat(p.learn, p.sizes + 1) & ~np.append(known, True)[own])
+            some = some[np.argsort(own[some], kind="stable")]
+            word, prevs, nexts = own[some], np.append(np.uint8(k - 1), line)[some], line[some + 1]
+            n = np.bincount(word, minlength=len(p.hashes))
+            to = np.cumsum(n)
+            there = np.flatnonzero(n)
+            rows = []
+            for b, i in by_bucket(p.hashes[there], buckets):
+                w = there[i]
+                inside = np.arange(int(n[w].sum())) + np.repeat(to[w] - n[w] - (np.cumsum(n[w]) - n[w]), n[w])
+                rows.append((b, p.hashes[w].tobytes(), planes(n[w].astype(np.uint32)), None, prevs[inside].tobytes(), nexts[inside].tobytes()))
+            yield batch_of(rows, CONTEXTS)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, of = shared.value
+        for table in groups(batches, "bucket"):
+            rows = table.to_pylist()
+            own = next((r for r in rows if r["rests"] is not None), None)
+            if own is None:
+                continue
+            h, n = np.frombuffer(own["hashes"], np.uint64), unplanes(own["counts"], np.uint64).astype(np.int64)
+            cls = of[np.frombuffer(own["rests"], np.uint8)].astype(np.uint8)
+            at, known = found_in(h, keys)
+            cls[known] = of[REST + at[known]]
+            busy = np.flatnonzero(~known & (n >= settings.fewest))
+            slot = np.full(len(h), -1)
+            slot[busy] = np.arange(len(busy))
+            seen = [(np.zeros(0, np.int64),) * 3]
+            for r in rows:
+                if r["rests"] is None:
+                    word = np.repeat(slot[found_in(np.frombuffer(r["hashes"], np.uint64), h)[0]], unplanes(r["counts"], np.uint32).astype(np.int64))
+                    keep = word >= 0
+                    seen.append((word[keep].astype(np.int32), np.frombuffer(r["prevs"], np.uint8)[keep], np.frombuffer(r["nexts"], np.uint8)[keep]))
+            word, prevs, nexts = (np.concatenate(x) for x in zip(*seen, strict=True))
+            del rows, table, seen
+            order = np.argsort(word, kind="stable")
+            word, prevs, nexts = word[order].astype(np.int64), prevs[order].astype(np.int64), nexts[order].astype(np.int64)
+            for lo in range(0, len(busy), 20_000):
+                hi = min(lo + 20_000, len(busy))
+                a, b = np.searchsorted(word, [lo, hi])
+                some = (word[a:b] - lo) * k
+                before = np.bincount(some + prevs[a:b], minlength=(hi - lo) * k).reshape(-1, k)
+                after = np.bincount(some + nexts[a:b], minlength=(hi - lo) * k).reshape(-1, k)
+                cls[busy[lo:hi]] = (before @ fit_ + after @ fit_.T)[:, : k - 1].argmax(1)
+            sums = np.bincount(cls, n, k).astype(np.int64), np.bincount(cls, minlength=k)
+            yield batch_of([(own["bucket"], own["hashes"], own["counts"], cls.tobytes(), sums[0].tolist(), sums[1].tolist())], CLASSED)
+            trim()
+
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("prevs", "nexts")]
+    met = texts.mapInArrow(contexts, CONTEXTS).unionByName(words.select("bucket", "hashes", "counts", "rests", *empty))
+    return written(met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(assign, CLASSED), "classes")
+
+
 @dataclass
-class Model:
-    keys: np.ndarray  # hashes of the hot words, in order
-    counts: np.ndarray
-    symbols: np.ndarray  # of the hot words
-    follows: np.ndarray  # log10 of a class after a class
-    in_class: np.ndarray  # log10 of a symbol in its class
-    of: np.ndarray
-    rest_tokens: np.ndarray
-    rest_types: np.ndarray
+class Learned:
+    texts: DataFrame
+    words: DataFrame  # CLASSED
+    buckets: int
+    ending_class: np.ndarray
+    class_tokens: np.ndarray  # of each class, the end's last
+    class_types: np.ndarray
     n_tokens: int
     n_types: int
     n_texts: int
 
-    def rest_log(self, rest: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 of a word seen c times in its rest symbol; all words never seen share what the discount leaves."""
-        tokens, types = self.rest_tokens[rest].astype(float), self.rest_types[rest].astype(float)
-        seen = np.log10(np.maximum(c - DISCOUNT, 0.1)) - np.log10(np.maximum(tokens, 1))
-        unseen = np.log10(np.maximum(DISCOUNT * types, 0.1)) - np.log10(np.maximum(tokens, 1))
-        return np.where(c > 0, seen, np.where(tokens > 0, unseen, 0.0))
-
-
-def fit(texts: DataFrame, words: DataFrame, n_texts: int, settings: Settings) -> Model:
-    sums = words.select(*[F.sum(F.col("tokens")[i]).alias(f"n{i}") for i in range(REST)], *[F.sum(F.col("types")[i]).alias(f"v{i}") for i in range(REST)]).first()
-    tokens = np.array([sums[f"n{i}"] or 0 for i in range(REST)], np.int64)
-    types = np.array([sums[f"v{i}"] or 0 for i in range(REST)], np.int64)
-    n, v = int(tokens.sum()) + n_texts, int(types.sum()) + (n_texts > 0)
-    best = words.select(F.explode("best").alias("b")).select("b.*").orderBy(F.desc("n"), "h").limit(settings.hot).toPandas()
-    h, c, rest = best.h.to_numpy(np.int64).astype(np.uint64), best.n.to_numpy(np.int64), best.rest.to_numpy(np.int64)
-    own = np.arange(len(h)) < settings.symbols
-    tokens, types = tokens - np.bincount(rest[own], c[own], REST).astype(np.int64), types - np.bincount(rest[own], minlength=REST)
-    order = np.argsort(h)
-    symbols = np.where(own, REST + np.arange(len(h)), rest)[order]
-    n_symbols = REST + int(own.sum()) + 1
-    matrix = bigrams(texts, h[order], symbols, n_symbols)
+
+def learn(keyed: DataFrame, settings: Settings) -> Learned:
+    """From keyed (_k, text, in_training)."""
+    buckets = buckets_for(text_bytes(keyed, "text"), settings.bucket_bytes)
+    texts = as_pieces(keyed, settings.piece_bytes)
+    words = vocabulary(texts, buckets, settings.symbols)
+    n_texts = keyed.where("in_training").count()
+    sums = words.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    best = words.select(F.explode("best").alias("b")).select("b.*").orderBy(F.desc("n"), "h").limit(settings.symbols).toPandas()
+    keys = np.sort(best.h.to_numpy(np.int64).astype(np.uint64))
+    matrix = bigrams(texts, keys, REST + len(keys) + 1)
     of = exchange(matrix, settings.classes, settings.sweeps)
     member = np.eye(settings.classes + 1)[of]
-    cc = member.T @ matrix @ member
-    one = (cc.sum(0) + 1) / (cc.sum() + len(cc))
-    weight = 5.0
-    follows = np.log10((cc + weight * one) / (cc.sum(1, keepdims=True) + weight))
-    seen = matrix.sum(0) + 0.5
-    in_class = np.log10(seen / (member.T @ seen)[of])
-    return Model(h[order], c[order], symbols, follows, in_class, of, tokens, types, n, v, n_texts)
+    found = classed(texts, words, buckets, keys, of, member.T @ matrix @ member, settings)
+    k = settings.classes
+    row = found.select(*[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("class_tokens", "class_types") for i in range(k)]).first()
+    tokens, types = (np.array([row[f"{c}{i}"] or 0 for i in range(k)] + [n_texts if c == "class_tokens" else n_texts > 0], np.int64) for c in ("class_tokens", "class_types"))
+    return Learned(texts, found, buckets, of[:REST], tokens, types, int(sums.n or 0) + n_texts, int(sums.v or 0) + (n_texts > 0), n_texts)
+
+
+ASKED = "bucket int, piece long, hashes binary, counts binary, classes binary, places binary"
+SUMS = "key long, learn boolean, n_tokens long, n_known long, base double, emission double, line binary"
+
+
+def looked_up(model: Learned, classes: int) -> DataFrame:
+    """SUMS of each text: its tokens, those known, its logs of counts and of words in their classes, and its classes in order."""
+    buckets = model.buckets
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in each_piece(batches):
+            yield batch_of([(b, p.number, p.hashes[i].tobytes(), None, None, planes(i.astype(np.uint32))) for b, i in by_bucket(p.hashes, buckets)], ASKED)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's words come first; each row of a piece is sent back with counts and classes in place of hashes."""
+        bucket, h, n, cls = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["places"] is None:
+                    bucket, h, n, cls = r["bucket"], np.frombuffer(r["hashes"], np.uint64), unplanes(r["counts"], np.uint64).astype(np.int64), np.frombuffer(r["classes"], np.uint8)
+                    continue
+                if r["bucket"] != bucket:  # of which no word was learned
+                    bucket, h = r["bucket"], np.zeros(0, np.uint64)
+                at, known = found_in(np.frombuffer(r["hashes"], np.uint64), h)
+                c = np.where(known, n[at], 0) if len(h) else np.zeros(len(at), np.int64)
+                g = np.where(known, cls[at], UNKNOWN) if len(h) else np.full(len(at), UNKNOWN)
+                out.append((None, r["piece"], None, planes(c.astype(np.uint64)), g.astype(np.uint8).tobytes(), r["places"]))
+            yield batch_of(out, ASKED)
+
+    lists = model.words.select("bucket", F.lit(None).cast("long").alias("piece"), "hashes", "counts", "classes", F.lit(None).cast("binary").alias("places"))
+    asked = model.texts.mapInArrow(ask, ASKED).unionByName(lists).repartition("bucket").sortWithinPartitions("bucket", F.col("places").isNotNull())
+    answers = asked.mapInArrow(answer, ASKED).select("piece", "counts", "classes", "places")
+    tokens, types = np.maximum(model.class_tokens.astype(float), 1), model.class_types.astype(float)
+    ending_class, n_texts = model.ending_class, model.n_texts
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "piece"):
+            rows = table.to_pylist()
+            p = Piece(next(r for r in rows if r["places"] is None))
+            c, cls = np.zeros(len(p.hashes), np.int64), np.zeros(len(p.hashes), np.int64)
+            for r in rows:
+                if r["places"] is not None:
+                    i = unplanes(r["places"], np.uint32)
+                    c[i], cls[i] = unplanes(r["counts"], np.uint64), np.frombuffer(r["classes"], np.uint8)
+            del rows, table
+            cls = np.where(c > 0, cls, ending_class[p.rests])
+            # all words of a class never seen share what its discount leaves; in a class without any word, a word is its class
+            emission = np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 0.1) / tokens[cls]), np.where(types[cls] > 0, np.log10(np.maximum(DISCOUNT * types[cls], 0.1) / tokens[cls]), 0.0))
+            of, m = np.repeat(np.arange(len(p.sizes)), p.sizes), len(p.sizes)
+            total = lambda x: np.bincount(of, x[p.words], m).astype(float)
+            line = p.with_ends(cls[p.words], classes).astype(np.uint8).tobytes()
+            to = np.cumsum(p.sizes + 1).tolist()
+            yield pa.record_batch(
+                [
+                    pa.array(p.keys), pa.array(p.learn), pa.array(p.sizes + 1), pa.array(total((c > 0).astype(float)).astype(np.int64) + (n_texts > 0)),
+                    pa.array(total(np.log10(c + 1.0)) + np.log10(n_texts + 1.0)), pa.array(total(emission)), pa.array([line[a:b] for a, b in zip([0, *to], to, strict=False)], pa.binary()),
+                ],
+                names=[x.split()[0] for x in SUMS.split(", ")],
+            )
+            trim()
 
+    names = [x.split() for x in PIECES.split(", ")]
+    left = model.texts.select("*", *[F.lit(None).cast("binary").alias(c) for c in ("counts", "classes", "places")])
+    right = answers.select("piece", *[F.lit(None).cast(t).alias(c) for c, t in names[1:]], "counts", "classes", "places")
+    return written(left.unionByName(right).repartition("piece").sortWithinPartitions("piece").mapInArrow(sums, SUMS), "classed")
 
-SCORED = "key long, base double, score double, n_tokens long, n_known long"
+
+def transitions(lines: DataFrame, k: int) -> np.ndarray:
+    """log10 of the probability of a class after a class: counts over texts to learn from, smoothed by how frequent the class is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            line = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
+            if len(line):
+                total += np.bincount(np.append(k - 1, line[:-1]) * k + line, minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    cells = lines.where("learn").select("line").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cc = np.zeros(k * k)
+    cc[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    cc, weight = cc.reshape(k, k), 5.0
+    one = (cc.sum(0) + 1) / (cc.sum() + k)
+    return np.log10((cc + weight * one) / (cc.sum(1, keepdims=True) + weight))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: str = "true", settings: Settings | None = None) -> DataFrame:
@@ -274,87 +443,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     `training` chooses the rows to learn from. base_score: a unigram model with one added to each count; score: the class model.
 
     Null and blank texts consist of the end token alone. Repeated ids and rows are scored one by one; a null condition
-    is false. With nothing to learn from, every base_score is 0."""
+    is false. With nothing to learn from, every base_score is 0. Words equally frequent are clustered in order of their hashes.
+    Other columns are left out."""
     settings = settings or Settings()
-    buckets = buckets_for(text_bytes(docs, text_col), 32 << 20)  # a task holds the vocabulary of a bucket only
     keyed = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.expr(training), F.lit(False)).alias("in_training")), "id")
-    learn = keyed.where("in_training").select("text")
-    words = vocabulary(learn, buckets, settings.hot)
-    model = fit(learn, words, keyed.where("in_training").count(), settings)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    end = len(model.of) - 1
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with a text's sums over hot words, bucket -1, and rows of a bucket with its rare words' hashes."""
-        m = shared.value
-        for batch in batches:
-            keys_all = batch.column(0).to_numpy()
-            for lo, hi, data, offsets in pieces(batch.column(1)):
-                keys, n = keys_all[lo:hi], hi - lo
-                words, h, rest = words_of(data, offsets)
-                at = np.minimum(np.searchsorted(m.keys, h), max(len(m.keys) - 1, 0))
-                hot = m.keys[at] == h if len(m.keys) else np.zeros(len(h), bool)
-                symbol = np.where(hot, m.symbols[at], rest) if len(m.keys) else rest.astype(np.int64)
-                c = np.where(hot, m.counts[at], 0) if len(m.keys) else np.zeros(len(h), np.int64)
-                line, text = with_ends(words, symbol, end)
-                cls = m.of[line]
-                total = np.bincount(text, m.follows[np.append(m.of[end], cls[:-1]), cls] + m.in_class[line], n)
-                of = words.text_of()
-                shares = hot & (symbol < REST)
-                total += np.bincount(of[shares], m.rest_log(rest[shares], c[shares]), n)
-                base = np.bincount(of[hot], np.log10(c[hot] + 1.0), n) + np.log10(m.n_texts + 1.0)
-                known = np.bincount(of[hot], minlength=n) + (m.n_texts > 0)
-                yield pa.record_batch(
-                    [pa.array(np.full(n, -1, np.int32)), pa.array([None] * n, pa.binary()), pa.array([None] * n, pa.binary()), pa.array([None] * n, pa.binary()), pa.array([None] * n, pa.binary()), pa.array(keys), pa.array(base), pa.array(total), pa.array(words.counts + 1), pa.array(known)],
-                    names=["bucket", "hashes", "rests", "keys", "counts", "key", "base", "score", "n_tokens", "n_known"],
-                )
-                rare = np.flatnonzero(~hot)
-                bucket = ((h[rare] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                some, to = np.unique(bucket[order], return_index=True)
-                rows = []
-                for b, mine in zip(some.tolist(), np.split(rare[order], to[1:]), strict=True) if len(some) else ():
-                    runs = np.flatnonzero(np.append(True, of[mine][1:] != of[mine][:-1]))
-                    rows.append((b, h[mine].tobytes(), rest[mine].tobytes(), planes(keys[of[mine][runs]]), planes(np.diff(np.append(runs, len(mine))).astype(np.uint32))))
-                if rows:
-                    k = len(rows)
-                    b, *blobs = zip(*rows, strict=True)
-                    yield pa.record_batch([pa.array(b, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs), *(pa.nulls(k, t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))], names=["bucket", "hashes", "rests", "keys", "counts", "key", "base", "score", "n_tokens", "n_known"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Passes rows of texts on, and makes rows of texts from a bucket's rare words and its vocabulary."""
-        m = shared.value
-        index, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        bucket = None
+    model = learn(keyed.select("_k", "text", "in_training"), settings)
+    k = settings.classes + 1
+    lines = looked_up(model, settings.classes)
+    follows = docs.sparkSession.sparkContext.broadcast(transitions(lines, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist() if batch.num_rows else []
-            out: list[tuple] = [(r["key"], r["base"], r["score"], r["n_tokens"], r["n_known"]) for r in rows if r["key"] is not None]
-            for r in rows:
-                if r["key"] is not None:
-                    continue
-                if r["bucket"] != bucket:
-                    bucket, index, count = r["bucket"], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                if r["keys"] is None:  # the vocabulary comes first
-                    index, count = np.frombuffer(r["hashes"], np.uint64), unplanes(r["counts"], np.uint64).astype(np.int64)
-                    continue
-                h, rest = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["rests"], np.uint8)
-                c = np.zeros(len(h), np.int64)
-                if len(index):
-                    at = np.minimum(np.searchsorted(index, h), len(index) - 1)
-                    c = np.where(index[at] == h, count[at], 0)
-                n = unplanes(r["counts"], np.uint32).astype(np.int64)
-                at = np.cumsum(n) - n
-                sums = [np.add.reduceat(x, at) for x in (np.log10(c + 1.0), m.rest_log(rest, c), (c > 0).astype(np.int64))]
-                out += zip(unplanes(r["keys"], np.int64).tolist(), sums[0].tolist(), sums[1].tolist(), [0] * len(n), sums[2].tolist(), strict=True)
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["key", "base", "score", "n_tokens", "n_known"])
-
-    sent = keyed.select("_k", "text").mapInArrow(local, f"bucket int, hashes binary, rests binary, keys binary, counts binary, {SCORED}")
-    lists = words.select("bucket", "hashes", "counts", *[F.lit(None).cast(t).alias(c) for c, t in (("rests", "binary"), ("keys", "binary"), *(x.split() for x in SCORED.split(", ")))])
-    # rows of texts go anywhere: only those of a bucket must meet
-    where = F.when(F.col("bucket") < 0, F.xxhash64("key")).otherwise(F.col("bucket").cast("long"))
-    met = sent.unionByName(lists).withColumn("_to", where).repartition("_to").sortWithinPartitions("bucket", F.col("keys").isNotNull()).drop("_to").mapInArrow(rare, SCORED)
-    sums = met.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("base", "score", "n_tokens", "n_known")])
+            own = batch.column("line").to_pylist()
+            line = np.frombuffer(b"".join(own), np.uint8).astype(np.int64)
+            steps = follows.value[np.append(k - 1, line[:-1]), line] if len(line) else np.zeros(0)
+            at = np.cumsum([0, *map(len, own)])[:-1]
+            total = np.add.reduceat(steps, at) if len(own) else np.zeros(0)
+            yield pa.record_batch([*(batch.column(c) for c in ("key", "n_tokens", "n_known", "base")), pa.array(total + batch.column("emission").to_numpy())], names=["key", "n_tokens", "n_known", "base", "score"])
+
+    sums = lines.select("key", "n_tokens", "n_known", "base", "emission", "line").mapInArrow(run, "key long, n_tokens long, n_known long, base double, score double")
     ids = keyed.select(F.col("_k").alias("key"), "id", "in_training")
     each = F.log10(F.lit(float(model.n_tokens + model.n_types + 1)))
     return ids.join(sums, "key").select("id", "in_training", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * each).alias("base_score"), "score")

@@ -7,8 +7,11 @@ from helpers import docs, odd, words
 from ledgerleaf.llm import brown
 
 
+SMALL = brown.Settings(symbols=8, classes=3, fewest=2, piece_bytes=200, bucket_bytes=400)
+
+
 def check(spark, rows, training, keep):
-    got = brown.score(docs(spark, rows), training=training, settings=brown.Settings(symbols=8, classes=3, hot=16)).collect()
+    got = brown.score(docs(spark, rows), training=training, settings=SMALL).collect()
     line = lambda t: [*words("".join(c.lower() if c.isascii() else c for c in t or "")), "</s>"]
     c = Counter(x for i, t in rows if keep(i) for x in line(t))
     n, v = sum(c.values()), len(c)
@@ -41,11 +44,69 @@ def test_exchange_finds_the_classes():
     assert len({of[i] for i in range(0, n, 2)}) == 1 and len({of[i] for i in range(1, n, 2)}) == 1 and of[0] != of[1]
 
 
-def test_class_probabilities_sum_to_one(spark):
-    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(30))) for i in range(20)]
-    df = docs(spark, rows).select("text")
-    words_ = brown.vocabulary(df, 2, 16)
-    m = brown.fit(df, words_, 20, brown.Settings(symbols=4, classes=2, hot=16))
-    assert np.allclose((10**m.follows).sum(1), 1)
-    for k in range(3):
-        assert math.isclose((10 ** m.in_class[m.of == k]).sum(), 1, rel_tol=1e-9)
+def plain_score(model, rows, keep, k):
+    """Scores and class transitions word by word, from the learned words' classes and counts alone."""
+    table = {}
+    for r in model.words.collect():
+        h, n, cls = np.frombuffer(r.hashes, np.uint64), brown.unplanes(r.counts, np.uint64), np.frombuffer(r.classes, np.uint8)
+        table |= {int(x): (int(c), int(g)) for x, c, g in zip(h, n, cls)}
+    lines = {}
+    for i, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        _, h, rest = brown.words_of(data, np.array([0, len(data)]))
+        lines[i] = [table.get(int(x), (0, int(model.ending_class[e]))) for x, e in zip(h, rest)] + [(model.n_texts, k - 1)]
+    tokens, types = Counter(), Counter()
+    for c, g in [*table.values(), (model.n_texts, k - 1)]:
+        tokens[g] += c
+        types[g] += 1
+    pairs, first, second = Counter(), Counter(), Counter()
+    for i, line in lines.items():
+        if keep(i):
+            for (_, a), (_, b) in zip([(0, k - 1), *line], line):
+                pairs[a, b] += 1
+                first[a] += 1
+                second[b] += 1
+    one = lambda b: (second[b] + 1) / (sum(second.values()) + k)
+    follows = lambda a, b: (pairs[a, b] + 5 * one(b)) / (first[a] + 5)
+
+    def emission(c, g):
+        if g == k - 1:
+            return 1.0  # the end is all of its class
+        if c:
+            return (c - 0.7) / tokens[g]
+        return 0.7 * types[g] / tokens[g] if types[g] else 1.0
+
+    assert all(math.isclose(sum(follows(a, b) for b in range(k)), 1) for a in range(k))
+    for g in range(k - 1):
+        if types[g]:
+            assert math.isclose(sum(emission(*x) for x in table.values() if x[1] == g) + emission(0, g), 1)
+    return {i: sum(math.log10(follows(a, b)) + math.log10(emission(c, b)) for (_, a), (c, b) in zip([(0, k - 1), *line], line)) for i, line in lines.items()}
+
+
+def test_scores_word_by_word(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["der", "die"]) + f" noun{rng.randrange(30)} " + rng.choice(["runs", "sleeps", "eats"]) + f" x{rng.randrange(60)}y" for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    df = docs(spark, rows)
+    keep = lambda i: i % 5 != 0
+    keyed = df.selectExpr("doc_id AS _k", "text", "doc_id % 5 <> 0 AS in_training")
+    model = brown.learn(keyed, SMALL)
+    want = plain_score(model, rows, keep, SMALL.classes + 1)
+    got = {r.id: r.score for r in brown.score(df, training="doc_id % 5 <> 0", settings=SMALL).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
+def test_words_beyond_the_clustered_ones_get_the_class_of_their_like(spark):
+    import random
+
+    rng = random.Random(7)
+    nouns, verbs = [f"n{i}q" for i in range(40)], [f"v{i}q" for i in range(40)]  # endings tell nothing
+    rows = [(i, " ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(30))) for i in range(60)]
+    keyed = docs(spark, rows).selectExpr("doc_id AS _k", "text", "true AS in_training")
+    model = brown.learn(keyed, brown.Settings(symbols=20, classes=2, piece_bytes=500, bucket_bytes=2000))
+    of = {}
+    for r in model.words.collect():
+        of |= {int(x): int(g) for x, g in zip(np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.classes, np.uint8))}
+    h = lambda w: int(brown.words_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0])
+    assert len({of[h(w)] for w in nouns}) == 1 and len({of[h(w)] for w in verbs}) == 1 and of[h(nouns[0])] != of[h(verbs[0])]
