@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,10 +24,18 @@ LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 OTHER[:128] = ~LETTER[:128]
 
 
+def cuttable(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind whose texts ChunkTokenizer can cut: a byte-level BPE with the usual pattern of words."""
+    before = spec.get("pre_tokenizer") or {}
+    model = spec["model"]
+    usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return usual and model["type"] == "BPE" and not spec.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges") and not any(model.get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix", "unk_token"))
+
+
 class ChunkTokenizer:
-    """Token ids of whole texts from a byte-level BPE, encoding each distinct chunk about once.
+    """Token ids of whole texts, encoding each distinct chunk of a byte-level BPE's about once; of any other tokenizer's, text by text.
 
-    The tokenizer never joins a character that isn't white space with white space after it, nor a letter with
+    A byte-level BPE never joins a character that isn't white space with white space after it, nor a letter with
     what is no letter after it. So a text can be cut there, and the ids of its chunks are the ids of the text. Ids of
     chunks are kept in a table of fixed size, found by the chunk's 64-bit hash; what has no place there is encoded again."""
 
@@ -38,6 +47,9 @@ class ChunkTokenizer:
 
         self.encoder = Tokenizer.from_file(file)
         self.encoder.encode_special_tokens = True  # the text of a special token is ordinary text
+        self.whole = not cuttable(json.loads(self.encoder.to_str()))
+        if self.whole:
+            return
         vocabulary = self.encoder.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]  # one character stands for a byte
@@ -103,6 +115,10 @@ class ChunkTokenizer:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after another, and the n + 1 places where each text's begin."""
+        if self.whole:
+            raw = data.tobytes()
+            found = [np.array(x.ids, np.uint32) for x in self.encoder.encode_batch_fast([raw[s:e].decode() for s, e in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         space = SEPARATOR[data]
@@ -192,23 +208,45 @@ class OpenBins:
         return number, self.size - free
 
 
-def best_fit(items: DataFrame, length: int = 2048, open_bins: int = 32_768, group_rows: int = 50_000) -> DataFrame:
-    """items (a column length, 1 to `length`) with sequence_id and offset. Items are dealt to groups of about
-    group_rows, each packed by one task, larger items first, into open_bins open bins: a group's memory and
-    time don't grow with the input, and what the last bins of a group leave free is small beside it."""
+def best_fit(items: DataFrame, length: int = 2048, open_bins: int = 256, ahead: int = 512, group_rows: int = 100_000) -> DataFrame:
+    """items (a column length, 1 to `length`) with sequence_id and offset. Items are dealt to streams of about group_rows, each
+    packed online by one task into open_bins open bins: an item goes to the fullest bin that it fits in; where none does, the
+    fullest bin of all closes for a new one. The stream is read `ahead` items at a time, the larger of them first. A
+    stream's memory and time don't grow with the input. Repeated rows are items of their own."""
     n = items.count()
     many = max(1, -(-n // group_rows))
     keys = [c for c in items.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, "_group"):
-            bins, first = OpenBins(length, open_bins), int(table.column("_group")[0].as_py()) << 32
-            at = [bins.put(x) for x in table.column("length").to_pylist()]
-            table = table.drop_columns(["_group"]).append_column("sequence_id", pa.array([first + a for a, _ in at], pa.int64())).append_column("offset", pa.array([b for _, b in at], pa.int64()))
+        bins, group, held = OpenBins(length, open_bins), None, []
+
+        def placed() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            size = table.column("length").to_numpy()
+            at = np.zeros((len(size), 2), np.int64)
+            for i in np.argsort(-size, kind="stable").tolist():
+                at[i] = bins.put(int(size[i]))
+            table = table.drop_columns(["_group"]).append_column("sequence_id", pa.array(at[:, 0] + (group << 32))).append_column("offset", pa.array(np.ascontiguousarray(at[:, 1])))
             yield from table.to_batches()
 
+        for batch in batches:
+            of, lo = batch.column(batch.schema.get_field_index("_group")).to_numpy(), 0
+            while lo < batch.num_rows:
+                if of[lo] != group:
+                    if held:
+                        yield from placed()
+                    bins, group, held = OpenBins(length, open_bins), int(of[lo]), []
+                hi = min(int(np.searchsorted(of, group, "right")), lo + ahead - sum(b.num_rows for b in held))
+                held.append(batch.slice(lo, hi - lo))
+                lo = hi
+                if sum(b.num_rows for b in held) >= ahead:
+                    yield from placed()
+                    held = []
+        if held:
+            yield from placed()
+
     dealt = items.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(many)))
-    dealt = dealt.repartition(many, "_group").sortWithinPartitions("_group", F.desc("length"), *[c for c in keys if c != "length"])
+    dealt = dealt.repartition(many, "_group").sortWithinPartitions("_group", F.xxhash64(F.lit(1), *keys), *keys)
     schema = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
     return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 

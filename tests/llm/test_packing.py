@@ -61,3 +61,33 @@ def test_fullest_bin_closes_first():
 
 def test_empty_table(spark):
     assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_other_tokenizers_are_encoded_text_by_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["It's a  small text, isn't it?", "", "Another one.\n"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    flat, to = packing.ChunkTokenizer(file).ids(data, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    plain = Tokenizer.from_file(file)
+    assert [flat[to[i] : to[i + 1]].tolist() for i in range(3)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_streams_with_few_open_bins_fill_sequences(spark):
+    import random
+
+    rng = random.Random(1)
+    sizes = [min(2048, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(6000)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
+    for rows in (100_000, 1500):
+        got = packing.best_fit(items, open_bins=64, ahead=100, group_rows=rows).collect()
+        bins = {}
+        for r in got:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert len(got) == len(sizes) and sorted(r.length for r in got) == sorted(sizes)
+        for b in bins.values():
+            b.sort()
+            assert all(x + n == y for (x, n), (y, _) in zip(b, b[1:])) and b[0][0] == 0 and b[-1][0] + b[-1][1] <= 2048
+        assert len(bins) <= 1.02 * sum(sizes) / 2048 + 16
