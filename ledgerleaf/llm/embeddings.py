@@ -2,11 +2,13 @@
 
 Each tree splits the vectors by random directions, again and again. Vectors near a split go down both sides (spill
 overlap), so that near ones seldom part. Vectors are compared within leaves only, exactly; links are joined by union.
-The trees are fitted on a bounded sample, but every vector goes down every tree.
+The top of each tree is fitted on a bounded sample and has a bounded number of leaves, whatever the number of vectors; a leaf that
+many vectors reach is split further by directions that all leaves share. Every vector goes down every tree.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,26 +27,33 @@ from ledgerleaf.llm.streams import groups
 class Settings:
     trees: int = 8
     sample: int = 16_384  # vectors that the trees are fitted on
+    top_leaves: int = 1024  # of a tree, at most
     leaf_rows: int = 512
     overlap: float = 0.35  # half the spill band's width, in spreads of a linked pair's projected distance
     tile_rows: int = 4096  # a larger leaf is compared tile by tile
     seed: int = 5
 
 
+DEEP = 40  # levels below a top leaf at most, a bit each
+
+
 @dataclass
 class Tree:
-    """Inner nodes: a direction, where it splits, and two children; a child below 0 is leaf -1 - child."""
+    """Inner nodes: a direction, where it splits, and two children; a child below 0 is leaf -1 - child. A leaf is split further on as
+    many levels as it needs, about its centre, by the tree's shared directions. dense: most of a leaf's vectors link with each other."""
 
     direction: np.ndarray
     split: np.ndarray
     child: np.ndarray
-    leaves: int
+    levels: np.ndarray
+    center: np.ndarray
+    dense: np.ndarray
+    below: np.ndarray
 
     def route(self, x: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) pairs of all rows of x; a row within the band of a split is in both sides' leaves."""
-        if not len(self.split):
-            return np.arange(len(x)), np.zeros(len(x), np.int64)
-        row, leaf, todo = [], [], [(0, np.arange(len(x)))]
+        """(row, leaf) pairs of all rows of x; a row within the band of a split is in both sides' leaves. A leaf's number holds
+        the top leaf's above its DEEP lower bits."""
+        row, leaf, todo = [], [], [(0 if len(self.split) else -1, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
             if not len(rows):
@@ -55,47 +64,61 @@ class Tree:
                 continue
             at = x[rows] @ self.direction[node] - self.split[node]
             todo += [(int(self.child[node, 0]), rows[at <= band]), (int(self.child[node, 1]), rows[at >= -band])]
-        return np.concatenate(row), np.concatenate(leaf)
+        row, leaf = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (row, leaf))
+        code = np.zeros(len(row), np.int64)
+        for k in range(int(self.levels.max(initial=0))):
+            deep = np.flatnonzero(self.levels[leaf] > k)
+            at = np.einsum("ij,j->i", x[row[deep]] - self.center[leaf[deep]], self.below[k])
+            code[deep[at > band]] |= 1 << k
+            both = deep[np.abs(at) <= band]
+            row, leaf, code = np.append(row, row[both]), np.append(leaf, leaf[both]), np.append(code, code[both] | 1 << k)
+        return row, leaf << DEEP | code
 
 
 def grown(sample: np.ndarray, n: int, least: float, band: float, settings: Settings, rng: np.random.Generator) -> Tree:
-    """A tree for n vectors like those of the sample. A node is a leaf when about leaf_rows of the n would reach it, or
-    when most of its vectors link with each other: no split could then help. A split lies where few vectors are, near the
-    middle; where the sample has too few to tell, at their mean."""
-    direction, split, child, leaves = [], [], [], 0
-    blind_levels = max(0, math.ceil(math.log2(max(1.0, 8 * n / max(1, len(sample)) / settings.leaf_rows))))
-    todo = [(sample, float(n), None, 0)]
-    while todo:
-        rows, expected, parent, blind = todo.pop()
+    """A tree for n vectors like those of the sample. The node that most of the sample reaches is split next, until there are
+    top_leaves; a node is a leaf when about leaf_rows of the n would reach it, when the sample has too few to tell where to split, or when
+    most of its vectors link with each other: no split could then help. A split lies where few vectors are, near the middle."""
+    direction, split, child, leaves = [], [], [], []
+    todo = [(-len(sample), 0, sample, None)]
+    made = 1
+
+    def dense(rows: np.ndarray) -> bool:
         some = rows[rng.choice(len(rows), min(len(rows), 64), replace=False)] if len(rows) else rows
-        alike = (some @ some.T >= least).mean() if len(some) > 8 else 0.0
-        if expected <= settings.leaf_rows or alike > 0.3 or blind > blind_levels or not len(rows):
-            number, leaves = -1 - leaves, leaves + 1
-        else:
+        return len(some) > 8 and float((some @ some.T >= least).mean()) > 0.3
+
+    while todo:
+        _, _, rows, parent = heapq.heappop(todo)
+        expected = n * len(rows) / max(1, len(sample))
+        crowd = dense(rows)
+        sides: list[np.ndarray] = []
+        if expected > settings.leaf_rows and not crowd and len(rows) >= 16 and len(leaves) + len(todo) + 2 <= settings.top_leaves:
             d = rng.standard_normal(rows.shape[1])
             d /= np.linalg.norm(d)
             p = np.sort(rows @ d)
-            if len(p) < 16:
-                at, blind = float(p.mean()), blind + 1
-                sides = [rows, rows]
-                expected_sides = [expected / 2] * 2
-            else:
-                middle = p[int(0.3 * len(p)) : int(0.7 * len(p)) + 1]
-                crowd = np.searchsorted(p, middle + band) - np.searchsorted(p, middle - band)
-                at = float(middle[np.lexsort((np.abs(middle - np.median(p)), crowd))[0]])
-                q = rows @ d - at
-                sides = [rows[q <= band], rows[q >= -band]]
-                expected_sides = [expected * len(s) / len(rows) for s in sides]
-                if max(map(len, sides)) > 0.95 * len(rows):
-                    blind += 1
+            middle = p[int(0.3 * len(p)) : int(0.7 * len(p)) + 1]
+            near = np.searchsorted(p, middle + band) - np.searchsorted(p, middle - band)
+            at = float(middle[np.lexsort((np.abs(middle - np.median(p)), near))[0]])
+            q = rows @ d - at
+            sides = [rows[q <= band], rows[q >= -band]]
+        if sides and max(map(len, sides)) <= 0.95 * len(rows):
             number = len(split)
             direction.append(d)
             split.append(at)
             child.append([0, 0])
-            todo += [(s, e, (number, k), blind) for k, (s, e) in enumerate(zip(sides, expected_sides, strict=True))]
+            for k, side in enumerate(sides):
+                heapq.heappush(todo, (-len(side), made, side, (number, k)))
+                made += 1
+        else:
+            number = -1 - len(leaves)
+            deep = 0 if crowd else min(DEEP, max(0, math.ceil(math.log2(max(expected, 1) / settings.leaf_rows))))
+            leaves.append((deep, rows.mean(0) if len(rows) else np.zeros(sample.shape[1]), crowd))
         if parent:
             child[parent[0]][parent[1]] = number
-    return Tree(np.array(direction), np.array(split), np.array(child, np.int64).reshape(-1, 2), max(leaves, 1))
+    levels = np.array([x[0] for x in leaves])
+    below = rng.standard_normal((int(levels.max(initial=0)), sample.shape[1]))
+    below /= np.linalg.norm(below, axis=1, keepdims=True)
+    return Tree(np.array(direction), np.array(split), np.array(child, np.int64).reshape(-1, 2), levels, np.array([x[1] for x in leaves]), np.array([x[2] for x in leaves]), below)
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -166,31 +189,47 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     band = settings.overlap * math.sqrt(2 - 2 * least) / math.sqrt(max(1, length))
     rng = np.random.default_rng(settings.seed)
     trees = [grown(sample, n, least, band, settings, rng) for _ in range(settings.trees)]
-    shared = spark.sparkContext.broadcast(trees)  # of a size that the sample and leaf_rows bound
+    shared = spark.sparkContext.broadcast(trees)  # of a size that trees and top_leaves bound
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.concatenate([t.dense for t in shared.value])
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 x, base, found = unit_rows(batch.column(2)), 0, []
                 for tree in shared.value:
                     row, leaf = tree.route(x, band)
-                    found.append((row, leaf + base))
-                    base += tree.leaves
+                    found.append((row, leaf + (base << DEEP)))
+                    base += len(tree.levels)
                 row, leaf = (np.concatenate(c) for c in zip(*found, strict=True))
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
                 to = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(leaf, pa.int64()))], names=["rid", "size", "vector", "leaves"])
+                # of each leaf, the first dense one before it that the row is in: two rows of one such have met there
+                crowd = np.where(dense[leaf >> DEEP], leaf, np.iinfo(np.int64).max)
+                early = np.full(len(leaf), -1)
+                rank = np.arange(len(leaf)) - to[row]
+                for k in range(1, int(rank.max(initial=0)) + 1):
+                    i = np.flatnonzero(rank == k)
+                    early[i] = np.where(early[i - 1] >= 0, early[i - 1], np.where(crowd[i - 1] < np.iinfo(np.int64).max, crowd[i - 1], -1))
+                lists = [pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(c, pa.int64())) for c in (leaf, early)]
+                yield pa.record_batch([*batch.columns, *lists], names=["rid", "size", "vector", "leaves", "early"])
 
     kind = dict(classes.dtypes)["vector"]
-    placed = written(classes.select("rid", "size", "vector").mapInArrow(route, f"rid long, size long, vector {kind}, leaves array<long>"), "placed")
-    each = placed.select("*", F.explode("leaves").alias("leaf"))
-    large = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / settings.tile_rows).cast("int").alias("tiles")).where("tiles > 1")
-    tiles = F.coalesce("tiles", F.lit(1))
-    mine = F.pmod(F.xxhash64("rid"), tiles)
-    met = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(mine, t.cast("long")).alias("i"), F.greatest(mine, t.cast("long")).alias("j"), F.when(mine <= t, 0).otherwise(1).alias("role")))
-    tasks = each.join(large, "leaf", "left").select("rid", "size", "vector", "leaves", "leaf", F.explode(met).alias("t"))
+    placed = written(classes.select("rid", "size", "vector").mapInArrow(route, f"rid long, size long, vector {kind}, leaves array<long>, early array<long>"), "placed")
+    pair = F.explode(F.arrays_zip("leaves", "early")).alias("p")
+    each = placed.select("rid", "size", "vector", "leaves", pair).select("rid", "size", "vector", "leaves", F.col("p.leaves").alias("leaf"), F.col("p.early").alias("early"))
+    # a large leaf's rows are dealt to tiles by the dense leaf that they have met in before; tiles of one such don't meet again
+    counts = placed.select(pair).groupBy(F.col("p.leaves").alias("leaf"), F.col("p.early").alias("early")).agg(F.count(F.lit(1)).alias("n"))
+    large = counts.groupBy("leaf").agg(F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("early", F.ceil(F.col("n") / settings.tile_rows).cast("int").alias("tiles")))).alias("parts")).where(F.col("all") > settings.tile_rows)
+    number = F.flatten(F.transform("parts", lambda x: F.array_repeat(x.early, x.tiles)))
+    large = large.select("leaf", number.alias("of"))  # the early leaf of each tile
+    one = F.array(F.lit(-1).cast("long"))
+    joined = each.join(large, "leaf", "left").withColumn("of", F.coalesce("of", one)).withColumn("early", F.when(F.size("of") > 1, F.col("early")).otherwise(F.lit(-1)))
+    first, own = F.array_position("of", F.col("early")) - 1, F.size(F.filter("of", lambda x: x == F.col("early")))
+    joined = joined.withColumn("mine", (first + F.pmod(F.xxhash64("rid"), own)).cast("int"))
+    met = F.filter(F.transform("of", lambda e, t: F.struct(F.least("mine", t).alias("i"), F.greatest("mine", t).alias("j"), F.when(F.col("mine") <= t, 0).otherwise(1).alias("role"), ((e == F.col("early")) & (e >= 0)).alias("done"))), lambda t: ~t.done)
+    tasks = joined.select("rid", "size", "vector", "leaves", "leaf", F.explode(met).alias("t"))
     tasks = tasks.select(F.xxhash64("leaf", "t.i", "t.j").alias("task"), "rid", "size", "vector", "leaves", "leaf", F.col("t.role").alias("role"))
     found = written(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: compare(b, least), "src long, dst long, n long"), "found")
     joined = components(found.where("src <> dst").select("src", "dst"))

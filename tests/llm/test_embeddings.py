@@ -43,3 +43,48 @@ def test_odd_vectors(spark):
 
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def near_pairs(seed, n, dims, crowd):
+    """n random vectors, as many again at a cosine of 0.90 to 0.93 from one of them, and a crowd of near copies of one."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, dims))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((n, dims))
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.93, (n, 1))
+    return np.concatenate([base, c * base + np.sqrt(1 - c * c) * off, base[:1] + 0.01 * rng.standard_normal((crowd, dims))])
+
+
+def link_ends(x, least=0.9):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([(x[i : i + 1000] @ x.T >= least).sum(1) for i in range(0, len(x), 1000)]) - 1
+
+
+def recall(spark, x, settings):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    want = link_ends(x)
+    got = {r.id: r.n_links for r in embeddings.near_duplicates(df, settings=settings).collect()}
+    assert all(got[i] <= want[i] for i in range(len(x)))
+    return sum(got.values()) / want.sum(), sum(got[i] for i in range(1, 2 * len(x) // 5)) / max(1, want[1 : 2 * len(x) // 5].sum())
+
+
+def test_recall_at_the_defaults_on_close_pairs(spark):
+    assert min(recall(spark, near_pairs(2, 9000, 64, 2000), embeddings.Settings())) >= 0.97
+
+
+def test_recall_below_few_top_leaves_and_in_tiled_crowds(spark):
+    x = near_pairs(3, 2000, 48, 900)
+    assert min(recall(spark, x, embeddings.Settings(sample=1000, top_leaves=6, leaf_rows=64, tile_rows=128))) >= 0.9
+
+
+def test_trees_do_not_grow_with_the_vectors():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (10_000, 10_000_000, 10_000_000_000):
+        tree = embeddings.grown(x, n, 0.9, 0.03, embeddings.Settings(), np.random.default_rng(1))
+        assert len(tree.levels) <= 1024 and len(tree.below) <= embeddings.DEEP
+    row, leaf = tree.route(x[:50], 0.03)
+    assert set(row) == set(range(50)) and len(set(zip(row.tolist(), leaf.tolist()))) == len(row)
