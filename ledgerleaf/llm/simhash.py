@@ -238,11 +238,11 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int
     def load(payloads: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         return np.frombuffer(b"".join(p[:32] for p in payloads), np.uint64).reshape(-1, 4), [np.frombuffer(p, np.uint64, offset=32) for p in payloads]
 
-    def near(state: tuple[np.ndarray, list[np.ndarray]], i: int, others: np.ndarray) -> np.ndarray:
+    def near(state: tuple[np.ndarray, list[np.ndarray]], first: np.ndarray, second: np.ndarray) -> np.ndarray:
         fp, members = state
-        out = np.bitwise_count(fp[i] ^ fp[others]).sum(1, dtype=np.int64) <= radius
+        out = np.bitwise_count(fp[first] ^ fp[second]).sum(1, dtype=np.int64) <= radius
         for k in np.flatnonzero(out).tolist():
-            out[k] = jaccard_at_least(members[i], members[int(others[k])], least)
+            out[k] = jaccard_at_least(members[int(first[k])], members[int(second[k])], least)
         return out
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
