@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,40 @@ def contained(rows: DataFrame, start: str, end: str, low: object, high: object)
     return rows.where((F.col(start) >= low) & (F.col(end) <= high))
 
 
+def exists(rows: DataFrame, **values: object) -> bool:
+    return not equal(rows, **values).isEmpty()
+
+
+def count(rows: DataFrame, **values: object) -> int:
+    return equal(rows, **values).count()
+
+
+def find(rows: DataFrame, **values: object) -> Row | None:
+    """The only row with these values of a key; None where there is none."""
+    return equal(rows, **values).first()
+
+
+def flagged(rows: DataFrame, column: str, on: bool = False) -> DataFrame:
+    """Rows whose flag, kept as 0 or 1, is on or off; a null flag is neither."""
+    return rows.where(F.col(column).cast("int") == int(on))
+
+
+def top_level(sections: DataFrame) -> DataFrame:
+    """Sections of level 1 with each one's place in its document by start page."""
+    w = Window.partitionBy("document_id").orderBy("start_page", "section_id")
+    return sections.where("level = 1").withColumn("place", F.row_number().over(w))
+
+
+def failed_agents(runs: DataFrame) -> DataFrame:
+    return runs.where("status = 'failed'").select("document_id", "agent_name", "error_message")
+
+
+def runs_of(runs: DataFrame, agent: str) -> DataFrame:
+    """All of an agent's runs, the latest first within a document."""
+    w = Window.partitionBy("document_id").orderBy(F.desc("started_at"), F.desc("run_id"))
+    return runs.where(F.col("agent_name") == agent).withColumn("place", F.row_number().over(w))
+
+
 def present(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.dropna(subset=list(columns))
 
@@ -71,6 +105,11 @@ def deleted(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def deleted_with_children(gone: DataFrame, key: str, parents: DataFrame, **children: DataFrame) -> dict[str, DataFrame]:
+    """parents and every child table without the rows whose key is in gone."""
+    return {"parents": deleted(parents, gone, key)} | {name: deleted(child, gone, key) for name, child in children.items()}
+
+
 def updated(rows: DataFrame, when: Column, **values: object) -> DataFrame:
     """rows with values set where the condition holds; names that aren't columns are ignored."""
     return rows.withColumns({k: F.when(when, F.lit(v)).otherwise(F.col(k)) for k, v in values.items() if k in rows.columns})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions.exprs import amount_cell, cosine, stripped
+from ledgerleaf.functions.exprs import amount_cell, stripped
 
 # ---- tables ----
 
@@ -67,6 +67,47 @@ def markdown(headers: Column, rows: Column) -> Column:
     return F.concat_ws("\n", line(headers), F.concat(F.lit("| "), F.array_join(F.transform(headers, lambda _: F.lit("---")), " | "), F.lit(" |")), F.array_join(F.transform(rows, line), "\n"))
 
 
+def extracted(raw: DataFrame) -> DataFrame:
+    """Tables of raw ones (table_id, cells): the first row is the header, cells are trimmed and null cells empty. A table of fewer than
+    two rows, or without anything in its data rows, is dropped."""
+    clean = F.transform("cells", lambda r: F.transform(r, lambda c: F.coalesce(stripped(c), F.lit(""))))
+    rows = raw.where(F.size("cells") >= 2).withColumn("_c", clean)
+    some = rows.where(F.exists(F.slice("_c", 2, 1_000_000_000), lambda r: F.exists(r, lambda c: c != "")))
+    return some.select(*[c for c in raw.columns if c != "cells"], F.get("_c", F.lit(0)).alias("headers"), F.slice("_c", 2, 1_000_000_000).alias("rows"))
+
+
+def of_type(tables: DataFrame, kind: str, least: float = 0.3) -> DataFrame:
+    """Classified tables (table_type, confidence) of a kind, at least so sure."""
+    return tables.where((F.col("table_type") == kind) & (F.col("confidence") >= least))
+
+
+def statement_kind(table_type: Column) -> Column:
+    """Which statement a table's type names: income, balance or cash flow; else null."""
+    low, has = F.lower(table_type), lambda *w: F.lower(table_type).rlike("|".join(w))
+    return F.when(has("income", "p&l", "profit"), "income").when(has("balance", "position"), "balance").when(low.contains("cash") & low.contains("flow"), "cash_flow")
+
+
+def to_rupees(value: Column, unit: Column) -> Column:
+    return F.when(unit == "crore", value * 1e7).when(unit == "lakh", value * 1e5).otherwise(value)
+
+
+def with_shape(tables: DataFrame) -> DataFrame:
+    """Tables with row_count and col_count: of the headers or, without any, of the first row."""
+    return tables.withColumns({"row_count": F.size("rows"), "col_count": F.when(F.size("headers") > 0, F.size("headers")).when(F.size("rows") > 0, F.size(F.get("rows", F.lit(0)))).otherwise(0)})
+
+
+def csv_text(headers: Column, rows: Column) -> Column:
+    """Headers and rows as lines of CSV: cells with a comma, a quote or a line break are quoted."""
+    cell = lambda c: F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(c)
+    line = lambda r: F.array_join(F.transform(r, lambda c: cell(F.coalesce(c, F.lit("")))), ",")
+    return F.array_join(F.concat(F.array(line(headers)), F.transform(rows, line)), "\n")
+
+
+def tables_summary(tables: DataFrame) -> DataFrame:
+    """Of classified tables (table_type, confidence, page_num, rows): how many of each type, on how many pages, their rows and mean confidence."""
+    return tables.groupBy("table_type").agg(F.count(F.lit(1)).alias("n_tables"), F.countDistinct("page_num").alias("n_pages"), F.sum(F.size("rows")).cast("long").alias("n_rows"), F.avg("confidence").alias("confidence"))
+
+
 # ---- pages and sections ----
 
 
@@ -115,26 +156,60 @@ def document_text(pages: DataFrame) -> DataFrame:
 
 # ---- entities ----
 
+# Patterns of amounts, years, dates and names; case does not count in the first six.
+_CURRENCY, _NUMBER = r"[₹Rs\.?\s]*", r"(\d+(?:,\d+)*(?:\.\d+)?)"
+CRORE = rf"{_CURRENCY}{_NUMBER}\s*(?:crores?|cr\.?)"
+LAKH = rf"{_CURRENCY}{_NUMBER}\s*(?:lakhs?|lacs?)"
+PRICE_BAND = rf"{_CURRENCY}{_NUMBER}\s*(?:to|-)\s*{_CURRENCY}{_NUMBER}"
+FISCAL_YEAR = r"\b(?:FY|F\.Y\.?|Fiscal Year)\s*(?:(?:20)?(\d{2})(?:-(?:20)?(\d{2}))?)|\b(?:20)?(\d{2})(?:-(?:20)?(\d{2}))\b"
+PERCENTAGE = r"(\d+(?:\.\d+)?)\s*%"
+COMPANY = r"\b[A-Za-z]{3,}\s+(?:limited|ltd\.?|pvt\.?|private|inc\.?|corporation|corp)(?:\b|$)"
+DAY = r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\b"
+PERSON = r"\b(?i:mr|ms|mrs|dr|prof)\b\.?\s*[A-Za-z]{2,}(?:\s+[A-Za-z]{2,})?"
+REGULATOR = r"\b(?:SEBI|RBI|NCLT|NCLAT|ROC|MCA)\b"
+
+
+def plain_number(x: Column) -> Column:
+    """A double as text, with one digit after the point at least."""
+    return F.when(F.abs(x) < 1e7, x.cast("string")).otherwise(F.format_string("%.1f", x))
+
 
 def entities(texts: DataFrame) -> DataFrame:
-    """(id, entity_type, text, normalized, value) of money in rupees, percentages, fiscal years and dates in texts (id, text)."""
+    """(id, entity_type, text, normalized, value, confidence) of texts (id, text): money in crores, in lakhs and as price bands,
+    percentages, fiscal years, days, and, by their honorifics, suffixes or names, persons, companies and regulators."""
     t = F.col("text")
-    pattern = lambda p, g=1: F.regexp_extract_all(t, F.lit(p), F.lit(g))
+    each = lambda pattern, g, case=False: F.regexp_extract_all(t, F.lit(pattern if case else f"(?i){pattern}"), F.lit(g))
+    zipped = lambda pattern, *groups: F.arrays_zip(*[each(pattern, g).alias(f"g{g}") for g in (0, *groups)])
     number = lambda x: F.regexp_replace(x, ",", "").try_cast("double")
-    row = lambda kind, raw, norm, val: F.struct(F.lit(kind).alias("entity_type"), raw.alias("text"), norm.alias("normalized"), val.cast("double").alias("value"))
-    none = F.lit(None)
-    money = lambda unit, factor: F.transform(pattern(rf"(?i)(?:₹|rs\.?|inr)\s*([\d,]+(?:\.\d+)?)\s*(?:{unit})"), lambda x: row("MONEY", x, F.concat(x, F.lit(" " + unit.split("s?")[0])), number(x) * factor))
-    percent = F.transform(pattern(r"(\d+(?:\.\d+)?)\s*%"), lambda x: row("PERCENTAGE", x, F.concat(x, F.lit("%")), number(x)))
-    years = F.transform(pattern(r"(?i)(?:FY|F\.Y\.|fiscal(?: year)?)\s*'?((?:\d{2})?\d{2}(?:-\d{2,4})?)"), lambda x: row("FISCAL_YEAR", x, F.concat(F.lit("FY"), F.regexp_replace(x, r"^(?:\d{2})?(\d{2})(?:-\d*?(\d{2}))?$", "$1")), none))
-    day = lambda x: F.try_to_date(F.regexp_replace(x, r"[-.]", "/"), "d/M/yyyy")
-    dates = F.filter(F.transform(pattern(r"\b(\d{1,2}[/.-]\d{1,2}[/.-]\d{4})\b"), lambda x: row("DATE", x, day(x).cast("string"), none)), lambda x: x["normalized"].isNotNull())
-    return texts.select("id", F.inline(F.concat(money("crores?", 1e7), money("lakhs?", 1e5), percent, years, dates)))
+
+    def row(kind: str, raw: Column, norm: Column, val: Column, confidence: float) -> Column:
+        return F.struct(F.lit(kind).alias("entity_type"), raw.alias("text"), norm.alias("normalized"), val.cast("double").alias("value"), F.lit(confidence).alias("confidence"))
+
+    none = F.lit(None).cast("string")
+    money = lambda pattern, unit, factor: F.transform(zipped(pattern, 1), lambda x: row("MONEY", x["g0"], F.concat(F.lit("₹"), plain_number(number(x["g1"])), F.lit(f" {unit}")), number(x["g1"]) * factor, 0.95))
+    band = F.transform(zipped(PRICE_BAND, 1, 2), lambda x: row("MONEY", x["g0"], F.concat(F.lit("₹"), plain_number(number(x["g1"])), F.lit("-₹"), plain_number(number(x["g2"]))), (number(x["g1"]) + number(x["g2"])) / 2, 0.9))
+    percent = F.transform(zipped(PERCENTAGE, 1), lambda x: row("PERCENTAGE", x["g0"], F.concat(plain_number(number(x["g1"])), F.lit("%")), number(x["g1"]), 0.95))
+    second = lambda x: F.concat(x["g2"], x["g4"])
+    years = F.transform(zipped(FISCAL_YEAR, 1, 2, 3, 4), lambda x: row("FISCAL_YEAR", x["g0"], F.concat(F.lit("FY"), x["g1"], x["g3"], F.when(second(x) != "", F.concat(F.lit("-"), second(x))).otherwise("")), none, 0.95))
+    day = lambda x: F.try_to_date(F.concat_ws("/", x["g1"], x["g2"], x["g3"]), "d/M/yyyy").cast("string")
+    dates = F.filter(F.transform(zipped(DAY, 1, 2, 3), lambda x: row("DATE", x["g0"], day(x), none, 0.9)), lambda x: x["normalized"].isNotNull())
+    named = lambda kind, pattern, case: F.transform(each(pattern, 0, case), lambda x: row(kind, x, normal_name(x, F.lit(kind)), none, 1.0))
+    parts = [money(CRORE, "Cr", 1e7), money(LAKH, "Lakh", 1e5), band, percent, years, dates, named("PERSON", PERSON, True), named("COMPANY", COMPANY, False), named("ORG", REGULATOR, True)]
+    return texts.select("id", F.inline(F.concat(*parts)))
+
+
+def title_case(x: Column) -> Column:
+    """Each run of letters with a capital first and small letters after."""
+    runs = F.regexp_extract_all(x, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), "")
 
 
 def normal_name(name: Column, kind: Column) -> Column:
-    company = F.initcap(F.trim(F.regexp_replace(name, r"(?i)\s+(private limited|pvt\.? ltd\.?|limited|ltd\.?|llp|inc\.?)\s*$", "")))
-    person = F.initcap(F.trim(F.regexp_replace(name, r"(?i)^(mr|ms|mrs|dr|shri|smt)\.?\s+", "")))
-    return F.when(kind == "COMPANY", company).when(kind == "PERSON", person).when(kind == "LOCATION", F.initcap(F.trim(name))).otherwise(F.trim(name))
+    own = stripped(name)
+    suffix = r"(?i)\s+(Private\s+Limited|Pvt\.?\s*Ltd\.?|Private|Pvt\.?|Limited|Ltd\.?|Inc\.?|Corporation|Corp\.?)\s*$"
+    company = title_case(stripped(F.regexp_replace(F.regexp_replace(own, suffix, ""), r"\s+", " ")))
+    person = title_case(F.regexp_replace(own, r"(?i)^(Mr\.?|Ms\.?|Mrs\.?|Dr\.?|Prof\.?)\s+", ""))
+    return F.when(kind == "COMPANY", company).when(kind == "PERSON", person).when(kind == "LOCATION", title_case(own)).otherwise(own)
 
 
 def dedupe_entities(found: DataFrame) -> DataFrame:
@@ -154,19 +229,34 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def resolve_entities(merged: DataFrame, compat: bool = False) -> DataFrame:
-    """Each entity's canonical one: of its type, the most mentioned that shares a word and is alike. compat: only the canonical entity
-    that is most mentioned of each type stays. Candidates meet by shared words, not by every pair."""
+    """Each entity's canonical one: of its type, the most mentioned that is alike, itself included; of equally mentioned ones the first by name. compat: only the canonical entity
+    that is most mentioned of each type stays. Candidates meet by shared words and by what a name begins with, not by every pair."""
     own = merged.select("normalized", "entity_type", "mentions")
     if compat:
         w = Window.partitionBy("entity_type").orderBy(F.desc("mentions"), "normalized")
         return own.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("normalized", "entity_type", F.col("normalized").alias("canonical"))
-    words = own.select("*", F.explode(F.array_distinct(F.split(F.lower("normalized"), r"\s+"))).alias("word"))
-    other = words.select(F.col("normalized").alias("c"), F.col("mentions").alias("c_mentions"), "entity_type", "word")
-    pairs = words.join(other, ["entity_type", "word"]).where(alike(F.col("normalized"), F.col("c")))
-    best = pairs.groupBy("normalized", "entity_type").agg(F.min_by("c", F.struct(-F.col("c_mentions"), F.col("c"))).alias("canonical"))
+    every = own.withColumns({"low": F.lower("normalized"), "words": F.array_distinct(F.split(F.lower("normalized"), r"\s+"))})
+    # two names that share four fifths of the shorter one's words share one of its rarest: as many as may be missing, and one
+    word = every.select("*", F.explode("words").alias("word"))
+    counts = word.groupBy("entity_type", "word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("entity_type", "normalized").orderBy("n", "word"))
+    rare = word.join(counts, ["entity_type", "word"]).withColumn("_r", rank).where(F.col("_r") <= F.size("words") - F.ceil(F.size("words") * 0.8) + 1)
+    by_word = rare.select("entity_type", F.col("word").alias("key"), F.col("normalized").alias("a"))
+    # a name within another begins at one of its places: they meet by the first HEAD characters of the shorter
+    by_head = every.where("low <> ''").select("entity_type", F.concat(F.lit("\n"), F.substring("low", 1, HEAD)).alias("key"), F.col("normalized").alias("a"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("low")))
+    windows = F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.concat(F.lit("\n"), F.substring(F.col("low"), i, n))))))
+    probes = word.select("entity_type", F.col("word").alias("key"), F.col("normalized").alias("b"), "mentions").unionByName(every.where("low <> ''").select("entity_type", F.explode(windows).alias("key"), F.col("normalized").alias("b"), "mentions"))
+    met = by_word.unionByName(by_head).join(probes.select("entity_type", "key", "b"), ["entity_type", "key"]).where(alike(F.col("a"), F.col("b")))
+    pairs = met.select("entity_type", "a", "b").unionByName(met.select("entity_type", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own.select("entity_type", F.col("normalized").alias("a"), F.col("normalized").alias("b"))).distinct()
+    known = own.select("entity_type", F.col("normalized").alias("b"), "mentions")
+    best = pairs.join(known, ["entity_type", "b"]).groupBy(F.col("a").alias("normalized"), "entity_type").agg(F.min_by("b", F.struct(-F.col("mentions"), F.col("b"))).alias("canonical"))
     return best
 
 
+HEAD = 8  # characters
+
+
 # ---- chunks ----
 
 
@@ -182,55 +272,14 @@ def tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("long")
 
 
-def overlap(text: Column, n: int) -> Column:
-    """The last n characters, from their first blank on if that is in their first half."""
-    tail = F.when(F.length(text) <= n, text).otherwise(F.right(text, F.lit(n)))
-    at = F.instr(tail, " ")
-    return F.when((F.length(text) > n) & (at > 0) & (at - 1 < n / 2), F.substring(tail, at + 1, F.lit(n))).otherwise(tail)
-
-
-def packed(text: Column, target: int = 4000, overlap_chars: int = 400, least: int = 400, most: int = 6000) -> Column:
-    """Chunks of a text: paragraphs, or sentences of those over the target, gathered until the next would pass it; each chunk begins
-    with the overlap of the last; a short end joins the chunk before."""
-    units = F.flatten(F.transform(paragraphs(text), lambda p: F.when(F.length(p) > target, sentences(p)).otherwise(F.array(p))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def add(state: Column, unit: Column) -> Column:
-        now = state["now"]
-        full = (now != "") & (F.length(now) + F.length(unit) + 2 > target)
-        carried = F.concat(overlap(now, overlap_chars), F.lit("\n\n"), unit)
-        done = F.when(full, F.concat(state["done"], F.array(now))).otherwise(state["done"])
-        return F.struct(done.alias("done"), F.when(full, carried).when(now == "", unit).otherwise(F.concat(now, F.lit("\n\n"), unit)).alias("now"))
-
-    def finish(state: Column) -> Column:
-        done, now = state["done"], state["now"]
-        last = F.try_element_at(done, F.lit(-1))
-        merged = F.concat(last, F.lit("\n\n"), now)
-        join = (F.length(now) < least) & last.isNotNull() & (F.length(merged) <= most)
-        return F.when(now == "", done).when(join, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(done, F.array(now)))
-
-    return F.aggregate(units, start, add, finish)
-
-
-def chunk_id(document: Column, section: Column, page: Column, text: Column) -> Column:
-    return F.substring(F.md5(F.concat_ws(":", document, section, page, F.substring(text, 1, 100))), 1, 12)
-
-
-def chunk_documents(docs: DataFrame, **sizes: int) -> DataFrame:
-    """docs (document_id, text) as linked chunks."""
-    rows = docs.select("document_id", F.posexplode(packed(F.col("text"), **sizes)).alias("seq", "text"))
-    rows = rows.withColumn("chunk_id", chunk_id(F.col("document_id").cast("string"), F.lit("body"), F.col("seq").cast("string"), F.col("text")))
-    return linked(rows, "seq").withColumns({"token_count": tokens(F.col("text")), "char_count": F.length("text")})
-
-
 def linked(chunks: DataFrame, order: str, key: str = "chunk_id") -> DataFrame:
     w = Window.partitionBy("document_id").orderBy(order)
     return chunks.withColumns({"preceding": F.lag(key).over(w), "following": F.lead(key).over(w)})
 
 
-def chain(chunks: DataFrame, document: object, start: object, order: str = "turn") -> DataFrame:
-    """The chunks of a document from one on, in order: one ordered scan in place of a query for each link."""
-    rows = chunks.where(F.col("document_id") == document)
+def chain(chunks: DataFrame, start: object, order: str = "turn", document: object | None = None) -> DataFrame:
+    """Each document's chunks from one on, or one document's, in order: one ordered scan in place of a query for each link."""
+    rows = chunks if document is None else chunks.where(F.col("document_id") == document)
     return rows.where(F.col(order) >= start).withColumn("position", F.row_number().over(Window.partitionBy("document_id").orderBy(order)))
 
 
@@ -261,26 +310,6 @@ def footnotes(citations: DataFrame, by: str) -> DataFrame:
 # ---- vectors ----
 
 
-def scored(vectors: DataFrame, query: DataFrame, metric: str = "cosine") -> DataFrame:
-    """vectors (…, vector) with their score against each of query (query_id, query_vector), which is broadcast: queries are few."""
-    rows = vectors.crossJoin(F.broadcast(query))
-    a, b = F.col("vector").cast("array<double>"), F.col("query_vector").cast("array<double>")
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    how = {"cosine": lambda: cosine(a, b), "dot": lambda: total(F.zip_with(a, b, lambda p, q: p * q)), "euclid": lambda: -F.sqrt(total(F.zip_with(a, b, lambda p, q: (p - q) * (p - q))))}
-    return rows.withColumn("score", how[metric]())
-
-
-def top_k(vectors: DataFrame, query: DataFrame, k: int | None = 10, key: str = "vec_id", where: Column | None = None, threshold: float | None = None, metric: str = "cosine") -> DataFrame:
-    """The k best of each query with their rank; filters apply before. Ties by key. k None: all, for a threshold. A group limit keeps k rows a task before the shuffle."""
-    rows = vectors if where is None else vectors.where(where)
-    rows = scored(rows, query, metric)
-    if threshold is not None:
-        rows = rows.where(F.col("score") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    ranked = rows.withColumn("rank", F.row_number().over(w))
-    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", key, "score", "rank")
-
-
 def unit_vector(v: Column) -> Column:
     d = v.cast("array<double>")
     n = F.sqrt(F.aggregate(F.transform(d, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
@@ -317,12 +346,3 @@ def exported(citations: DataFrame) -> DataFrame:
 def imported(lines: DataFrame, schema: str = "claim_id string, ordinal long, section string, page int, snippet string") -> DataFrame:
     """Citations from JSON documents; those without a claim, or that are no JSON, are skipped."""
     return lines.select(F.from_json("json", schema).alias("c")).select("c.*").where("claim_id is not null")
-
-
-def table_chunk(headers: Column, rows: Column, kind: Column, most_tokens: int = 1000) -> Column:
-    """A table as text: whole where it has few tokens, else its kind, size, first five headers and first three rows."""
-    whole = markdown(headers, rows)
-    names = F.concat(F.array_join(F.slice(headers, 1, 5), ", "), F.when(F.size(headers) > 5, F.concat(F.lit(" (+"), F.size(headers) - 5, F.lit(" more)"))).otherwise(""))
-    sample = F.array_join(F.transform(F.slice(rows, 1, 3), lambda r: F.array_join(F.transform(F.slice(r, 1, 5), lambda c: F.substring(c, 1, 30)), " | ")), "\n")
-    short = F.concat(F.lit("Table: "), kind, F.lit(", "), F.size(rows), F.lit(" x "), F.size(headers), F.lit("\nColumns: "), names, F.lit("\n"), sample)
-    return F.when(tokens(whole) <= most_tokens, whole).otherwise(short)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import exprs
-from ledgerleaf.operators import cashflow, financials, offer, risk, store, text, working_capital
+from ledgerleaf.operators import cashflow, chunks, financials, offer, risk, store, text, vectors, working_capital
+from ledgerleaf.sources import pages as scan
 from ledgerleaf.sources.tables import plain, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,9 +535,9 @@ def distinct_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderpriority").distinct()
 
 
-@query("payload_filter", "SELECT vec_id FROM embeddings WHERE label IN (1, 3, 5) AND vec_id BETWEEN 10 AND 300")
+@query("payload_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P', 'X') AND o_totalprice BETWEEN 20000 AND 150000 AND o_orderpriority = '1-URGENT'")
 def payload_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(store.payload_filter({"label": [1, 3, 5], "vec_id": [10, 300], "other": None})).select("vec_id")
+    return table(spark, sf_dir, "orders").where(store.payload_filter({"o_orderstatus": ["F", "P", "X"], "o_totalprice": [20000, 150000], "o_orderpriority": "1-URGENT", "other": None})).select("o_orderkey")
 
 
 # ---- text ----
@@ -549,9 +550,9 @@ def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.linked(view(spark, sf_dir, "chunks"), "turn", "turn").select("document_id", "turn", "chunk_type", "char_count", "token_count", "preceding", "following")
 
 
-@query("chunk_chain", f"SELECT document_id, turn, cast(row_number() OVER (ORDER BY turn) AS int) AS position FROM {CHUNKS} c WHERE document_id = 0 AND turn >= 1")
+@query("chunk_chain", f"SELECT document_id, turn, cast(row_number() OVER (PARTITION BY document_id ORDER BY turn) AS int) AS position FROM {CHUNKS} c WHERE turn >= 1")
 def chunk_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.chain(view(spark, sf_dir, "chunks"), 0, 1).select("document_id", "turn", "position")
+    return text.chain(view(spark, sf_dir, "chunks"), 1).select("document_id", "turn", "position")
 
 
 @query("chunk_tokens", f"SELECT document_id, chunk_type, cast(sum(token_count) AS bigint) AS tokens, count(*) AS n FROM {CHUNKS} c GROUP BY ALL")
@@ -633,31 +634,45 @@ _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
-    return e, e.where("vec_id IN (0, 7)").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
-def _topk_sql(where: str = "true", k: int = 10) -> str:
-    return f"SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 4) AS score, cast(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS int) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 7) AND {where} QUALIFY rank <= {k}"
+def _topk_sql(where: str = "true", k: int | None = 10, score: str = _COS) -> str:
+    ranked = f"SELECT q.vec_id AS query_id, e.vec_id, round({score}, 4) AS score, cast(row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} DESC, e.vec_id) AS int) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}"
+    return ranked if k is None else f"{ranked} QUALIFY rank <= {k}"
 
 
 @query("vector_topk", _topk_sql())
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(text.top_k(*_vectors(spark, sf_dir)))
+    return rounded(vectors.search(*_vectors(spark, sf_dir)))
 
 
 @query("vector_topk_filtered", _topk_sql("e.label IN (1, 2, 4)", 5))
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(text.top_k(*_vectors(spark, sf_dir), k=5, where=store.payload_filter({"label": [1, 2, 4]})))
+    return rounded(vectors.search(*_vectors(spark, sf_dir), k=5, where=store.payload_filter({"label": [1, 2, 4]})))
 
 
-@query("vector_threshold", _topk_sql(f"{_COS} >= 0.2", 1000))
+@query("vector_threshold", _topk_sql(f"{_COS} >= 0.2", None))
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(text.top_k(*_vectors(spark, sf_dir), k=None, threshold=0.2))
+    return rounded(vectors.search(*_vectors(spark, sf_dir), k=None, threshold=0.2))
+
+
+@query("vector_topk_dot", _topk_sql(k=7, score="list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"))
+def vector_topk_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vectors.search(*_vectors(spark, sf_dir), k=7, metric="dot"))
+
+
+@query("vector_topk_euclid", _topk_sql("e.vec_id <> q.vec_id", k=7, score="(0 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]))"))
+def vector_topk_euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven nearest others: a query's own vector comes first and is left out."""
+    found = vectors.search(*_vectors(spark, sf_dir), k=8, metric="euclid").where("query_id <> vec_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return rounded(found.withColumn("rank", F.row_number().over(w)).where("rank <= 7"))
 
 
 @query("chunk_documents")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.chunk_documents(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+    return chunks.chunk_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
 @query("sentence_split")
@@ -665,18 +680,6 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("n", "sentence"))
 
 
-@query("entity_regex")
-def entity_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.entities(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-
-
-@query("entity_dedupe", "SELECT s_nationkey AS normalized_key, count(*) AS mentions FROM supplier GROUP BY s_nationkey")
-def entity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    found = s.select(F.col("s_suppkey").alias("ordinal"), F.concat(F.lit("Firm "), "s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, " Limited").otherwise(" Ltd.")).alias("name"), F.lit("COMPANY").alias("entity_type"), F.col("s_suppkey").alias("page"), F.lit(0.9).alias("confidence"))
-    return text.dedupe_entities(found).select(F.regexp_extract("normalized", r"(\d+)", 1).cast("int").alias("normalized_key"), "mentions")
-
-
 # ---- normalisation, parsers and headers ----
 
 
@@ -726,11 +729,6 @@ def table_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.table_growth(text.melt_statement(_statements(spark, sf_dir)))
 
 
-@query("table_classify", "SELECT o_orderkey AS table_id, 'income_statement' AS table_type, round(least(1.0, 2 / (13 * 0.3)), 6) AS confidence FROM orders")
-def table_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.classify_tables(_statements(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
-
-
 @query("unit_detect", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'crore' WHEN 1 THEN 'lakh' WHEN 2 THEN 'million' ELSE 'actual' END AS unit FROM part")
 def unit_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("₹ in Crores", "in Lakhs", "USD million", "Amount")])
@@ -738,14 +736,6 @@ def unit_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.unit_of(F.array(names[F.col("p_partkey") % 4]), none).alias("unit"))
 
 
-@query("section_headers")
-def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerleaf.operators import sections
-
-    d = table(spark, sf_dir, "documents")
-    return sections.headers(d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_num"), "text"))
-
-
 @query("cache_misses", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.lit("m").alias("model"))
@@ -754,8 +744,6 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_validation", "SELECT page_id % 10 AS document_id, count(*) AS page_count, round(count(*) FILTER (page_id // 10 < 10 AND page_id % 3 = 0) / greatest(count(*) FILTER (page_id // 10 < 10), 1), 4) AS scanned_share FROM pages GROUP BY 1")
 def page_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerleaf.sources import pages as scan
-
     p = table(spark, sf_dir, "pages")
     rows = p.select((F.col("page_id") % 10).alias("document_id"), (F.floor(F.col("page_id") / 10) + 1).alias("page_num"), F.when(F.col("page_id") % 3 == 0, "").otherwise(F.repeat(F.lit("x"), 300)).alias("text"), F.lit(1).alias("image_count"), F.lit(0.1).alias("image_share"))
     return rounded(scan.validation(rows).select("document_id", "page_count", "scanned_share"))

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import exprs
-from ledgerleaf.operators import cashflow, financials, offer, risk, store, text, working_capital
+from ledgerleaf.operators import cashflow, chunks, financials, offer, risk, sections, store, text, vectors, working_capital
+from ledgerleaf.plans import registry
 from ledgerleaf.streaming import windows
 
 
@@ -120,14 +121,81 @@ def test_entities_of_a_sentence(spark):
 
 def test_chunks_keep_every_paragraph(spark):
     body = "\n\n".join(f"Paragraph {i}. " + "word " * 60 for i in range(30))
-    chunks = text.chunk_documents(spark.createDataFrame([(1, body)], "document_id int, text string"), target=1000, overlap_chars=100, least=100, most=1500).orderBy("seq").collect()
-    assert len(chunks) > 5 and all(any(f"Paragraph {i}." in c.text for c in chunks) for i in range(30))
-    assert chunks[0].preceding is None and chunks[0].following == chunks[1].chunk_id
+    sizes = chunks.Sizes(target=1000, overlap=100, least=100, most=1500)
+    got = chunks.chunk_texts(spark.createDataFrame([(1, body)], "document_id int, text string"), sizes).orderBy("seq").collect()
+    assert len(got) > 5 and all(any(f"Paragraph {i}." in c.text for c in got) for i in range(30))
+    assert got[0].preceding is None and got[0].following == got[1].chunk_id and got[0].token_count == len(got[0].text) // 4
+
+
+def test_chunk_boundaries_by_hand():
+    small = chunks.Sizes(target=20, overlap=6, least=5, most=30)
+    assert chunks.packed("aaaa bbbb\n\ncccc dddd\n \neeee", small) == [(0, "aaaa bbbb\n\ncccc dddd"), (18, "dddd\n\neeee")]
+    # the tail starts after a blank in its first half
+    assert chunks.tail("one two three", 9) == "two three" and chunks.tail("one two three", 10) == "two three" and chunks.tail("onetwothree", 5) == "three" and chunks.tail("ab", 5) == "ab"
+    # a long paragraph is cut by sentences, after what came before; what follows starts anew
+    long = "First one here. Second one is. Third."
+    assert chunks.packed("intro\n\n" + long + "\n\nout of it", small) == [(0, "intro"), (7, "First one here."), (16, "here. Second one is."), (33, "is. Third."), (46, "out of it")]
+    # a short end joins the chunk before
+    assert chunks.packed("aaaa bbbb cccc dddd\n\nee", chunks.Sizes(target=20, overlap=0, least=5, most=30)) == [(0, "aaaa bbbb cccc dddd\n\nee")]
+    assert chunks.packed(" \n\n ", small) == []
+
+
+def test_table_text_and_shape(spark):
+    row = spark.createDataFrame([(["A|x", "B"], [["1", "2\n3"]], "debt")], "headers array<string>, rows array<array<string>>, table_type string")
+    whole, short = row.select(chunks.table_text(1000), chunks.table_text(0)).first()
+    assert whole == "| A\\|x | B |\n| --- | --- |\n| 1 | 2 3 |" and short == "[TABLE: debt]\nRows: 1, Columns: 2\nHeaders: A|x, B\nSample data:\n  1 | 2\n3"
+    assert [(r.row_count, r.col_count) for r in text.with_shape(row).collect()] == [(1, 2)]
+
+
+def test_vector_collections_and_cache(spark, tmp_path):
+    store_ = vectors.Collections(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("a", "S", "t1"), ("b", "S", "t2")], "chunk_id string, section string, text string")
+    vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, vector array<double>")
+    assert not store_.exists("my doc/1") and store_.add("my doc/1", rows.limit(0), vecs.limit(0)) == 0 and not store_.exists("my doc/1")
+    with pytest.raises(ValueError):
+        store_.add("my doc/1", rows, vecs.limit(1))
+    assert store_.add("my doc/1", rows, vecs) == 2 and store_.names() == ["doc_my_doc_1"]
+    assert store_.add("my doc/1", rows.where("chunk_id = 'a'").withColumn("text", F.lit("new")), vecs.where("chunk_id = 'a'")) == 1
+    assert {r.chunk_id: r.text for r in store_.read("my doc/1").collect()} == {"a": "new", "b": "t2"}
+    assert store_.drop("my doc/1") and not store_.exists("my doc/1") and not store_.drop("my doc/1")
+
+    cache = vectors.EmbeddingCache(spark, str(tmp_path / "cache"))
+    texts = spark.createDataFrame([(0, "x", [1.0]), (1, "y", [2.0])], "index long, text string, vector array<double>")
+    assert cache.load("d", texts, "m") is None
+    cache.save("d", texts, "m")
+    assert [r.vector for r in cache.load("d", texts, "m").orderBy("index").collect()] == [[1.0], [2.0]]
+    assert cache.load("d", texts, "other") is None and cache.load("d", texts.limit(1), "m") is None and cache.load("d", texts.withColumn("text", F.lit("z")), "m") is None
+    assert cache.clear("d") and not cache.clear("d")
+    cache.save("e", texts, "m")
+    assert cache.clear_all() == 1
+
+
+def test_search_skips_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0])], "vec_id long, vector array<double>")
+    q = rows.where("vec_id in (1, 4)").selectExpr("vec_id AS query_id", "vector AS query_vector")
+    assert sorted((r.query_id, r.vec_id, r.rank) for r in vectors.search(rows, q).collect()) == [(1, 1, 1), (1, 6, 2), (4, 4, 1)]
+
+
+def test_repository_lookups(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
+    assert store.exists(df, s="a") and not store.exists(df, s="z") and store.count(df, s="b") == 1 and store.find(df, id=2).s == "b" and store.find(df, id=3) is None
+
+
+def test_persons_companies_and_litigation(spark):
+    s = "Mr. ravi o'neil met Acme Steel Limited and Dr Asha Rao of RBI."
+    got = {(r.entity_type, r.text): r.normalized for r in text.entities(spark.createDataFrame([(1, s)], "id int, text string")).collect()}
+    assert got[("COMPANY", "Steel Limited")] == "Steel" and got[("ORG", "RBI")] == "RBI" and got[("PERSON", "Dr Asha Rao")] == "Asha Rao"
+    names = spark.createDataFrame([("Mr. o'neil  singh", "PERSON"), ("ACME  steel Pvt. Ltd.", "COMPANY"), ("new delhi", "LOCATION")], "n string, k string")
+    assert [r[0] for r in names.select(text.normal_name(F.col("n"), F.col("k"))).collect()] == ["O'Neil  Singh", "Acme Steel", "New Delhi"]
+    people = spark.createDataFrame([("Ravi Kumar",), ("Asha Rao",)], "name string")
+    cases = spark.createDataFrame([("ravi kumar", "criminal", 2.0), ("RAVI KUMAR", "civil", 3.0)], "party string, kind string, amount double")
+    out = {r.name: (r.criminal_cases, r.civil_cases, r.regulatory_actions, r.total_litigation_amount) for r in sections.litigation_counts(people, cases).collect()}
+    assert out == {"Ravi Kumar": (1, 1, 0, 5.0), "Asha Rao": (0, 0, 0, 0.0)}
 
 
 def test_resolved_entities(spark):
-    merged = spark.createDataFrame([("Acme Steel", "COMPANY", 5), ("Acme Steel Works", "COMPANY", 1), ("Other", "COMPANY", 2)], "normalized string, entity_type string, mentions long")
-    assert {r.normalized: r.canonical for r in text.resolve_entities(merged).collect()} == {"Acme Steel": "Acme Steel", "Acme Steel Works": "Acme Steel", "Other": "Other"}
+    merged = spark.createDataFrame([("Acme Steel", "COMPANY", 5), ("Acme Steelworks", "COMPANY", 1), ("Other", "COMPANY", 2)], "normalized string, entity_type string, mentions long")
+    assert {r.normalized: r.canonical for r in text.resolve_entities(merged).collect()} == {"Acme Steel": "Acme Steel", "Acme Steelworks": "Acme Steel", "Other": "Other"}
     assert text.resolve_entities(merged, compat=True).count() == 1
 
 
@@ -157,15 +225,18 @@ def test_stages_resume_with_their_data(spark, tmp_path):
 
 
 def test_headers_levels_names_and_promoters(spark):
-    from ledgerleaf.operators import sections
-
-    p = spark.createDataFrame([(1, 1, "RISK FACTORS\nplain text of no interest at all\n1.2.1 Our Business\n\nRISK FACTORS")], "document_id int, page_num int, text string")
-    got = {r.title: (r.section_type, r.level) for r in sections.headers(p).collect()}
-    assert got == {"RISK FACTORS": ("RISK_FACTORS", 3), "1.2.1 Our Business": ("BUSINESS", 3)}
+    p = spark.createDataFrame([(1, 1, "RISK FACTORS\nplain text of no interest at all\n1.2.1 OUR BUSINESS\n\nRISK  FACTORS"), (1, 2, "The management believes that this matters\nTHE ISSUE")], "document_id int, page_num int, text string")
+    got = [(r.position, r.title, r.section_type, r.level, r.score) for r in sections.headers(p).orderBy("position").collect()]
+    assert got == [(1, "RISK FACTORS", "risk_factors", 3, 5.0), (2, "1.2.1 OUR BUSINESS", "other", 3, 2.0), (3, "THE ISSUE", "the_issue", 3, 5.0)]
+    spans = sections.sections_of(sections.headers(p), spark.createDataFrame([(1, 9)], "document_id int, total_pages int"))
+    assert sorted((r.section_id, r.start_page, r.end_page) for r in spans.collect()) == [(1, 1, 1), (2, 1, 1), (3, 2, 9)]
     names = spark.createDataFrame([("My Report - Final (v2).pdf",), ("???.pdf",)], "f string").select(sections.document_name(F.col("f"))).collect()
     assert [r[0] for r in names] == ["My_Report_Final_v2", "document"]
-    s = spark.createDataFrame([(1, "Mr. Ravi Kumar, aged 45, DIN: 01234567, has 20 years of experience. Ms. Asha Rao, DIN 76543210.")], "id int, text string")
-    assert sorted((r.name, r.din, r.age) for r in sections.promoters(s).collect()) == [("Asha Rao", "76543210", None), ("Ravi Kumar", "01234567", 45)]
+    s = spark.createDataFrame([(1, "Mr. Ravi Kumar, aged 45, DIN: 01234567, has 20 years of experience. He is an MBA from Pune. Ms. Asha Rao, DIN 76543210.\nVijay Mallya Shah\nHe is the Managing Director.")], "id int, text string")
+    people = {r.name: (r.din, r.age, r.experience_years, r.qualification, r.designation) for r in sections.promoters(s).collect()}
+    assert people == {"Ravi Kumar": ("01234567", 45, 20, "MBA from Pune", None), "Asha Rao": ("76543210", None, None, None, None), "Vijay Mallya Shah": (None, None, None, None, "Managing Director")}
+    titles = spark.createDataFrame([("OUR PROMOTERS",), ("Interest of Promoters",), ("Capital Structure",), ("Index",)], "title string")
+    assert [r.extractors for r in sections.routed(titles).collect()] == [["profiles"], ["profiles", "common_pursuits", "financial_interests"], ["shareholding"], []]
 
 
 def test_page_layout(spark):
@@ -191,9 +262,6 @@ def test_sections_citations_and_table_text(spark):
     c = spark.createDataFrame([("a", 1, "S", 3, "old"), ("a", 2, "S", 3, "new"), (None, 3, "S", 1, "x")], "claim_id string, ordinal long, section string, page int, snippet string")
     back = text.imported(text.exported(c).unionByName(spark.createDataFrame([("{}",), ("no",)], "json string")))
     assert [(r.claim_id, r.snippet) for r in back.collect()] == [("a", "new")]
-    row = spark.createDataFrame([(["A|x", "B"], [["1", "2\n3"]])], "h array<string>, r array<array<string>>")
-    whole, short = row.select(text.table_chunk(F.col("h"), F.col("r"), F.lit("debt")), text.table_chunk(F.col("h"), F.col("r"), F.lit("debt"), 0)).first()
-    assert whole == "| A\\|x | B |\n| --- | --- |\n| 1 | 2 3 |" and short.startswith("Table: debt, 1 x 2\nColumns: A|x, B\n1 | 2")
 
 
 def test_config_layers():
@@ -207,8 +275,6 @@ def test_config_layers():
 
 
 def test_vector_threshold_returns_every_match(spark, tmp_path):
-    from ledgerleaf.plans import registry
-
     spark.range(1500).selectExpr("id AS vec_id", "array(1.0f, cast(id % 2 AS float)) AS embedding", "0 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = registry.vector_threshold(spark, str(tmp_path)).groupBy("query_id").count().collect()
-    assert {r.query_id: r["count"] for r in got} == {0: 1500, 7: 1500}
+    assert {r.query_id: r["count"] for r in got} == {q: 1500 for q in range(0, 1500, 20)}

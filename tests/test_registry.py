@@ -5,12 +5,12 @@ import math
 import duckdb
 import pytest
 
-from ledgerleaf.plans import registry
+from ledgerleaf.plans import documents
 from ledgerleaf.sources.tables import TABLES
 from ledgerleaf.streaming import windows
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = registry.QUERIES | windows.QUERIES, registry.SQL | windows.SQL
+QUERIES, SQL = documents.QUERIES | windows.QUERIES, documents.SQL | windows.SQL
 
 
 @pytest.fixture(scope="module")
