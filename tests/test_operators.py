@@ -131,7 +131,7 @@ def test_chunk_boundaries_by_hand():
     small = chunks.Sizes(target=20, overlap=6, least=5, most=30)
     assert chunks.packed("aaaa bbbb\n\ncccc dddd\n \neeee", small) == [(0, "aaaa bbbb\n\ncccc dddd"), (18, "dddd\n\neeee")]
     # the tail starts after a blank in its first half
-    assert chunks.tail("one two three", 9) == "two three" and chunks.tail("one two three", 10) == " two three" and chunks.tail("onetwothree", 5) == "three" and chunks.tail("ab", 5) == "ab"
+    assert chunks.tail("one two three", 9) == "three" and chunks.tail("one two three", 10) == " two three" and chunks.tail("onetwothree", 5) == "three" and chunks.tail("ab", 5) == "ab"
     # a long paragraph is cut by sentences, after what came before; what follows starts anew
     long = "First one here. Second one is. Third."
     assert chunks.packed("intro\n\n" + long + "\n\nout of it", small) == [(0, "intro"), (7, "First one here."), (16, "here. Second one is."), (33, "is. Third."), (46, "out of it")]
