@@ -57,14 +57,29 @@ def fin_ratio_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.select("entity_id", "fiscal_year", "revenue", "gross_margin", F.col("receivable_days").alias("dso"), "dso_change", flag.alias("flag")))
 
 
+# a year's full statements, made of the same facts: some have no equity, gross profit or ebit of their own
+_FULL = """(SELECT *, ebitda * 0.5 - tax_expense AS pat, revenue * 0.8 AS total_assets, CASE WHEN entity_id % 5 = 0 THEN 0.0 ELSE revenue * 0.4 END AS total_equity, revenue * 0.2 AS total_debt, trade_receivables + inventory AS current_assets, trade_payables AS current_liabilities,
+  tax_expense * 0.1 AS interest_expense, inventory * 0.015 AS depreciation, CASE WHEN entity_id % 2 = 0 THEN 0.0 ELSE revenue * 0.25 END AS gross_profit, CASE WHEN entity_id % 3 = 0 THEN 0.0 ELSE ebitda * 0.8 END AS ebit FROM {y} y)"""
+
+
+def full_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, e = F.col, F.col("entity_id")
+    return view(spark, sf_dir, "fin_year").select(
+        "*", (c("ebitda") * 0.5 - c("tax_expense")).alias("pat"), (c("revenue") * 0.8).alias("total_assets"), F.when(e % 5 == 0, 0.0).otherwise(c("revenue") * 0.4).alias("total_equity"), (c("revenue") * 0.2).alias("total_debt"), (c("trade_receivables") + c("inventory")).alias("current_assets"), c("trade_payables").alias("current_liabilities"),
+        (c("tax_expense") * 0.1).alias("interest_expense"), (c("inventory") * 0.015).alias("depreciation"), F.when(e % 2 == 0, 0.0).otherwise(c("revenue") * 0.25).alias("gross_profit"), F.when(e % 3 == 0, 0.0).otherwise(c("ebitda") * 0.8).alias("ebit"),
+    )
+
+
+RATIOS = ("gross_margin", "ebitda_margin", "pat_margin", "asset_turnover", "roe", "roce", "debt_equity", "current_ratio", "quick_ratio", "interest_coverage", "receivable_days", "inventory_days", "payable_days", "cash_conversion_cycle")
+
+
 @query("fin_ratios", f"""
-WITH y AS {YEARS}
-SELECT entity_id, fy, round((revenue - cogs) / revenue * 100, 4) AS gross_margin, round(ebitda / revenue * 100, 4) AS ebitda_margin, round(trade_receivables / revenue * 365, 4) AS receivable_days,
-       round(inventory / cogs * 365, 4) AS inventory_days, round(trade_payables / cogs * 365, 4) AS payable_days,
-       CASE WHEN trade_receivables <> 0 AND trade_payables <> 0 AND inventory <> 0 THEN round(inventory / cogs * 365 + trade_receivables / revenue * 365 - trade_payables / cogs * 365, 4) END AS cash_conversion_cycle
-FROM y""")
+WITH y AS {_FULL.format(y=YEARS)}, g AS (SELECT *, CASE WHEN gross_profit = 0 AND revenue > 0 THEN revenue - cogs ELSE gross_profit END AS gp, CASE WHEN ebit = 0 AND ebitda > 0 THEN ebitda - depreciation ELSE ebit END AS op, trade_receivables / revenue * 365 AS dso, inventory / cogs * 365 AS dio, trade_payables / cogs * 365 AS dpo FROM y)
+SELECT entity_id, fy, round(gp / revenue * 100, 4) AS gross_margin, round(ebitda / revenue * 100, 4) AS ebitda_margin, round(pat / revenue * 100, 4) AS pat_margin, round({div('revenue', 'total_assets')}, 4) AS asset_turnover, round({div('pat', 'total_equity')} * 100, 4) AS roe,
+       round({div('op', '(total_equity + total_debt)')} * 100, 4) AS roce, round({div('total_debt', 'total_equity')}, 4) AS debt_equity, round({div('current_assets', 'current_liabilities')}, 4) AS current_ratio, round({div('current_assets - inventory', 'current_liabilities')}, 4) AS quick_ratio,
+       round({div('ebitda', 'interest_expense')}, 4) AS interest_coverage, round(dso, 4) AS receivable_days, round(dio, 4) AS inventory_days, round(dpo, 4) AS payable_days, CASE WHEN dso <> 0 AND dpo <> 0 AND dio <> 0 THEN round(dio + dso - dpo, 4) END AS cash_conversion_cycle FROM g""")
 def fin_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(financials.ratios(view(spark, sf_dir, "fin_year")).select("entity_id", "fy", "gross_margin", "ebitda_margin", "receivable_days", "inventory_days", "payable_days", "cash_conversion_cycle"))
+    return rounded(financials.ratios(full_years(spark, sf_dir)).select("entity_id", "fy", *RATIOS))
 
 
 @query("revenue_trend", f"WITH y AS {YEARS} SELECT entity_id, fiscal_year, round(revenue, 4) AS revenue FROM y WHERE revenue IS NOT NULL")
@@ -92,13 +107,14 @@ for _variant, _sql in (
 
 
 @query("divergence_flags", f"""
-WITH y AS {YEARS}, r AS (SELECT *, {_GROWTH('trade_receivables')} - {_GROWTH('revenue')} AS gap, lag(revenue) {_W} AS p_rev, lag(trade_receivables) {_W} AS p_recv,
+WITH y AS (SELECT *, ebitda * (entity_id % 10 + 0.5) / 10 AS cfo FROM {YEARS} x), r AS (SELECT *, {_GROWTH('trade_receivables')} - {_GROWTH('revenue')} AS gap, lag(revenue) {_W} AS p_rev, lag(trade_receivables) {_W} AS p_recv,
   inventory / cogs * 365 - lag(inventory / cogs * 365) {_W} AS piled, trade_receivables / revenue * 365 AS dso, trade_receivables / revenue * 365 - lag(trade_receivables / revenue * 365) {_W} AS slower, lag(trade_receivables / revenue * 365) {_W} AS p_dso FROM y)
 SELECT entity_id, fiscal_year, 'channel_stuffing' AS warning_type, CASE WHEN gap > 20 THEN 'CRITICAL' ELSE 'MAJOR' END AS severity, round(gap, 4) AS actual_value, 10.0::DOUBLE AS threshold_value FROM r WHERE p_rev > 0 AND p_recv > 0 AND gap > 10
 UNION ALL SELECT entity_id, fiscal_year, 'inventory_piling', CASE WHEN piled > 30 THEN 'CRITICAL' ELSE 'MAJOR' END, round(piled, 4), 15.0 FROM r WHERE piled > 15
-UNION ALL SELECT entity_id, fiscal_year, 'collection_stress', 'MAJOR', round(slower, 4), 10.0 FROM r WHERE p_dso <> 0 AND dso <> 0 AND slower > 20""")
+UNION ALL SELECT entity_id, fiscal_year, 'collection_stress', 'MAJOR', round(slower, 4), 10.0 FROM r WHERE p_dso <> 0 AND dso <> 0 AND slower > 20
+UNION ALL SELECT entity_id, fiscal_year, 'paper_profits', CASE WHEN entity_id % 10 < 3 THEN 'CRITICAL' ELSE 'MAJOR' END, round(cfo / ebitda * 100, 4), 50.0 FROM r WHERE p_rev IS NOT NULL AND ebitda > 0 AND entity_id % 10 < 5""")
 def divergence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(financials.divergences(view(spark, sf_dir, "fin_year")))
+    return rounded(financials.divergences(view(spark, sf_dir, "fin_year").withColumn("cfo", F.col("ebitda") * (F.col("entity_id") % 10 + 0.5) / 10)))
 
 
 @query("trend_labels", f"""
@@ -123,13 +139,21 @@ _WC = f"""y AS {YEARS}, d AS (SELECT *, coalesce({div('trade_receivables', 'reve
 s AS (SELECT *, dso + dio - dpo AS ccc, coalesce(dio - lag(dio) {_W}, 0) AS dio_change, {_GROWTH('trade_receivables')} - {_GROWTH('revenue')} AS gap FROM d)"""
 
 
+SECTOR_NAMES = ("Automobiles", "FMCG", "it services", "nothing known", "Auto", "Real Estate Trusts", "Pharma & Chemicals", "NBFC")
+_NAMED = "[" + ", ".join(f"'{n}'" for n in SECTOR_NAMES) + "]"
+_SECTOR_ROWS = ", ".join(f"({i}, '{r[0]}', {r[4]})" for i, r in enumerate(working_capital.SECTORS))
+
+
 @query("wc_single_year", f"""
-WITH {_WC} SELECT entity_id, fiscal_year, round(dso, 4) AS receivable_days, round(dio, 4) AS inventory_days, round(dpo, 4) AS payable_days, round(ccc, 4) AS ccc, round(coalesce(ccc - lag(ccc) {_W}, 0), 4) AS ccc_change,
-       round(gap, 4) AS growth_gap, gap > 10 AS channel_stuffing, dio_change > 15 AS inventory_piling, round((ccc - 80) / 80 * 100, 4) AS ccc_variance_pct FROM s""")
+WITH {_WC}, b AS (SELECT name, k FROM (SELECT unnest({_NAMED}) AS name) n JOIN (VALUES {_SECTOR_ROWS}) v(i, sector, k) ON contains(lower(name), lower(sector)) OR contains(lower(sector), lower(name)) QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN name = sector THEN 0 ELSE 1 END, i) = 1)
+SELECT entity_id, fiscal_year, round(dso, 4) AS receivable_days, round(dio, 4) AS inventory_days, round(dpo, 4) AS payable_days, round(ccc, 4) AS ccc, round(coalesce(ccc - lag(ccc) {_W}, 0), 4) AS ccc_change,
+       round(gap, 4) AS growth_gap, gap > 10 AS channel_stuffing, dio_change > 15 AS inventory_piling, name AS sector_name, round((ccc - k) / nullif(k, 0) * 100, 4) AS ccc_variance_pct
+FROM (SELECT *, {_NAMED}[entity_id % {len(SECTOR_NAMES)} + 1] AS name FROM s) s LEFT JOIN b USING (name)""")
 def wc_single_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = working_capital.single_year(view(spark, sf_dir, "fin_year")).withColumn("sector_name", F.lit("Automobiles"))
+    names = F.array(*[F.lit(n) for n in SECTOR_NAMES])
+    rows = working_capital.single_year(view(spark, sf_dir, "fin_year")).withColumn("sector_name", names[F.col("entity_id") % len(SECTOR_NAMES)])
     out = working_capital.sector_variance(working_capital.with_benchmark(rows))
-    return rounded(out.select("entity_id", "fiscal_year", "receivable_days", "inventory_days", "payable_days", "ccc", "ccc_change", "growth_gap", "channel_stuffing", "inventory_piling", "ccc_variance_pct"))
+    return rounded(out.select("entity_id", "fiscal_year", "receivable_days", "inventory_days", "payable_days", "ccc", "ccc_change", "growth_gap", "channel_stuffing", "inventory_piling", "sector_name", "ccc_variance_pct"))
 
 
 @query("wc_trend", f"""
@@ -191,12 +215,12 @@ q AS (SELECT *, greatest(0, r * m / 100 - r * 0.7 * 0.03 - 50.0 * 0.10) * 0.75 A
 
 @query("projection_scenarios", f"""
 WITH {_PROJ} SELECT entity_id, scenario, concat('FY', i, 'E') AS year, round(r, 2) AS revenue, round(r * m / 100, 2) AS ebitda, round(pat, 2) AS pat, round(pat * 1e7 / 50000000, 2) AS eps,
-  round(CASE WHEN eq > 0 THEN pat / eq * 100 ELSE 0 END, 2) AS roe, round(CASE WHEN r * m > 0 THEN 50.0 / (r * m / 100) ELSE 0 END, 2) AS net_debt_to_ebitda, round(ccc, 1) AS ccc FROM e""")
+  round(CASE WHEN eq > 0 THEN pat / eq * 100 ELSE 0 END, 2) AS roe, round(CASE WHEN eq + 50 > 0 THEN pat / (eq + 50) * 100 ELSE 0 END, 2) AS roic, round(CASE WHEN r * m > 0 THEN 50.0 / (r * m / 100) ELSE 0 END, 2) AS net_debt_to_ebitda, round(ccc, 1) AS ccc FROM e""")
 def projection_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = financials.latest_year(view(spark, sf_dir, "fin_year"), "fy").where("revenue > 0")
     given = {"total_equity": 200.0, "total_debt": 100.0, "ccc_days": 0.0, "hist_cagr": 12.0, "growth_guidance": 15.0, "margin_guidance": 0.0, "tax_rate": 0.25, "depreciation_rate": 0.03, "fresh_cr": 150.0, "repay_cr": 50.0}
     rows = last.select("entity_id", "revenue", "ebitda", *[F.lit(v).alias(k) for k, v in given.items()], F.lit(50_000_000).cast("long").alias("post_shares"))
-    return offer.projections(rows).drop("roic")
+    return offer.projections(rows)
 
 
 PEERS = plain("peers")
@@ -593,12 +617,20 @@ def section_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.page_sections(pages, _ended(spark, sf_dir)).groupBy("section_id").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_num").alias("first_page"))
 
 
-@query("page_summary", """
-WITH p AS (SELECT source AS document_id, text, CASE WHEN length(trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(160))) < 50 THEN 'blank' WHEN regexp_matches(substr(text, 1, 200), '(?i)appendix|annexure|schedule') THEN 'appendix' ELSE 'text' END AS k FROM documents)
-SELECT document_id, count(*) AS n_pages, count(*) FILTER (k = 'blank') AS blank_pages, count(*) FILTER (k = 'appendix') AS appendix_pages, count(*) FILTER (k = 'text') AS text_pages, cast(sum(length(text)) AS bigint) AS chars FROM p GROUP BY document_id""")
+_PAGE_TEXT = "CASE doc_id % 10 WHEN 0 THEN concat('DRAFT Prospectus ', text) WHEN 1 THEN concat('Table of Contents', repeat(concat(chr(10), 'A chapter of it 12'), 6)) WHEN 2 THEN concat('Table of Contents', repeat(concat(chr(10), 'A chapter of it 12'), 5)) ELSE text END"
+
+
+@query("page_summary", f"""
+WITH t AS (SELECT source AS document_id, doc_id % 12 + 1 AS page_num, {_PAGE_TEXT} AS text FROM documents),
+p AS (SELECT *, CASE WHEN length(trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(160))) < 50 THEN 'blank' WHEN page_num <= 5 AND regexp_matches(text, '(?i)red herring prospectus|draft prospectus') THEN 'cover'
+  WHEN regexp_matches(substr(text, 1, 500), '(?i)table of contents|contents') AND len(regexp_extract_all(text, '(?m)\\d+\\s*$')) > 5 THEN 'toc' WHEN regexp_matches(substr(text, 1, 200), '(?i)appendix|annexure|schedule') THEN 'appendix' ELSE 'text' END AS k FROM t)
+SELECT document_id, count(*) AS n_pages, count(*) FILTER (k = 'blank') AS blank_pages, count(*) FILTER (k = 'cover') AS cover_pages, count(*) FILTER (k = 'toc') AS toc_pages, count(*) FILTER (k = 'appendix') AS appendix_pages, count(*) FILTER (k = 'text') AS text_pages, cast(sum(length(text)) AS bigint) AS chars FROM p GROUP BY document_id""")
 def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), (F.col("doc_id") + 100).alias("page_num"), "text")
-    return text.page_summary(pages).select("document_id", "n_pages", "blank_pages", "appendix_pages", "text_pages", "chars")
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 10
+    toc = lambda n: F.lit("Table of Contents" + "\nA chapter of it 12" * n)
+    body = F.when(k == 0, F.concat(F.lit("DRAFT Prospectus "), "text")).when(k == 1, toc(6)).when(k == 2, toc(5)).otherwise(F.col("text"))
+    pages = d.select(F.col("source").alias("document_id"), (F.col("doc_id") % 12 + 1).alias("page_num"), body.alias("text"))
+    return text.page_summary(pages).select("document_id", "n_pages", "blank_pages", "cover_pages", "toc_pages", "appendix_pages", "text_pages", "chars")
 
 
 @query("uncited_claims", "SELECT doc_id AS claim_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -706,10 +738,25 @@ def amount_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", (exprs.amount_statement(raw) + 0.0).alias("statement"), (exprs.amount_cell(raw) + 0.0).alias("cell"))
 
 
-@query("new_age_metrics", "SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN abs(c_acctbal) / 12 END, 4) AS monthly_burn, cast(trunc(CASE WHEN c_acctbal < 0 THEN 500 / (abs(c_acctbal) / 12) END) AS int) AS runway_months FROM customer WHERE c_acctbal <> 0")
+@query("new_age_metrics", """
+SELECT c_custkey, round((100 + c_custkey % 7 - c_custkey % 90) / (100.0 + c_custkey % 7) * 100, 4) AS contribution_margin, round(CASE WHEN c_acctbal < 0 THEN abs(c_acctbal) / 12 END, 4) AS monthly_burn, cast(trunc(CASE WHEN c_acctbal < 0 THEN 500 / (abs(c_acctbal) / 12) END) AS int) AS runway_months,
+  round(CASE WHEN c_custkey % 4 > 0 THEN (100.0 + c_custkey % 7) / (c_custkey % 4) * 1e7 END, 4) AS revenue_per_user, round(CASE WHEN c_custkey % 5 > 0 THEN (100.0 + c_custkey % 7) / (c_custkey % 5 * 50.0) * 100 END, 4) AS take_rate FROM customer WHERE c_acctbal <> 0""")
 def new_age_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").where("c_acctbal <> 0").select("c_custkey", F.col("c_acctbal").alias("cfo"), *[F.lit(v).alias(k) for k, v in {"cash": 500.0, "revenue": 100.0, "variable_costs": 40.0, "users": 10.0, "gmv": 50.0}.items()])
-    return rounded(financials.new_age_metrics(rows).select("c_custkey", "monthly_burn", "runway_months"))
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").where("c_acctbal <> 0").select(k, F.col("c_acctbal").alias("cfo"), F.lit(500.0).alias("cash"), (k % 7 + 100.0).alias("revenue"), (k % 90).cast("double").alias("variable_costs"), (k % 4).cast("double").alias("users"), (k % 5 * 50.0).alias("gmv"))
+    return rounded(financials.new_age_metrics(rows).select("c_custkey", "contribution_margin", "monthly_burn", "runway_months", "revenue_per_user", "take_rate"))
+
+
+@query("skin_in_the_game", "SELECT s_name AS name, round(s_suppkey % 70 / 100.0 * 50000000 * 120 / 1e7, 4) AS stake_cr FROM supplier")
+def skin_in_the_game(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 70).cast("double").alias("holding_pct"), F.lit(50_000_000).cast("long").alias("total_shares"))
+    return rounded(offer.skin_in_the_game(s, 120.0).select("name", "stake_cr"))
+
+
+@query("investor_kind", "SELECT s_suppkey, ['PE/VC', 'PE/VC', 'ESOP/Trust', 'Promoter', 'Other'][s_suppkey % 5 + 1] AS kind FROM supplier")
+def investor_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in ("Alpha Growth Fund", "Beta Capital Trust", "ESOP pool", "Promoter group", "R. Kumar")])
+    return table(spark, sf_dir, "supplier").select("s_suppkey", offer.investor_kind(names[F.col("s_suppkey") % 5]).alias("kind"))
 
 
 @query("statement_melt", """
