@@ -32,6 +32,22 @@ def float_milestones(issues: DataFrame, holders: DataFrame, compat: bool = True)
     return out.withColumns({"promoter_locked_pct": pct("promoter_locked"), "daily_volume": c("day_1_shares") / 250.0, "low_float": c("day_1_pct") < 5}).drop("_anchor", "_to180", "_to365")
 
 
+def float_summary(floats: DataFrame) -> DataFrame:
+    """(entity_id, summary) of float_milestones in words."""
+    pct = lambda x: F.format_string("%.1f%%", x)
+    day1, kind = F.col("day_1_pct"), F.when(F.col("day_1_pct") < 5, "Very low").when(F.col("day_1_pct") < 15, "Moderate").otherwise("Adequate")
+    first = F.concat(kind, F.lit(" Day-1 float of "), pct("day_1_pct"), F.when(day1 < 5, " may cause high volatility").otherwise(""))
+    held = F.concat(F.lit("Promoters holding "), pct("promoter_locked_pct"), F.lit(" ("), F.format_number("promoter_locked", 0), F.lit(" shares) locked for 3 years"))
+    later = F.when(F.col("day_90_pct") > day1 + 5, F.concat(F.lit("Significant float increase to "), pct("day_90_pct"), F.lit(" at Day 90 (anchor unlock)")))
+    volume = F.concat(F.lit("Estimated avg daily trading volume: "), F.format_number("daily_volume", 0), F.lit(" shares"))
+    return floats.select("entity_id", F.concat(F.concat_ws(". ", first, held, later, volume), F.lit(".")).alias("summary"))
+
+
+def scenario_maps(projected: DataFrame, measure: str) -> DataFrame:
+    """(entity_id, scenario, by_year): a map from each projected year to the measure."""
+    return projected.groupBy("entity_id", "scenario").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", measure)))).alias("by_year"))
+
+
 def lock_in_calendar(issues: DataFrame, holders: DataFrame) -> DataFrame:
     """Unlocking events by date with the running free float, 100 at most. issues also has listing_date; anchors unlock on day 90."""
     c = F.col

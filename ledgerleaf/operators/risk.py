@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +99,23 @@ def covenant_kind(c: Column) -> Column:
     return F.coalesce(first_kind(c, COVENANTS), F.lit("other"))
 
 
+# Fixed value: what sets a covenant's threshold in running text.
+_THRESHOLD = r"(>=?|<=?|at\s*least|not\s*exceed)[^.]*?([\d.]+)"
+
+
+def covenants_in_text(texts: DataFrame) -> DataFrame:
+    """(id, covenant_type, description, threshold) of texts (id, text): each kind of covenant followed, in its sentence, by a threshold."""
+
+    def one_kind(kind: str, pattern: str) -> Column:
+        inner = re.sub(r"\((?!\?)", "(?:", pattern)  # groups of the pattern's own don't count
+        each = lambda g: F.regexp_extract_all("text", F.lit(rf"(?i)(?:{inner})[^.]*?{_THRESHOLD}"), F.lit(g))
+        rows = F.arrays_zip(each(0).alias("d"), each(1).alias("o"), each(2).alias("n"))
+        return F.transform(rows, lambda x: F.struct(F.lit(kind.upper()).alias("covenant_type"), x["d"].alias("description"), F.concat_ws(" ", x["o"], x["n"]).alias("threshold")))
+
+    found = [one_kind(*x) for x in COVENANTS]
+    return texts.select("id", F.inline(F.concat(*found)))
+
+
 def debt_totals(items: DataFrame, by: str = "entity_id") -> DataFrame:
     part = lambda when: F.coalesce(F.sum(F.when(when, F.col("amount"))), F.lit(0.0))
     secured, short = F.coalesce("is_secured", F.lit(True)), F.coalesce("is_short_term", F.lit(False))
@@ -208,6 +226,11 @@ def violations(inputs: DataFrame, rules: list[tuple[str, str, str, str, str]] |
     return inputs.select("entity_id", F.inline(F.filter(F.array(*broken), lambda x: x.isNotNull())))
 
 
+def with_citations(found: DataFrame, citations: DataFrame) -> DataFrame:
+    """Violations with the citation (entity_id, rule_id, citation) of each one's rule; without any, an empty one."""
+    return found.join(citations.select("entity_id", "rule_id", "citation"), ["entity_id", "rule_id"], "left").withColumn("citation", F.coalesce("citation", F.lit("")))
+
+
 def severity_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 

@@ -158,7 +158,7 @@ def document_name(file_name: Column) -> Column:
 
 # What in a section's title sends it to which extractors.
 ROUTES = [
-    ("profiles", ("our promoter", "promoter and promoter group", "promoters")), ("directorships", ("other directorship", "directorships")), ("common_pursuits", ("common pursuit", "interest of promoter")),
+    ("profiles", ("our promoter", "promoter and promoter group", "promoters")), ("directorships", ("directorship",)), ("common_pursuits", ("common pursuit", "interest of promoter")),
     ("financial_interests", ("payment of benefit", "remuneration", "interest")), ("litigation", ("litigation", "legal proceeding")), ("shareholding", ("capital structure", "shareholding")),
 ]
 # Degrees and designations, in order.

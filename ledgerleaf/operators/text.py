@@ -76,6 +76,12 @@ def extracted(raw: DataFrame) -> DataFrame:
     return some.select(*[c for c in raw.columns if c != "cells"], F.get("_c", F.lit(0)).alias("headers"), F.slice("_c", 2, 1_000_000_000).alias("rows"))
 
 
+def table_sources(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Tables of the first extractor, and those of the second on pages (document_id, page_num) where the first has none."""
+    pages = first.select("document_id", "page_num").distinct()
+    return first.unionByName(second.join(pages, ["document_id", "page_num"], "left_anti").select(*first.columns))
+
+
 def of_type(tables: DataFrame, kind: str, least: float = 0.3) -> DataFrame:
     """Classified tables (table_type, confidence) of a kind, at least so sure."""
     return tables.where((F.col("table_type") == kind) & (F.col("confidence") >= least))
@@ -291,6 +297,11 @@ def citation_set(citations: DataFrame) -> DataFrame:
     return citations.where("claim_id is not null").withColumn("_n", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("ordinal")))).where("_n = 1").drop("_n")
 
 
+def distinct_citations(citations: DataFrame, by: str) -> DataFrame:
+    """Each group's different citations, in order."""
+    return citations.groupBy(by).agg(F.array_sort(F.collect_set("citation")).alias("citations"))
+
+
 def uncited(claims: DataFrame, citations: DataFrame) -> DataFrame:
     return claims.join(citations.select("claim_id").distinct(), "claim_id", "left_anti")
 

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import chunks, sections, store, text, vectors
+from ledgerleaf.operators import chunks, risk, sections, store, text, vectors
 from ledgerleaf.plans.registry import QUERIES, SQL, query, rounded
+from ledgerleaf.sources import pages as scan
 from ledgerleaf.sources.tables import table
 
 
@@ -293,3 +294,40 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = rows.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         out = n if out is None else out.unionByName(n)
     return out
+
+
+# ---- pages, citations and narratives ----
+
+
+@query("page_fonts", """SELECT l_orderkey % 50 AS document_id, l_linenumber AS page_num, array_to_string(list_sort(list(DISTINCT l_returnflag)), ' ') AS fonts, array_to_string(list_reverse_sort(list(DISTINCT round(l_quantity / 8, 1)) FILTER (l_quantity > 0)), ' ') AS font_sizes FROM lineitem GROUP BY ALL""")
+def page_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("document_id"), F.col("l_linenumber").alias("page_num"), F.col("l_returnflag").alias("font"), (F.col("l_quantity") / 8).cast("double").alias("size"))  # noqa: E741
+    return scan.page_fonts(l).select("document_id", "page_num", F.array_join("fonts", " ").alias("fonts"), F.array_join(F.transform("font_sizes", lambda x: x.cast("string")), " ").alias("font_sizes"))
+
+
+@query("page_counts", "SELECT page_id % 10 AS document_id, count(*) AS page_count FROM pages GROUP BY 1")
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.page_counts(table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("document_id")))
+
+
+@query("table_sources", "SELECT p_partkey AS table_id, p_size AS page_num FROM part WHERE p_partkey % 3 = 0 OR NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 3 = 0 AND q.p_size = part.p_size AND q.p_brand = part.p_brand)")
+def table_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("table_id"), F.col("p_brand").alias("document_id"), F.col("p_size").alias("page_num"))
+    return text.table_sources(p.where("table_id % 3 = 0"), p.where("table_id % 3 <> 0")).select("table_id", "page_num")
+
+
+@query("distinct_citations", "SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ' ') AS citations FROM documents GROUP BY lang")
+def distinct_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.distinct_citations(table(spark, sf_dir, "documents").withColumnRenamed("source", "citation"), "lang").select("lang", F.array_join("citations", " ").alias("citations"))
+
+
+COVENANT_TEXTS = ["The Company shall keep DSCR at least 1.25 times. Its current ratio must be >= 1.33.", "Total debt/EBITDA shall not exceed 3.5 at any time.", "No ratio is set here. Interest coverage is good.", "Tangible net worth of at least 500 crore and debt-equity <= 2."]
+
+
+@query("covenants_in_text", """
+WITH t AS (SELECT s_suppkey AS id, s_suppkey % 4 AS k FROM supplier), f(k, covenant_type, threshold) AS (VALUES (0, 'DSCR', 'at least 1.25'), (0, 'CURRENT_RATIO', 'at least 1.25'), (0, 'CURRENT_RATIO', '>= 1.33.'), (3, 'CURRENT_RATIO', '<= 2.'), (1, 'TOTAL_DEBT_EBITDA', 'not exceed 3.5'), (3, 'TANGIBLE_NET_WORTH', 'at least 500'), (3, 'DEBT_EQUITY', '<= 2.'))
+SELECT id, covenant_type, threshold FROM t JOIN f USING (k)""")
+def covenants_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the patterns have it, the CR of DSCR and of crore is taken for a current ratio too."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), pick(COVENANT_TEXTS, F.col("s_suppkey") % 4).alias("text"))
+    return risk.covenants_in_text(rows).select("id", "covenant_type", "threshold")

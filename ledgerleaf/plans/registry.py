@@ -223,6 +223,12 @@ def projection_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offer.projections(rows)
 
 
+@query("scenario_maps", f"WITH {_PROJ} SELECT entity_id, scenario, max(CASE WHEN i = 1 THEN round(pat, 2) END) AS first_pat, max(CASE WHEN i = 3 THEN round(pat, 2) END) AS last_pat FROM e GROUP BY entity_id, scenario")
+def scenario_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = offer.scenario_maps(projection_scenarios(spark, sf_dir), "pat")
+    return maps.select("entity_id", "scenario", F.col("by_year")["FY1E"].alias("first_pat"), F.col("by_year")["FY3E"].alias("last_pat"))
+
+
 PEERS = plain("peers")
 _MULT = f"(SELECT *, {div('market_cap', 'pat')} AS pe, {div('market_cap', 'net_worth')} AS pb, {div('market_cap + net_debt', 'ebitda')} AS ev FROM {PEERS} p)"
 
@@ -304,6 +310,14 @@ def float_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(offer.float_milestones(*_issues(spark, sf_dir)).select("entity_id", "day_1_shares", "day_90_shares", "day_180_shares", "year_1_shares", "day_1_pct", "promoter_locked_pct", "low_float"))
 
 
+@query("float_summary", f"""
+WITH {_FLOAT}, s AS (SELECT g.entity_id, pr, (pre + fresh - pr - es - an - ot) / (pre + fresh) * 100 AS d1, (pre + fresh - pr - es - ot) / (pre + fresh) * 100 AS d90, pr / (pre + fresh) * 100 AS held, round_even((pre + fresh - pr - es - an - ot) / 250.0, 0) AS v FROM g JOIN t ON g.entity_id = t.entity_id)
+SELECT entity_id, concat(CASE WHEN d1 < 5 THEN 'Very low' WHEN d1 < 15 THEN 'Moderate' ELSE 'Adequate' END, ' Day-1 float of ', printf('%.1f', d1), '%', CASE WHEN d1 < 5 THEN ' may cause high volatility' ELSE '' END, '. Promoters holding ', printf('%.1f', held), '% (', format('{{:,}}', cast(pr AS bigint)), ' shares) locked for 3 years. ',
+  CASE WHEN d90 > d1 + 5 THEN concat('Significant float increase to ', printf('%.1f', d90), '% at Day 90 (anchor unlock). ') ELSE '' END, 'Estimated avg daily trading volume: ', format('{{:,}}', cast(v AS bigint)), ' shares.') AS summary FROM s""")
+def float_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offer.float_summary(offer.float_milestones(*_issues(spark, sf_dir)))
+
+
 @query("lockin_calendar", f"""
 WITH {_FLOAT}, f AS (SELECT h.entity_id, name, shares_locked, lock_in_days, pre + fresh AS total, (pre + fresh - sum(shares_locked) OVER (PARTITION BY h.entity_id)) / (pre + fresh) * 100 AS free FROM h JOIN t ON h.entity_id = t.entity_id)
 SELECT entity_id, cast(cast(DATE '2024-01-01' + cast(lock_in_days AS int) AS date) AS varchar) AS event_date, lock_in_days AS days_from_listing, name, cast(shares_locked AS bigint) AS shares, round(shares_locked / total * 100, 4) AS pct,
@@ -445,6 +459,13 @@ def rule_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.severity_counts(risk.violations(view(spark, sf_dir, "rule_inputs")))
 
 
+@query("violation_citations", f"{_rules_sql()} SELECT entity_id, rule_id, CASE WHEN entity_id % 2 = 0 THEN concat('p. ', entity_id) ELSE '' END AS citation FROM v")
+def violation_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = risk.violations(view(spark, sf_dir, "rule_inputs"))
+    cited = found.where("entity_id % 2 = 0").select("entity_id", "rule_id", F.concat(F.lit("p. "), F.col("entity_id")).alias("citation"))
+    return risk.with_citations(found, cited).select("entity_id", "rule_id", "citation")
+
+
 @query("veto_flags", f"{_rules_sql()} SELECT r.entity_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'major') AS major, count(*) FILTER (severity = 'critical') > 0 AS veto FROM r LEFT JOIN v ON r.entity_id = v.entity_id GROUP BY r.entity_id")
 def veto_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.veto_flags(view(spark, sf_dir, "rule_inputs"))

@@ -20,6 +20,26 @@ def page_range(pages: DataFrame, start: int, end: int) -> DataFrame:
     return pages.where(F.col("page_num").between(start + 1, end))
 
 
+def page_text(pages: DataFrame, document: object, number: int) -> str:
+    """The text of a document's page, counted from 1; ValueError where there is none."""
+    row = pages.where((F.col("document_id") == document) & (F.col("page_num") == number)).select("text").first()
+    if row is None:
+        raise ValueError(f"no page {number}")
+    return row.text
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"))
+
+
+def page_fonts(spans: DataFrame) -> DataFrame:
+    """Of spans (document_id, page_num, font, size) each page's different fonts in order and sizes, to a tenth, the largest first. Empty
+    names and sizes of 0 don't count."""
+    fonts = F.array_sort(F.collect_set(F.when(F.col("font") != "", F.col("font"))))
+    sizes = F.sort_array(F.collect_set(F.when(F.col("size") > 0, F.round("size", 1))), asc=False)
+    return spans.groupBy("document_id", "page_num").agg(fonts.alias("fonts"), sizes.alias("font_sizes"))
+
+
 def is_scanned(text: Column, images: Column, image_share: Column) -> Column:
     """Little text beside an image, or one image over four fifths of the page with hardly more."""
     n = F.length(stripped(F.coalesce(text, F.lit(""))))
