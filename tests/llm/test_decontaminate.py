@@ -53,3 +53,32 @@ def test_every_item_verbatim_and_with_other_numbers(spark):
     got = {r.id: r.n_items for r in decontaminate.contained(docs(spark, rows), items).collect()}
     assert all(got[i] > 0 for i in texts)
     assert sum(got[100_000 + i] > 0 for i in texts) >= 0.9 * len(texts)
+
+
+def test_all_documents_against_brute_force(spark):
+    """Every document in which half of an item's windows of eight words occur, compared word by word, is found."""
+    import string
+
+    def plain(t):
+        return [w for w in ("".join(c.lower() if c.isascii() else c for c in x).strip(string.punctuation) for x in (t or "").split()) if w]
+
+    def runs(w):
+        return {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
+
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    known = [(r.item_id, runs(plain(r.text))) for r in items.collect()]
+    by = {}
+    for i, own in known:
+        for x in own:
+            by.setdefault(x, set()).add(i)
+    want = {}
+    for r in texts.collect():
+        here = runs(plain(r.text))
+        for i in {i for x in here & by.keys() for i in by[x]}:
+            own = dict(known)[i]
+            if own and len(own & here) >= 0.5 * len(own):
+                want.setdefault(r.doc_id, set()).add(i)
+    got = {r.id: r.n_items for r in decontaminate.contained(texts, items).where("contaminated").collect()}
+    assert want and set(want) <= set(got) and all(got[i] >= len(v) for i, v in want.items())
+    assert len(got) <= 1.2 * len(want)

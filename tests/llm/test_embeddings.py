@@ -88,3 +88,18 @@ def test_trees_do_not_grow_with_the_vectors():
         assert len(tree.levels) <= 1024 and len(tree.below) <= embeddings.DEEP
     row, leaf = tree.route(x[:50], 0.03)
     assert set(row) == set(range(50)) and len(set(zip(row.tolist(), leaf.tolist()))) == len(row)
+
+
+def test_sql_gives_the_same_on_groups(spark, tmp_path):
+    import duckdb
+
+    x = near_pairs(6, 60, 16, 12)
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(500, None), (501, [0.0] * 16), (502, x[0].tolist()), (503, x[0].tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    cursor = con.execute(embeddings.SQL)
+    names = [c[0] for c in cursor.description]
+    want = sorted(tuple(dict(zip(names, r))[c] for c in ("vec_id", "n_links", "component_id", "kept")) for r in cursor.fetchall())
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.op3_embedding_near_dedup(spark, str(tmp_path)).collect())
+    assert got == want and sum(g[1] for g in got) > 300

@@ -1,3 +1,4 @@
+import numpy as np
 from helpers import docs, odd
 from pyspark.sql import functions as F
 
@@ -46,3 +47,63 @@ def test_page_parts(spark):
     a, b = languages.page_evidence(p).orderBy("id").collect()
     assert (a.declared, a.suffix, a.host, a.text.split()) == ("en", "uk", "www.ex.co.uk", ["Hi", "bye"])
     assert (b.declared, b.suffix, b.host, b.text) == (None, None, None, None)
+
+
+def fused(model, settings, texts):
+    """Posteriors row by row: texts are (id, text, declared, suffix, host)."""
+    k = len(model.names)
+    logs, by_text = {}, {}
+    for i, t, *_ in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        s, n = model.score(data, np.array([0, len(data)]))
+        logs[i] = s[0] * min(1.0, settings.weigh / max(n[0], 1))
+        if n[0] > 0:
+            e = np.exp(logs[i] - logs[i].max())
+            by_text[i] = e / e.sum()
+    whole = sum(by_text.values())
+    flat = (whole + 1) / (whole.sum() + k)
+    out = {}
+    for i, t, declared, suffix, host in texts:
+        mine = by_text.get(i, np.zeros(k))
+        own = lambda same, mine=mine: np.maximum(sum((by_text[j] for j, *x in texts if j in by_text and same(x[-1])), np.zeros(k)) - mine, 0)
+        domain = lambda h: ".".join((h or "").split(".")[-2:]) if "." in (h or "") else ""
+        at_domain = own(lambda h: domain(h) == domain(host)) if domain(host) else np.zeros(k)
+        at_host = own(lambda h: h == host) if host else np.zeros(k)
+        above = (at_domain + settings.strength * flat) / (at_domain.sum() + settings.strength)
+        prior = (at_host + settings.strength * above) / (at_host.sum() + settings.strength)
+        total = logs[i] + np.log(prior)
+        for said, right in ((declared, settings.declared_right), (languages.SUFFIX_LANGUAGE.get(suffix), settings.suffix_right)):
+            if said in model.names:
+                total = total + np.log([right if x == said else (1 - right) / (k - 1) for x in model.names])
+        e = np.exp(total - total.max())
+        out[i] = e / e.sum()
+    return out
+
+
+def test_posteriors_row_by_row(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = languages.fit(d.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), "text"), languages.Settings())
+    some = d.select("doc_id", F.substring("text", 1, 25)).limit(60).collect()
+    hosts, suffixes = ["a.one.com", "b.one.com", "two.de", "local", None], ["de", "fr", "com", None]
+    texts = [(r[0], r[1], [None, "fr", "de", "xx"][i % 4], suffixes[i % 3], hosts[i % 5]) for i, r in enumerate(some)] + [(-1, "x", "es", None, "two.de"), (-2, "zz", None, "de", None)]
+    want = fused(model, languages.Settings(), texts)
+    for bound in (100_000, 0):  # host sums broadcast, and salted
+        df = spark.createDataFrame(texts, "id long, text string, declared string, suffix string, host string")
+        got = {r.id: r for r in languages.identify(df, model, languages.Settings(broadcast_hosts=bound)).collect()}
+        for i, p in want.items():
+            assert abs(got[i].posterior - p.max()) < 1e-9 and got[i].language == model.names[int(p.argmax())]
+
+
+def test_rare_and_dirty_codes_and_ties(spark):
+    rows = [(i, "the cat and the dog are here now") for i in range(30)]
+    d = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") == 29, "zz9").when(F.col("doc_id") == 28, "?").otherwise(" EN-gb "))
+    labelled = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), "text")
+    assert languages.fit(labelled, languages.Settings(least_share=0.1)).names == ["en"]
+    assert languages.fit(labelled, languages.Settings()).names == ["en", "zz"]
+    same = labelled.where("id < 20").withColumn("language", F.when(F.col("id") % 2 == 0, "bb").otherwise("aa"))
+    model = languages.fit(same, languages.Settings())
+    assert languages.identify(rows_of(spark), model).first().language == "aa"
+
+
+def rows_of(spark):
+    return spark.createDataFrame([(1, "the cat and the dog", None, None, None)], "id long, text string, declared string, suffix string, host string")

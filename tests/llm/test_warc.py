@@ -56,3 +56,17 @@ def test_plain_archive_and_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc.write_warc(warc.page_records(pages(spark).limit(0)), path)
     assert warc.read_warc(spark, path).where("record_type = 'response'").count() == 0
+
+
+def test_sql_gives_the_same_on_groups(spark, tmp_path):
+    import duckdb
+
+    big, other = "<p>é" * 400, "x" * 1000
+    rows = [(i, f"http://h/{i}", [big, other, "small", "", None, other + "y"][i % 6]) for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    columns = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    want = sorted(con.execute(f"SELECT {columns} FROM ({warc.SQL}) ORDER BY page_id").fetchall(), key=str)
+    got = sorted((tuple(r) for r in warc.op1_warc(spark, str(tmp_path)).select(*columns.split(", ")).collect()), key=str)
+    assert got == want and sum(r[3] == "revisit" for r in got) > 15
