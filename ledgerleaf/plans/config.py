@@ -8,6 +8,10 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
+from ledgerleaf.operators import chunks, text, vectors
+
 
 @dataclass
 class Chunking:
@@ -70,3 +74,18 @@ def load(values: Mapping[str, object] | None = None, prefix: str = "LEDGERLEAF_"
                 place = place.setdefault(p, {})
             place[last] = _read(value)
     return _made(Config, merged)
+
+
+def chunked(docs: DataFrame, config: Config) -> DataFrame:
+    c = config.chunking
+    return chunks.chunk_texts(docs, chunks.Sizes(c.target, c.overlap_chars, c.least, c.most))
+
+
+def searched(rows: DataFrame, queries: DataFrame, config: Config) -> DataFrame:
+    """Every match at a threshold or above; without one the top_k best."""
+    s = config.search
+    return vectors.search(rows, queries, k=s.top_k if s.threshold is None else None, threshold=s.threshold, metric=s.metric)
+
+
+def typed_tables(tables: DataFrame, kind: str, config: Config) -> DataFrame:
+    return text.of_type(tables, kind, config.min_table_confidence)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions import exprs
 from ledgerleaf.operators import chunks, risk, sections, store, text, vectors
 from ledgerleaf.plans.registry import QUERIES, SQL, query, rounded
 from ledgerleaf.sources import pages as scan
@@ -191,6 +192,12 @@ def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.resolve_entities(merged).select("normalized", "canonical")
 
 
+@query("entities_by_type", "SELECT c_mktsegment AS entity_type, array_to_string(list_sort(list(DISTINCT concat('Firm ', c_nationkey))), ', ') AS entities FROM customer GROUP BY c_mktsegment")
+def entities_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("entity_type"), F.concat(F.lit("Firm "), "c_nationkey").alias("normalized"))
+    return text.by_type(c).select("entity_type", F.array_join("entities", ", ").alias("entities"))
+
+
 # ---- tables ----
 
 HEADERS = [
@@ -269,6 +276,20 @@ def hits_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.formatted(d, 50).select("doc_id", "score", "text", "citation")
 
 
+@query("cosine_similarity", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    double = lambda c: F.col(c).cast("array<double>")
+    return rounded(e.join(after, "vec_id").select("vec_id", exprs.cosine(double("embedding"), double("next")).alias("cosine")))
+
+
+@query("unit_vectors", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) AS first, 1.0::DOUBLE AS norm FROM embeddings")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", text.unit_vector(F.col("embedding")).alias("v"))
+    return rounded(e.select("vec_id", F.col("v")[0].alias("first"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
+
+
 # ---- repository rows ----
 
 

@@ -106,6 +106,13 @@ for _variant, _sql in (
     query(f"cagr_{_variant}", _sql)(lambda spark, sf_dir, v=_variant: rounded(financials.cagr_of(view(spark, sf_dir, "fin_year"), v, "ebitda")))
 
 
+@query("cagr_last_years", f"""
+WITH y AS {YEARS}, t AS (SELECT * FROM y WHERE ebitda > 0 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY fy DESC) <= 3), e AS (SELECT entity_id, arg_min(ebitda, fy) AS a, arg_max(ebitda, fy) AS b, count(*) AS n FROM t GROUP BY entity_id)
+SELECT entity_id, round(CASE WHEN a > 0 AND b > 0 AND n > 1 THEN round((power(b / a, 1.0 / nullif(n - 1, 0)) - 1) * 100, 2) END, 4) AS cagr FROM e""")
+def cagr_last_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(financials.cagr_of(view(spark, sf_dir, "fin_year"), "normaliser", "ebitda", periods=3))
+
+
 @query("divergence_flags", f"""
 WITH y AS (SELECT *, ebitda * (entity_id % 10 + 0.5) / 10 AS cfo FROM {YEARS} x), r AS (SELECT *, {_GROWTH('trade_receivables')} - {_GROWTH('revenue')} AS gap, lag(revenue) {_W} AS p_rev, lag(trade_receivables) {_W} AS p_recv,
   inventory / cogs * 365 - lag(inventory / cogs * 365) {_W} AS piled, trade_receivables / revenue * 365 AS dso, trade_receivables / revenue * 365 - lag(trade_receivables / revenue * 365) {_W} AS slower, lag(trade_receivables / revenue * 365) {_W} AS p_dso FROM y)

@@ -264,11 +264,17 @@ def test_sections_citations_and_table_text(spark):
     assert [(r.claim_id, r.snippet) for r in back.collect()] == [("a", "new")]
 
 
-def test_config_layers():
+def test_config_layers(spark):
     from ledgerleaf.plans import config
 
     c = config.load({"search": {"top_k": 3}, "chunking": {"target": 2000, "most": 3000}}, environment={"LEDGERLEAF_SEARCH__METRIC": "dot", "LEDGERLEAF_MIN_TABLE_CONFIDENCE": "0.5"})
     assert (c.search.top_k, c.search.metric, c.chunking.target, c.min_table_confidence) == (3, "dot", 2000, 0.5)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [3.0, 4.0])], "vec_id long, vector array<double>")
+    q = rows.where("vec_id = 2").selectExpr("vec_id AS query_id", "vector AS query_vector")
+    assert [(r.vec_id, r.score) for r in config.searched(rows, q, c).orderBy("rank").collect()] == [(2, 25.0), (1, 3.0)]
+    t = spark.createDataFrame([("a", "x", 0.4), ("b", "x", 0.5)], "table_id string, table_type string, confidence double")
+    assert [r.table_id for r in config.typed_tables(t, "x", c).collect()] == ["b"]
+    assert config.chunked(spark.createDataFrame([(1, "some text")], "document_id int, text string"), c).first().text == "some text"
     for bad in ({"chunking": {"overlap_chars": 9999}}, {"search": {"metric": "x"}}, {"nothing": 1}):
         with pytest.raises(ValueError):
             config.load(bad, environment={})
