@@ -51,12 +51,14 @@ def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["src", "dst"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, spanning_already: bool = False) -> DataFrame:
     """(id, component_id) of every id that occurs in links (src, dst), both long and not null; component_id is
     the smallest id reachable. Alternating large-star and small-star rounds: a round only takes the minimum over
     a node's neighbours, which Spark combines before it shuffles, so a node with very many links is no hot task.
-    Each round's links are written to the shared folder."""
-    links = links.mapInArrow(spanning, "src long, dst long")
+    Each round's links are written to the shared folder. spanning_already: each task's links span what they join, so that they
+    need not be thinned out first, which would take another Python worker beside the one that has made them."""
+    if not spanning_already:
+        links = links.mapInArrow(spanning, "src long, dst long")
     now = written(links.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
     seen = None
     for _ in range(rounds):

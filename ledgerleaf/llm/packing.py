@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.llm.scratch import written
 from ledgerleaf.llm.streams import groups
-from ledgerleaf.llm.textbytes import SEPARATOR, hash_spans, pieces
+from ledgerleaf.llm.textbytes import SEPARATOR, hash_spans, pieces, trim
 
 # The UTF-8 forms of the characters above U+007F that Unicode calls white space.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -141,33 +141,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32 and, if asked for, ids): each text's ids and end_id, cut only where
     there are more than `length`; the first piece then takes what is over. Null text: empty, one piece of end_id alone."""
     file = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if file not in _tokenizers:
-            _tokenizers[file] = ChunkTokenizer(file)
+        own = ChunkTokenizer(file)  # goes with the task: workers live on, and an executor's memory counts what they keep
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch.column(1)):
-                flat, to = _tokenizers[file].ids(data, offsets)
+                flat, to = own.ids(data, offsets)
                 rows: list[tuple] = []
                 for i in range(hi - lo):
-                    own = np.append(flat[to[i] : to[i + 1]], np.uint32(end_id))
-                    over = len(own) % length if len(own) > length else len(own)
-                    cuts = [0, *range(over or length, len(own) + 1, length)]
+                    line = np.append(flat[to[i] : to[i + 1]], np.uint32(end_id))
+                    over = len(line) % length if len(line) > length else len(line)
+                    cuts = [0, *range(over or length, len(line) + 1, length)]
                     for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        rows.append((lo + i, k, s, e - s, zlib.crc32(own[s:e].astype("<u4").tobytes()), own[s:e] if with_ids else None))
+                        rows.append((lo + i, k, s, e - s, zlib.crc32(line[s:e].astype("<u4").tobytes()), line[s:e] if with_ids else None))
                 doc, *cols, ids = zip(*rows, strict=True)
                 arrays = [batch.column(0).take(pa.array(doc)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
                     arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.record_batch(arrays, names=[*names, "ids"][: len(arrays)])
+        del own
+        trim()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

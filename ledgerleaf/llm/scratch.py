@@ -51,6 +51,14 @@ def buckets_for(text_bytes: int, bytes_per_bucket: int, least: int = 8) -> int:
     return max(least, -(-text_bytes // bytes_per_bucket))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets texts travel between the JVM and Python in batches of so many rows, so that a task holds a few MB of them on either side.
+    A session that has another size than Spark's default keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def rows_of(df: DataFrame) -> DataFrame:
     """df's rows as one struct `row`, so that none of its columns can clash with an operator's own."""
     return df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias("row"))

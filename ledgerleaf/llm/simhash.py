@@ -123,7 +123,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     row. A row with a null id links with nothing: its component_id is null."""
     prints = written(fingerprints(docs, id_col, text_col, words), "prints")
     distinct = written(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    found = components(near_links(distinct, radius))
+    found = components(near_links(distinct, radius), spanning_already=True)
     of = distinct.join(found, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
     return prints.join(of, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -259,7 +259,7 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str = "text", words: int
     tasks = pairs.select(F.xxhash64("i", "j").alias("task"), F.explode(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)).alias("t")).select("task", "t.tile", "t.role")
     packed = distinct.select("id", "fp", of.alias("tile")).repartition("tile").sortWithinPartitions("tile").mapInArrow(packed_tiles, "tile long, fps binary, ids binary")
     met = written(packed, "tiles").join(tasks, "tile").select("task", "role", "fps", "ids")
-    candidates = components(met.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: compare_wide(b, 4, radius), "src long, dst long"))
+    candidates = components(met.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: compare_wide(b, 4, radius), "src long, dst long"), spanning_already=True)
     member = written(distinct.join(candidates, "id").select("id", F.col("component_id").alias("group"), "fp"), "candidates")
     members = texts.join(member, "id").select("id", "group", "fp", "text").mapInArrow(sets, "id long, group long, payload binary")
     joined = distinct.join(verified(members, load, near), "id", "left").select("fp", "sum", F.coalesce("component_id", "id").alias("component_id"))
