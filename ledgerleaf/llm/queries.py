@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import brown, decontaminate, embeddings, languages, lines, packing, simhash, substrings, toxicity, warc
+from ledgerleaf.llm import brown, decontaminate, embeddings, languages, lines, merkle, packing, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_brown_lm": brown.op8_brown_lm,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
-ORACLE_SQL = {"op1_warc": warc.SQL, "op3_embedding_near_dedup": embeddings.SQL, "op6_substring_dedup": substrings.SQL}
+ORACLE_SQL = {"op1_warc": warc.SQL, "op3_embedding_near_dedup": embeddings.SQL, "op6_substring_dedup": substrings.SQL, "op13_merkle_manifest": merkle.SQL}
