@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import brown, codes, decontaminate, embeddings, languages, lines, merkle, packing, simhash, substrings, toxicity, warc
+from ledgerleaf.llm import brown, codes, decontaminate, embeddings, languages, lines, merkle, packing, scan, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
     "op11_vector_codes": codes.op11_vector_codes,
+    "op12_dimension_scan": scan.op12_dimension_scan,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE_SQL = {"op1_warc": warc.SQL, "op3_embedding_near_dedup": embeddings.SQL, "op6_substring_dedup": substrings.SQL, "op11_vector_codes": codes.SQL, "op13_merkle_manifest": merkle.SQL}
