@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators.text import markdown, tokens
+from ledgerleaf.operators.text import markdown, page_sections, tokens
 
 
 @dataclass(frozen=True)
@@ -146,9 +146,8 @@ def chunk_texts(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:  # noqa:
 
 
 def table_sections(tables: DataFrame, sections: DataFrame) -> DataFrame:
-    """tables (document_id, table_id, page_num, ...) joined with every section that their page is in: sections are expanded to pages."""
-    each = sections.select("document_id", "section_id", F.explode(F.sequence("start_page", "end_page")).alias("page_num"))
-    return tables.join(each, ["document_id", "page_num"])
+    """tables (document_id, table_id, page_num, ...) joined with every section that their page is in."""
+    return page_sections(tables, sections)
 
 
 def table_text(most_tokens: int) -> Column:

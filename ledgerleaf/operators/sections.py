@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.exprs import stripped
+from ledgerleaf.operators.spans import points_in_spans
 
 # Kinds of section and the patterns of their titles, in order; case does not count.
 SECTION_PATTERNS = [
@@ -129,7 +130,8 @@ def sections_of(headers: DataFrame, last_pages: DataFrame) -> DataFrame:
 
 def section_content(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """Of each section its pages' texts, words and whether any has tables. pages: (document_id, page_num, text, word_count, has_tables)."""
-    each = sections.select("document_id", "section_id", F.explode(F.sequence("start_page", "end_page")).alias("page_num")).join(pages, ["document_id", "page_num"])
+    spans = sections.select("document_id", "section_id", F.col("start_page").alias("_start"), F.col("end_page").alias("_end"))
+    each = points_in_spans(pages, spans, ["document_id"], "page_num", "_start", "_end")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda x: x["text"]), "\n\n")
     return each.groupBy("document_id", "section_id").agg(joined.alias("content"), F.sum("word_count").cast("long").alias("word_count"), F.coalesce(F.bool_or("has_tables"), F.lit(False)).alias("has_tables"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -119,23 +119,24 @@ def upserted(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return deleted(rows, new, key).unionByName(new)
 
 
-def payload_filter(conditions: Mapping[str, object], exact: bool = False) -> Column:
+def payload_filter(conditions: Mapping[str, object], exact: bool = False, of: Callable[[str], Column] = F.col) -> Column:
     """Conditions joined by AND: a scalar equals, two numbers are an inclusive range, another list is any of its values; None is
-    ignored. exact: every value of a list must match, as in the definition this follows, so two different ones match nothing."""
+    ignored. exact: every value of a list must match, as in the definition this follows, so two different ones match nothing. of: the
+    column of a name."""
     out = F.lit(True)
     for k, v in conditions.items():
         if v is None:
             continue
         if isinstance(v, (list, tuple)):
             if len(v) == 2 and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in v):
-                out = out & F.col(k).between(*v)
+                out = out & of(k).between(*v)
             elif exact:
                 for x in v:
-                    out = out & (F.col(k) == x)
+                    out = out & (of(k) == x)
             else:
-                out = out & F.col(k).isin(*v)
+                out = out & of(k).isin(*v)
         else:
-            out = out & (F.col(k) == v)
+            out = out & (of(k) == v)
     return out
 
 

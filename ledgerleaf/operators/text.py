@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.exprs import amount_cell, stripped
+from ledgerleaf.operators.spans import points_in_spans
 
 # ---- tables ----
 
@@ -140,19 +141,22 @@ def section_ends(sections: DataFrame, last_pages: DataFrame) -> DataFrame:
     return rows.withColumn("end_page", F.greatest("start_page", F.coalesce(F.col("_next") - 1, "total_pages"))).drop("_next", "total_pages")
 
 
-def section_tree(sections: DataFrame, depth: int = 4) -> DataFrame:
-    """Each section's parent: the nearest before it with a smaller level."""
+def section_tree(sections: DataFrame, depth: int | None = None) -> DataFrame:
+    """Each section's parent: the nearest before it with a smaller level. depth: the largest level, found by a pass over sections if not given."""
+    depth = depth or sections.agg(F.max("level")).first()[0] or 1
     w = Window.partitionBy("document_id").orderBy("start_page", "section_id").rowsBetween(Window.unboundedPreceding, -1)
     before = [F.last(F.when(F.col("level") == k, F.struct("start_page", "section_id")), ignorenulls=True).over(w) for k in range(1, depth)]
     rows = sections.withColumns({f"_b{k}": b for k, b in enumerate(before, 1)})
+    if depth < 2:
+        return sections.withColumn("parent_id", F.lit(None).cast(dict(sections.dtypes)["section_id"]))
     nearest = F.greatest(*[F.when(F.col("level") > k, F.col(f"_b{k}")) for k in range(1, depth)]) if depth > 2 else F.when(F.col("level") > 1, F.col("_b1"))
     return rows.withColumn("parent_id", nearest["section_id"]).drop(*[f"_b{k}" for k in range(1, depth)])
 
 
 def page_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Pages joined with every section that covers them: sections are expanded to pages and joined by equality, not by range."""
-    each = sections.select("document_id", "section_id", F.explode(F.sequence("start_page", "end_page")).alias("page_num"))
-    return pages.join(each, ["document_id", "page_num"])
+    """Pages joined with every section that covers them, by bins of the sections' own widths."""
+    spans = sections.select("document_id", "section_id", F.col("start_page").alias("_start"), F.col("end_page").alias("_end"))
+    return points_in_spans(pages, spans, ["document_id"], "page_num", "_start", "_end").drop("_start", "_end")
 
 
 def document_text(pages: DataFrame) -> DataFrame:

@@ -44,14 +44,16 @@ def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int | None = 10, key: str = "vec_id", where: Column | None = None, threshold: float | None = None, metric: str = "cosine") -> DataFrame:
-    """(query_id, key, score, rank): of each of queries (query_id, query_vector) the k best of vectors (key, vector), or all for a threshold
-    where k is None. Filters apply before; ties are ranked by key. Vectors of other lengths than a query's, and null or non-finite
+    """(query_id, key, score, rank): of each of queries (query_id, query_vector) the k best of vectors (key, vector), or without a rank all
+    that reach a threshold where k is None. Filters apply before; ties are ranked by key. Vectors of other lengths than a query's, and null or non-finite
     ones, aren't found. Blocks of queries meet blocks of rows; each meeting passes on the k best of each query."""
     rows = vectors if where is None else vectors.where(where)
-    blocks = packed(queries, "query_id", "query_vector", QUERY_BLOCK).withColumn("n", F.row_number().over(Window.partitionBy("size").orderBy("keys")))
-    many = blocks.groupBy("size").agg(F.count(F.lit(1)).cast("int").alias("many"))
-    met = packed(rows, key, "vector", ROW_BLOCK).join(many, "size").select("size", "keys", "vectors", F.explode(F.sequence(F.lit(1), "many")).alias("n"))
-    met = met.join(blocks.select("size", "n", F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors")), ["size", "n"])
+    # blocks of queries are dealt to numbers, and rows' blocks go to each number, dealt apart by a number of their own
+    many, parts = max(1, -(-queries.count() // QUERY_BLOCK)), 16
+    dealt = lambda keys, n: F.pmod(F.xxhash64(keys), F.lit(n)).cast("int")
+    blocks = packed(queries, "query_id", "query_vector", QUERY_BLOCK).select("size", dealt("keys", many).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
+    met = packed(rows, key, "vector", ROW_BLOCK).select("size", "keys", "vectors", dealt("keys", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("n"))
+    met = met.join(blocks, ["size", "n", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,8 +72,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int | None = 10, key: str
                 yield pa.record_batch([pa.array(ids[i]), pa.array(keys[j]), pa.array(s[i, j])], names=["query_id", key, "score"])
 
     found = met.select("size", "keys", "vectors", "q_keys", "q_vectors").mapInArrow(run, f"query_id long, `{key}` long, score double")
+    if k is None:
+        return found
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    return ranked.where(F.col("rank") <= k)
 
 
 def by_section(chunks: DataFrame, document: object, section: str, limit: int = 100) -> DataFrame:

@@ -1,5 +1,5 @@
 """Named queries of the document operators: sections, entities, tables, chunks of sections and the vector store's lookups. QUERIES and
-SQL hold those of the registry too."""
+SQL hold those of the registry and of structures too."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import exprs
 from ledgerleaf.operators import chunks, risk, sections, store, text, vectors
+from ledgerleaf.plans import structures
 from ledgerleaf.plans.registry import QUERIES, SQL, query, rounded
 from ledgerleaf.sources import pages as scan
 from ledgerleaf.sources.tables import table
 
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "structures"]
 
 
 def quoted(x: str) -> str:
