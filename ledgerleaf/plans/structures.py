@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import coreference, links, spans, text
+from ledgerleaf.operators import coreference, links, mentions, spans, text
 from ledgerleaf.operators.block_index import BlockIndex
 from ledgerleaf.plans.registry import _COS, _topk_sql, _vectors, query, rounded
 from ledgerleaf.sources.tables import table
@@ -203,3 +203,49 @@ def entity_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 6).alias("document_id"), k.alias("ordinal"), name.alias("name"), F.lit("COMPANY").alias("entity_type"), (k % 5).alias("page"), F.lit(1.0).alias("confidence"))
     out = coreference.merged_entities(found)
     return out.select("document_id", "canonical", "mentions", F.array_join("aliases", "; ").alias("aliases"), F.col("first").cast("long").alias("first"))
+
+
+# ---- mentions with places ----
+
+_SAID = [
+    "The issue is of Rs. 1,250.50 crores and 100 Cr for growth.", "A loan of 5 lacs and ₹ 20 Lakhs at 9.5 % a year.", "Price band of Rs. 100 to Rs. 120 in FY 2023-24.", "Audited for FY23 and 22-23; signed on 12/03/2024.",
+    "Mr. Ravi Kumar of Acme Limited met SEBI and RBI.", "Growth was 12.5% in Fiscal Year 2022, and 31.02.2023 is no day.", "Nothing of the kind is here.", "Beta Steel Pvt. Ltd. owes Dr Asha 3 crore",
+]
+_LITERAL = lambda x: "'" + x.replace("'", "''") + "'"
+_SPOKEN = f"(SELECT doc_id AS id, concat(substr(text, 1, doc_id % 50), ' ', [{', '.join(map(_LITERAL, _SAID))}][doc_id % {len(_SAID)} + 1], ' ', text) AS text FROM documents)"
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, each with a sentence that names something put in near its start."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (k % len(_SAID) + 1).cast("int"))
+    whole = F.concat(F.substring(F.col("text"), F.lit(1), (k % 50).cast("int")), F.lit(" "), said, F.lit(" "), F.col("text"))
+    return d.select(k.alias("id"), (k % 30).cast("int").alias("page"), whole.alias("text"))
+
+
+def _places_sql() -> str:
+    parts = []
+    for n, (kind, pattern, case, _) in enumerate(mentions.PATTERNS):
+        p = _LITERAL(pattern if case else f"(?i){pattern}")
+        parts.append(f"SELECT id, text, {n} AS rank, '{kind}' AS entity_type, m[i] AS own, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS start "
+                     f"FROM (SELECT id, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT id, text, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS g FROM t))")
+    return f"WITH t AS {_SPOKEN}, f AS ({' UNION ALL '.join(parts)}), a AS (SELECT *, start + length(own) AS stop FROM f WHERE entity_type <> 'DATE' OR try_strptime(regexp_replace(own, '[/.-]', '/', 'g'), '%d/%m/%Y') IS NOT NULL)"
+
+
+@query("entity_mentions", f"""{_places_sql()}
+SELECT id, entity_type, own AS text, cast(start AS int) AS start, cast(stop AS int) AS stop, regexp_replace(substr(text, greatest(0, start - 40)::BIGINT + 1, (stop + 40 - greatest(0, start - 40))::BIGINT), '[ \\t\\n\\x0B\\f\\r]', ' ', 'g') AS context,
+  EXISTS (SELECT 1 FROM a o WHERE o.id = a.id AND o.start <= a.start AND o.stop >= a.stop AND (o.stop - o.start > a.stop - a.start OR o.rank < a.rank)) AS nested FROM a""")
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions.mentions(_spoken(spark, sf_dir)).select("id", "entity_type", "text", "start", F.col("end").alias("stop"), "context", "nested")
+
+
+@query("known_names", """
+WITH t AS (SELECT doc_id AS id, concat('of ', c_name, ', and ', lower(replace(c_name, '#', ' ')), 's') AS text, c_name FROM documents JOIN customer ON c_custkey = doc_id % 97 + 1)
+SELECT id, c_name AS name, 3 AS start, 3 + length(c_name) AS stop FROM t""")
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's name, looked for in a text that each document makes of one: once as it is, and once as part of a longer word."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 97 + 1).alias("c_custkey"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    said = F.concat(F.lit("of "), "c_name", F.lit(", and "), F.lower(F.regexp_replace("c_name", "#", " ")), F.lit("s"))
+    found = mentions.gazetteer(d.join(c, "c_custkey").select("id", said.alias("text")), c.select(F.col("c_name").alias("name")))
+    return found.select("id", "name", "start", F.col("end").alias("stop"))
