@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import coreference, links, mentions, spans, text
+from ledgerleaf.operators import coreference, links, mentions, page_tables, spans, text, variants
 from ledgerleaf.operators.block_index import BlockIndex
 from ledgerleaf.plans.registry import _COS, _topk_sql, _vectors, query, rounded
 from ledgerleaf.sources.tables import table
@@ -249,3 +249,48 @@ def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("of "), "c_name", F.lit(", and "), F.lower(F.regexp_replace("c_name", "#", " ")), F.lit("s"))
     found = mentions.gazetteer(d.join(c, "c_custkey").select("id", said.alias("text")), c.select(F.col("c_name").alias("name")))
     return found.select("id", "name", "start", F.col("end").alias("stop"))
+
+
+# ---- tables out of blocks, and variants ----
+
+_LINES = "(SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey, l_suppkey, cast(l_quantity AS int) AS q FROM lineitem)"
+
+
+@query("block_tables", f"""
+SELECT l_orderkey AS page_num, concat('Line|Part key|Quantity|Supplier', chr(10), string_agg(concat(n, '|', CASE WHEN n > 1 AND l_partkey % 3 = 0 THEN '' ELSE l_partkey::VARCHAR END, '|', q, '|s ', l_suppkey), chr(10) ORDER BY n)) AS cells FROM {_LINES} l GROUP BY l_orderkey""")
+def block_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a page: a line of text, and a table of its lines as words with their boxes, out of which the table is made again."""
+    of = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(of))
+    word = lambda x, column, shift=0: F.struct(x.cast("string").alias("text"), F.lit(60.0 * column + shift).alias("x0"))
+    part = F.when(~((F.col("n") > 1) & (F.col("l_partkey") % 3 == 0)), F.col("l_partkey"))
+    body = lines.select("l_orderkey", (F.col("n") * 14 + F.col("l_partkey") % 3).cast("double").alias("y0"), F.explode(F.array(word(F.col("n"), 0), word(part, 1, 3), word(F.col("l_quantity").cast("int"), 2, 9), word(F.lit("s"), 3), word(F.col("l_suppkey"), 3, 8))).alias("w"))
+    titles = F.array(*[word(F.lit(t), c, shift) for t, c, shift in (("Line", 0, 0), ("Part", 1, 0), ("key", 1, 25), ("Quantity", 2, 0), ("Supplier", 3, 0))], F.struct(F.lit("Lines of the order").alias("text"), F.lit(-1.0).alias("x0")))
+    head = lines.where("n = 1").select("l_orderkey", F.explode(titles).alias("w")).withColumn("y0", F.when(F.col("w.x0") < 0, -40.0).otherwise(0.0)).select("l_orderkey", "y0", "w")
+    blocks = body.unionByName(head).where("w.text IS NOT NULL").select(F.lit(0).alias("document_id"), F.col("l_orderkey").alias("page_num"), "w.text", "w.x0", (F.col("w.x0") + 5 * F.length("w.text")).alias("x1"), "y0", (F.col("y0") + 10).alias("y1"))
+    out = page_tables.page_tables(blocks)
+    return out.select("page_num", F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), "\n").alias("cells"))
+
+
+@query("variant_fields", """
+SELECT doc_id, lang, n_chars, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 9 END AS page, CASE WHEN doc_id % 5 IN (0, 1) THEN 0 ELSE doc_id % 5 END AS n_flags, CASE WHEN doc_id % 5 IN (0, 1) THEN NULL ELSE concat(source, 0) END AS first_flag FROM documents WHERE doc_id % 6 <> 5
+UNION ALL SELECT doc_id, NULL, NULL, NULL, 0, NULL FROM documents WHERE doc_id % 6 = 5""")
+def variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' findings as JSON text, a sixth of it malformed, a fifth of its lists empty and a fifth no list, read by typed paths."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    flags = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(k % 5 - 1, F.lit(0)).cast("int")), lambda i: F.concat("source", i.cast("string"))))
+    about = F.to_json(F.struct("lang", "n_chars", F.struct(F.when(k % 4 != 0, k % 9).alias("page")).alias("place"), flags.alias("flags")), {"ignoreNullFields": "false"})
+    about = F.when(k % 5 == 1, F.regexp_replace(about, r'"flags":\[[^\]]*\]', '"flags":"none"')).otherwise(about)
+    stored = d.select("doc_id", F.when(k % 6 == 5, F.concat(F.lit("{"), about)).otherwise(about).alias("json")).withColumn("v", variants.parsed(F.col("json")))
+    flat = variants.items(F.col("v"), "string", "$.flags")
+    out = variants.typed(stored, "v", {"lang": ("$.lang", "string"), "n_chars": ("$.n_chars", "bigint"), "page": ("$.place.page", "bigint")})
+    return out.select("doc_id", "lang", "n_chars", "page", F.size(flat).alias("n_flags"), F.get(flat, F.lit(0)).alias("first_flag"))
+
+
+@query("variant_items", "SELECT order_id, position, part, qty FROM (SELECT l_orderkey AS order_id, l_partkey AS part, cast(l_quantity AS int) AS qty, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) - 1 AS int) AS position FROM lineitem)")
+def variant_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' lines kept as a variant each, and a row for each item again."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("qty")))).alias("lines"))
+    stored = rows.select(F.col("l_orderkey").alias("order_id"), variants.packed("lines").alias("v"))
+    flat = variants.flattened(stored, "v", "$.lines")
+    return variants.typed(flat, "item", {"part": ("$.l_partkey", "bigint"), "qty": ("$.qty", "int")}).select("order_id", "position", "part", "qty")
