@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.operators import coreference, links, mentions, page_tables, spans, text, variants
 from ledgerleaf.operators.block_index import BlockIndex
+from ledgerleaf.operators.layout import DocumentStore, page_after
 from ledgerleaf.plans.registry import _COS, _topk_sql, _vectors, query, rounded
+from ledgerleaf.sources.scratch import new_path
 from ledgerleaf.sources.tables import table
 
 # ---- search through an index of blocks ----
@@ -294,3 +296,31 @@ def variant_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = rows.select(F.col("l_orderkey").alias("order_id"), variants.packed("lines").alias("v"))
     flat = variants.flattened(stored, "v", "$.lines")
     return variants.typed(flat, "item", {"part": ("$.l_partkey", "bigint"), "qty": ("$.qty", "int")}).select("order_id", "position", "part", "qty")
+
+
+# ---- a store laid out by document ----
+
+
+@query("store_writes", """
+SELECT o_custkey AS document_id, o_orderkey AS id, CASE WHEN o_custkey % 10 = 4 THEN 'done' WHEN o_orderkey % 9 = 0 AND o_custkey < 40 THEN 'new' ELSE o_orderstatus END AS status FROM orders WHERE o_custkey <> 7
+UNION ALL SELECT o_custkey, -1, CASE WHEN o_custkey % 10 = 4 THEN 'done' ELSE 'added' END FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey < 40 AND o_custkey <> 7)""")
+def store_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by customer: some upserted, some updated, a customer's deleted."""
+    path = new_path(spark, "store")
+    store = DocumentStore(spark, path, path.rpartition("/")[2].replace("-", "_"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    store.create("orders", rows)
+    some = rows.where("document_id < 40")
+    store.upsert("orders", some.where("id % 9 = 0").withColumn("status", F.lit("new")).unionByName(some.select("document_id").distinct().select("document_id", F.lit(-1).cast("long").alias("id"), F.lit("added").alias("status"))), "id")
+    store.update("orders", F.col("document_id") % 10 == 4, {"status": "done"})
+    store.delete(7, "orders")
+    return store.read("orders")
+
+
+@query("keyset_page", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders)) WHERE n > 100 AND n <= 150")
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of fifty, each found by the last key of the one before."""
+    rows, last = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").distinct(), None
+    for _ in range(2):
+        last = page_after(rows, "o_orderkey", 50, last).agg(F.max("o_orderkey")).first()[0]
+    return page_after(rows, "o_orderkey", 50, last)
