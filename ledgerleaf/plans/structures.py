@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import coreference, links, mentions, page_tables, spans, text, variants
+from ledgerleaf.operators import assessments, coreference, links, mentions, page_tables, risk, spans, text, variants, working_capital
 from ledgerleaf.operators.block_index import BlockIndex
 from ledgerleaf.operators.layout import DocumentStore, page_after
-from ledgerleaf.plans.registry import _COS, _topk_sql, _vectors, query, rounded
+from ledgerleaf.plans.registry import _CF, _COS, _TOP, DEBT, LIT, SQL, _rules_sql, _topk_sql, _vectors, cash_years, query, rounded
 from ledgerleaf.sources.scratch import new_path
-from ledgerleaf.sources.tables import table
+from ledgerleaf.sources.tables import table, view
 
 # ---- search through an index of blocks ----
 
@@ -324,3 +324,78 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         last = page_after(rows, "o_orderkey", 50, last).agg(F.max("o_orderkey")).first()[0]
     return page_after(rows, "o_orderkey", 50, last)
+
+
+# ---- assessments in words ----
+
+_P = lambda x, digits=0: f"printf('%.{digits}f', {x})"
+
+
+@query("debt_notes", f"""
+WITH {_TOP}, d AS (SELECT entity_id, sum(amount) AS td, sum(interest_rate * amount) / sum(amount) AS r, coalesce(sum(amount) FILTER (is_short_term), 0) AS y, entity_id % 6 * 0.75 AS cover FROM {DEBT} d GROUP BY entity_id)
+SELECT d.entity_id, CASE WHEN td / 500 > 2 THEN 'HIGH - D/E ratio exceeds 2x' WHEN td / 500 > 1 THEN 'MEDIUM - D/E ratio between 1-2x' ELSE 'LOW - D/E ratio below 1x' END AS leverage,
+  CASE WHEN r > 12 THEN 'HIGH - Weighted average rate exceeds 12%' WHEN r > 9 THEN 'MEDIUM - Weighted average rate 9-12%' ELSE 'LOW - Weighted average rate below 9%' END AS interest_cost,
+  concat(CASE WHEN y / td > 0.5 THEN 'HIGH' WHEN y / td > 0.3 THEN 'MEDIUM' ELSE 'LOW' END, ' - ', {_P('y', 1)}, ' Cr maturing within 1 year') AS refinancing, concat(CASE WHEN a / s > 0.5 THEN 'HIGH' WHEN a / s > 0.3 THEN 'MEDIUM' ELSE 'LOW' END, ' - Top lender ', lender, ' has ', {_P('a', 1)}, ' Cr exposure') AS concentration,
+  CASE WHEN d.entity_id % 3 = 0 THEN 'HIGH - Covenant breaches disclosed' WHEN d.entity_id % 2 = 0 THEN 'MEDIUM - Financial covenants in place' ELSE 'LOW - No restrictive covenants disclosed' END AS covenant,
+  CASE WHEN cover = 0 THEN NULL WHEN cover < 1.5 THEN concat('HIGH - Interest coverage ratio ', {_P('cover', 2)}, 'x is below 1.5x') WHEN cover < 3 THEN concat('MEDIUM - Interest coverage ratio ', {_P('cover', 2)}, 'x is below 3x') ELSE concat('LOW - Interest coverage ratio ', {_P('cover', 2)}, 'x is healthy') END AS coverage
+FROM d JOIN t ON d.entity_id = t.entity_id AND n = 1""")
+def debt_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    about = table(spark, sf_dir, "nation").select(k.alias("entity_id"), F.lit(500.0).alias("equity"), (k % 3 == 0).alias("any_breach"), (k % 2 == 0).alias("has_covenants"), (k % 6 * 0.75).cast("double").alias("interest_cover"))
+    return assessments.debt_notes(view(spark, sf_dir, "debt_items").withColumn("bucket", F.lit(None).cast("string")), about)
+
+
+@query("cash_assessment", f"""
+WITH {_CF}, n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY fy) AS i, count(*) OVER (PARTITION BY entity_id) AS n, sum(CASE WHEN burning THEN 0 ELSE 1 END) OVER (PARTITION BY entity_id ORDER BY fy DESC ROWS UNBOUNDED PRECEDING) AS calm FROM s),
+e AS (SELECT entity_id, count(*) AS n, avg(fcf) AS m, avg(q) AS q, coalesce(avg(fcf) FILTER (i <= floor(n / 2)), 0) AS a, avg(fcf) FILTER (i > floor(n / 2)) AS b, avg(spend) AS sp, count(*) FILTER (calm = 0) AS burn, coalesce(sum(abs(fcf)) FILTER (burning), 0) AS burned, max(runway) FILTER (i = n AND burning) AS months FROM n GROUP BY entity_id),
+f AS (SELECT *, list_filter([CASE WHEN burn >= 2 THEN concat('Negative FCF for ', burn, ' consecutive years') END, CASE WHEN q < 50 THEN concat('Low earnings quality: CFO/EBITDA at ', {_P('q')}, '%') END,
+  CASE WHEN months < 12 THEN concat('Critical cash runway: only ', {_P('months')}, ' months') WHEN months < 18 THEN concat('Low cash runway: ', {_P('months')}, ' months') END, CASE WHEN n >= 2 AND NOT b > a + 10 AND b < a - 10 THEN 'FCF trend deteriorating over time' END,
+  CASE WHEN burned > 100 THEN concat('Total cash burned: ₹', {_P('burned')}, ' Cr over the period') END], lambda x: x IS NOT NULL) AS flags FROM e)
+SELECT entity_id, array_to_string(flags, '; ') AS red_flags, concat('Average ', CASE WHEN m > 0 THEN 'positive' ELSE 'negative' END, ' FCF of ₹', {_P('abs(m)')}, ' Cr. ', CASE WHEN q >= 70 THEN 'High' WHEN q >= 50 THEN 'Medium' ELSE 'Low' END, ' earnings quality. Capex in ',
+  CASE WHEN sp > 1.5 THEN 'growth mode' WHEN sp < 0.8 THEN 'under-investment' ELSE 'maintenance mode' END, CASE WHEN len(flags) > 0 THEN concat('. Red flags: ', len(flags)) ELSE '' END, '.') AS assessment FROM f""")
+def cash_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessments.cash_assessment(cash_years(spark, sf_dir)).withColumn("red_flags", F.array_join("red_flags", "; "))
+
+
+@query("wc_assessment", f"""
+WITH t AS ({SQL["wc_trend"]}), l AS (SELECT entity_id, entity_id % 5 * 24.0 AS v FROM t), f AS (SELECT t.entity_id, list_filter([CASE WHEN ccc_trend = 'Worsening' THEN 'Cash conversion cycle worsening over time' END, CASE WHEN stuffing_years <> '' THEN concat('Channel stuffing risk detected in ', replace(stuffing_years, ',', ', ')) END,
+  CASE WHEN piling_years <> '' THEN concat('Inventory piling detected in ', replace(piling_years, ',', ', ')) END, CASE WHEN v > 50 THEN concat('CCC ', {_P('v')}, '% above sector average') END], lambda x: x IS NOT NULL) AS i FROM t JOIN l ON l.entity_id = t.entity_id)
+SELECT entity_id, CASE WHEN len(i) > 0 THEN concat('Concerns: ', array_to_string(i, '; ')) ELSE 'Working capital management appears healthy with no major concerns' END AS assessment FROM f""")
+def wc_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trends = working_capital.trend(view(spark, sf_dir, "fin_year"))
+    return assessments.working_capital_assessment(trends, trends.select("entity_id", (F.col("entity_id") % 5 * 24.0).alias("ccc_variance_pct")))
+
+
+_ISSUED = f"(SELECT *, ordinal % 11 AS issuer FROM {LIT} x WHERE ordinal % 11 <> 4)"
+
+
+def _issued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = view(spark, sf_dir, "litigation").withColumn("issuer", F.col("ordinal") % 11).where("issuer <> 4")
+    return items, table(spark, sf_dir, "nation").where("n_nationkey < 11").select(F.col("n_nationkey").cast("long").alias("issuer"), F.pow(F.lit(10.0), (F.col("n_nationkey") % 8).cast("double")).alias("networth"), (F.col("n_nationkey") % 8).cast("double").alias("contingent_pct"))
+
+
+@query("issuer_risk", f"""
+WITH s AS (SELECT issuer, sum(amount_cr) AS a, coalesce(sum(cnt) FILTER (entity_type = 'Promoter' AND case_type = 'Criminal' AND issuer % 2 = 0), 0) AS c FROM {_ISSUED} i WHERE entity_type <> 'Group Company' GROUP BY issuer),
+g AS (SELECT n_nationkey AS issuer, coalesce(a, 0) / power(10.0, n_nationkey % 8) * 100 AS p, coalesce(c, 0) AS c, n_nationkey % 8 AS x FROM nation LEFT JOIN s ON issuer = n_nationkey WHERE n_nationkey < 11)
+SELECT cast(issuer AS bigint) AS issuer, round(p, 4) AS litigation_pct, cast(c AS bigint) AS criminal_promoter, CASE WHEN p > 10 OR c > 0 OR p + x > 15 THEN 'Critical' WHEN p + x > 5 THEN 'Major' ELSE 'Minor' END AS severity, p > 10 OR c > 0 AS veto,
+  array_to_string(list_filter([CASE WHEN p > 10 THEN concat('Litigation exposure (', {_P('p', 1)}, '%) exceeds 10.0% of net worth') END, CASE WHEN c > 0 THEN concat('Criminal cases against promoters: ', c) END], lambda y: y IS NOT NULL), '; ') AS veto_reason FROM g""")
+def issuer_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven issuers at once, one without items; promoters of the odd ones have no criminal cases."""
+    items, issuers = _issued(spark, sf_dir)
+    calm = (F.col("issuer") % 2 == 1) & (F.col("case_type") == "Criminal") & (F.col("entity_type") == "Promoter")
+    return rounded(assessments.issuer_risk(items.withColumn("case_type", F.when(calm, "Civil").otherwise(F.col("case_type"))), issuers))
+
+
+@query("issuer_litigation", f"""
+SELECT cast(issuer AS bigint) AS issuer, entity_type, cast(sum(cnt) AS bigint) AS total, count(*) FILTER (case_type = 'Criminal') AS criminal_count, count(*) FILTER (case_type NOT IN ('Civil', 'Criminal', 'Tax', 'Regulatory')) AS other_count, round(sum(amount_cr), 2) AS amount_cr, round(sum(amount_cr) / power(10.0, issuer % 8) * 100, 2) AS pct_networth FROM {_ISSUED} i GROUP BY issuer, entity_type""")
+def issuer_litigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(assessments.issuer_litigation(*_issued(spark, sf_dir)).select("issuer", "entity_type", "total", "criminal_count", "other_count", "amount_cr", "pct_networth"), 2)
+
+
+@query("rule_actuals", f"""{_rules_sql()}
+SELECT v.entity_id, v.rule_id, CASE WHEN v.rule_id = 'SKIN-001' THEN concat({_P('promoter_post_issue_holding_pct', 1)}, '%') WHEN v.rule_id = 'SKIN-002' THEN concat('OFS=', {_P('ofs_pct_of_issue', 1)}, '%, Fresh=', {_P('fresh_issue_pct_of_issue', 1)}, '%') WHEN v.rule_id LIKE 'PLEDGE%' THEN concat({_P('promoter_pledge_pct', 1)}, '%')
+  WHEN v.rule_id = 'RPT-001' THEN concat({_P('rpt_revenue_pct', 1)}, '%') WHEN v.rule_id = 'RPT-002' THEN concat({_P('rpt_expense_pct', 1)}, '%') WHEN v.rule_id IN ('AUDIT-001', 'AUDIT-002') THEN 'Yes' WHEN v.rule_id = 'AUDIT-003' THEN concat(caro_qualifications, ' qualifications')
+  WHEN v.rule_id = 'LITIG-001' THEN concat({_P('total_litigation_cr / post_issue_networth_cr * 100', 1)}, '% (₹', {_P('total_litigation_cr', 1)}, ' Cr)') ELSE concat({_P('receivable_days_growth - revenue_cagr_3yr', 1)}, 'pp gap') END AS actual FROM v JOIN r ON r.entity_id = v.entity_id""")
+def rule_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = view(spark, sf_dir, "rule_inputs")
+    return assessments.with_actuals(risk.violations(inputs), inputs).select("entity_id", "rule_id", "actual")
