@@ -177,14 +177,18 @@ _FIRST = ["Steel", "Steelworks", "North Steel", "St", "North Holdings of India",
 _NAMED = f"""(SELECT c_nationkey % 5 AS document_id, concat([{", ".join(f"'{x}'" for x in _FIRST)}][c_custkey % {len(_FIRST)} + 1], CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat(' ', c_custkey % 11) END) AS name FROM customer)"""
 
 
-@query("entity_canonical", f"""
-WITH RECURSIVE m AS (SELECT document_id, name, count(*) AS mentions, row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, name) AS r FROM {_NAMED} GROUP BY document_id, name),
+def _greedy_sql(names: str) -> str:
+    """m: names by document with their mentions and ranks; g: each one's canonical name, decided in order of rank."""
+    return f"""
+WITH RECURSIVE m AS (SELECT document_id, name, count(*) AS mentions, row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, name) AS r FROM {names} GROUP BY document_id, name),
 g AS (SELECT document_id, 1 AS r, [name] AS chosen, name AS canonical, name, mentions FROM m WHERE r = 1 UNION ALL
   SELECT x.document_id, x.r, CASE WHEN x.c IS NULL THEN list_append(x.chosen, x.name) ELSE x.chosen END, coalesce(x.c, x.name), x.name, x.mentions FROM (
     SELECT m.document_id, m.r, m.name, m.mentions, g.chosen, list_filter(g.chosen, lambda c: contains(lower(c), lower(m.name)) OR contains(lower(m.name), lower(c))
       OR len(list_intersect(list_distinct(string_split(lower(c), ' ')), list_distinct(string_split(lower(m.name), ' ')))) >= 0.8 * least(len(list_distinct(string_split(lower(c), ' '))), len(list_distinct(string_split(lower(m.name), ' ')))))[1] AS c
-    FROM g JOIN m ON m.document_id = g.document_id AND m.r = g.r + 1) x)
-SELECT document_id, name, mentions, canonical FROM g""")
+    FROM g JOIN m ON m.document_id = g.document_id AND m.r = g.r + 1) x)"""
+
+
+@query("entity_canonical", f"{_greedy_sql(_NAMED)} SELECT document_id, name, mentions, canonical FROM g")
 def entity_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     first = F.element_at(F.array(*[F.lit(x) for x in _FIRST]), (k % len(_FIRST) + 1).cast("int"))
@@ -193,13 +197,13 @@ def entity_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coreference.canonical_names(rows, ["document_id"])
 
 
-@query("entity_merged", """
-WITH s AS (SELECT s_nationkey % 6 AS document_id, s_suppkey AS k, concat('firm ', s_nationkey, CASE s_suppkey % 3 WHEN 0 THEN ' Limited' WHEN 1 THEN ' Pvt. Ltd.' ELSE '' END) AS name, concat('Firm ', s_nationkey) AS normal FROM supplier),
-n AS (SELECT document_id, normal, count(*) AS m FROM s GROUP BY ALL), c AS (SELECT a.document_id, a.normal, coalesce((SELECT min_by(b.normal, (0 - b.m, b.normal)) FROM n b WHERE b.document_id = a.document_id AND starts_with(a.normal, b.normal) AND (b.m > a.m OR b.m = a.m AND b.normal < a.normal)),
-  (SELECT min_by(b.normal, (0 - b.m, b.normal)) FROM n b WHERE b.document_id = a.document_id AND starts_with(b.normal, a.normal) AND (b.m > a.m OR b.m = a.m AND b.normal < a.normal)), a.normal) AS canonical FROM n a)
-SELECT s.document_id, canonical, count(*) AS mentions, array_to_string(list_sort(list(DISTINCT name)), '; ') AS aliases, cast(min(k) AS bigint) AS first FROM s JOIN c ON c.document_id = s.document_id AND c.normal = s.normal GROUP BY ALL""")
+_FIRMS = "(SELECT s_nationkey % 6 AS document_id, s_suppkey AS k, concat('firm ', s_nationkey, CASE s_suppkey % 3 WHEN 0 THEN ' Limited' WHEN 1 THEN ' Pvt. Ltd.' ELSE '' END) AS alias, concat('Firm ', s_nationkey) AS name FROM supplier)"
+
+
+@query("entity_merged", f"""{_greedy_sql(_FIRMS)}
+SELECT s.document_id, canonical, count(*) AS mentions, array_to_string(list_sort(list(DISTINCT alias)), '; ') AS aliases, cast(min(k) AS bigint) AS first FROM {_FIRMS} s JOIN g ON g.document_id = s.document_id AND g.name = s.name GROUP BY ALL""")
 def entity_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Firms 1 and 13, 2 and 20 to 24 are alike by name; a document holds every sixth nation's, so that few of them meet."""
+    """Firms such as 1, 13 and 19 are alike by name; a document holds every sixth nation's."""
     k = F.col("s_suppkey")
     name = F.concat(F.lit("firm "), "s_nationkey", F.when(k % 3 == 0, " Limited").when(k % 3 == 1, " Pvt. Ltd.").otherwise(""))
     found = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 6).alias("document_id"), k.alias("ordinal"), name.alias("name"), F.lit("COMPANY").alias("entity_type"), (k % 5).alias("page"), F.lit(1.0).alias("confidence"))
