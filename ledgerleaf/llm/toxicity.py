@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.scratch import written
 from ledgerleaf.llm.textbytes import LOWER_ASCII, Words, hash_spans, mixed, pieces
 
 PLAIN = LOWER_ASCII.copy()
@@ -60,9 +61,9 @@ def stems(words: Words) -> list[np.ndarray]:
     return [hash_spans(words.data, words.starts, np.minimum(words.ends, words.starts + k)) for k in STEMS]
 
 
-def pair_counts(texts: DataFrame) -> pa.Table:
-    """(first, second, long, short, toxic, ordinary): after how many different words each pair of words occurs in texts (label, text)
-    of either class, and the stems of the second. Counted so, what many copies of one text repeat weighs no more than once."""
+def pair_counts(texts: DataFrame) -> tuple[pa.Table, pa.Table]:
+    """(first, second, toxic, ordinary): after how many different words each pair of words occurs in texts (label, text) of either class; and
+    (second, long, short): the stems of each second word. Counted so, what many copies of one text repeat weighs no more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +78,9 @@ def pair_counts(texts: DataFrame) -> pa.Table:
 
     counted = texts.mapInArrow(run, "zero int, first long, second long, long long, short long, toxic byte, ordinary byte")
     different = counted.repartition("first", "second").groupBy("zero", "first", "second").agg(F.min("long").alias("long"), F.min("short").alias("short"), F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
-    return different.groupBy("first", "second").agg(F.min("long").alias("long"), F.min("short").alias("short"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    different = written(different, "pairs")
+    words = different.groupBy("second").agg(F.min("long").alias("long"), F.min("short").alias("short")).toArrow()
+    return different.groupBy("first", "second").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("ordinary").cast("int").alias("ordinary")).toArrow(), words
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -170,13 +173,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def kneser_ney(counts: pa.Table, leaning: float) -> Model:
-    first, second, long, short = (counts.column(c).to_numpy().astype(np.int64).astype(np.uint64) for c in ("first", "second", "long", "short"))
-    n = np.stack([counts.column(c).to_numpy().astype(np.float64) for c in ("toxic", "ordinary")], 1)
-    words, at, word_of = np.unique(second, return_index=True, return_inverse=True)
+def kneser_ney(counts: tuple[pa.Table, pa.Table], leaning: float) -> Model:
+    """From pair_counts."""
+    hashes = lambda table, c: table.column(c).to_numpy().astype(np.int64).view(np.uint64)
+    pairs, second_words = counts
+    first, second = hashes(pairs, "first"), hashes(pairs, "second")
+    n = np.stack([pairs.column(c).to_numpy().astype(np.float64) for c in ("toxic", "ordinary")], 1)
+    words, word_of = np.unique(second, return_inverse=True)
     followed = counted(word_of, (n > 0).astype(float), len(words))  # continuation counts
-    longs, long_at, long_of = np.unique(long[at], return_index=True, return_inverse=True)
-    shorts, short_of = np.unique(short[at][long_at], return_inverse=True)
+    del word_of
+    order = np.argsort(hashes(second_words, "second"))
+    long, short = hashes(second_words, "long")[order], hashes(second_words, "short")[order]
+    longs, long_at, long_of = np.unique(long, return_index=True, return_inverse=True)
+    shorts, short_of = np.unique(short[long_at], return_inverse=True)
     begin_long = counted(long_of, (followed > 0).astype(float), len(longs))
     begin_short = counted(short_of, (begin_long > 0).astype(float), len(shorts))
     levels = [level(shorts, begin_short, np.zeros(len(shorts), np.int64)), level(longs, begin_long, short_of), level(words, followed, long_of)]
