@@ -157,11 +157,23 @@ class Collections:
         last = self.version(document)
         rows = new if last is None else upserted(self.read(document).select(*new.columns), new, "point_id")
         rows.write.parquet(f"{self.path(document)}/v{(last or 0) + 1}")
-        if last is not None:
-            fs, p = _files(self.spark, f"{self.path(document)}/v{last}")
-            fs.delete(p, True)
         return n
 
+    def cleanup(self, document: str) -> int:
+        """Removes all versions but the last whole one, for when nobody reads an older one or writes; how many. Until then they stay, as
+        readers may scan them."""
+        last = self.version(document)
+        fs, p = _files(self.spark, self.path(document))
+        old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() != f"v{last}"] if last is not None else []
+        return sum(bool(fs.delete(x, True)) for x in old)
+
+    def info(self, document: str) -> dict[str, int] | None:
+        """How many points a collection holds, and the length of their vectors; None where there is none."""
+        if not self.exists(document):
+            return None
+        found = self.read(document).agg(F.count(F.lit(1)).alias("points"), F.max(F.size("vector")).alias("dimension")).first()
+        return {"points": found["points"], "dimension": found["dimension"] or 0}
+
     def drop(self, document: str) -> bool:
         fs, p = _files(self.spark, self.path(document))
         return bool(fs.delete(p, True))

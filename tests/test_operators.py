@@ -155,7 +155,11 @@ def test_vector_collections_and_cache(spark, tmp_path):
     with pytest.raises(ValueError):
         store_.add("my doc/1", rows, vecs.limit(1))
     assert store_.add("my doc/1", rows, vecs) == 2 and store_.names() == ["doc_my_doc_1"]
+    before = store_.read("my doc/1")
     assert store_.add("my doc/1", rows.where("chunk_id = 'a'").withColumn("text", F.lit("new")), vecs.where("chunk_id = 'a'")) == 1
+    assert {r.text for r in before.collect()} == {"t1", "t2"}, "a reader of the version before isn't disturbed"
+    assert store_.info("my doc/1") == {"points": 2, "dimension": 2} and store_.info("none") is None
+    assert store_.cleanup("my doc/1") == 1 and store_.cleanup("my doc/1") == 0
     assert {r.chunk_id: r.text for r in store_.read("my doc/1").collect()} == {"a": "new", "b": "t2"}
     assert store_.drop("my doc/1") and not store_.exists("my doc/1") and not store_.drop("my doc/1")
 
