@@ -38,6 +38,7 @@ class Settings:
     fewest: int = 3  # times that a word must occur to be classed by its neighbours
     piece_bytes: int = 4 << 20
     bucket_bytes: int = 32 << 20  # of text, whose words a bucket holds
+    branch_buckets: int = 4096  # for each, one more branch of pieces sums contexts before they meet in buckets
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -246,38 +247,63 @@ def exchange(matrix: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
-CONTEXTS = f"{COUNTED}, prevs binary, nexts binary"
+CONTEXTS = f"{COUNTED}, branch int, cells binary, times binary"
 CLASSED = "bucket int, hashes binary, counts binary, classes binary, class_tokens array<long>, class_types array<long>"
 
 
+def context_rows(h: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray, buckets: int, branch: int) -> list[tuple]:
+    """Rows of CONTEXTS, one a bucket: the words of h that occur in `word` (ascending), how many cells each has, those cells and
+    how often each was met."""
+    there, first, size = np.unique(word, return_index=True, return_counts=True)
+    rows = []
+    for b, i in by_bucket(h[there], buckets):
+        inside = np.arange(int(size[i].sum())) + np.repeat(first[i] - (np.cumsum(size[i]) - size[i]), size[i])
+        rows.append((b, h[there[i]].tobytes(), planes(size[i].astype(np.uint16)), None, branch, planes(cell[inside].astype(np.uint16)), planes(n[inside].astype(np.uint64))))
+    return rows
+
+
+def contexts_summed(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket and branch of rows of CONTEXTS: a word has `cells` numbers at most, however often it occurs."""
+    for table in groups(batches, "node"):
+        rows = table.to_pylist()
+        sizes = [unplanes(r["counts"], np.uint16).astype(np.int64) for r in rows]
+        h, own = np.unique(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]), return_inverse=True)
+        key = np.repeat(own, np.concatenate(sizes)) * cells + np.concatenate([unplanes(r["cells"], np.uint16) for r in rows])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], np.concatenate([unplanes(r["times"], np.uint64) for r in rows])[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+        n = np.add.reduceat(n, at) if len(key) else n
+        word, cell = np.divmod(key[at], cells)
+        size = np.bincount(word, minlength=len(h))
+        yield batch_of([(rows[0]["bucket"], h.tobytes(), planes(size.astype(np.uint16)), None, rows[0]["branch"], planes(cell.astype(np.uint16)), planes(n))], CONTEXTS)
+        trim()
+
+
 def classed(texts: DataFrame, words: DataFrame, buckets: int, keys: np.ndarray, of: np.ndarray, cc: np.ndarray, settings: Settings) -> DataFrame:
     """CLASSED: vocabulary's words with a class each, and sums of counts and of different words by class. A word that the driver has
     not clustered and that occurs `fewest` times or more goes where the likelihood of its neighbours' classes is highest; of equal
-    classes to the first."""
+    classes to the first.
+
+    A word's contexts are counts of the classes before and after it, summed in each piece, then over a branch of pieces, then in its
+    bucket. There are a branch and one more for each `branch_buckets` buckets, so what meets in a bucket of a word that is a given share
+    of all tokens stays within that share of so many buckets' words, or within 2 (classes + 1) counts a branch."""
     k = len(cc)
     shared = texts.sparkSession.sparkContext.broadcast((keys, of))
+    branches = 1 + buckets // settings.branch_buckets
     p = cc + 0.5
-    fit_ = np.log(p * p.sum() / p.sum(1, keepdims=True) / p.sum(0, keepdims=True))[:, :]
+    fit_ = np.log(p * p.sum() / p.sum(1, keepdims=True) / p.sum(0, keepdims=True))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, of = shared.value
         for p in each_piece(batches):
             at, known = found_in(p.hashes, keys)
             symbol = np.where(known, REST + at, p.rests)
-            line = p.with_ends(of[symbol][p.words], k - 1).astype(np.uint8)
+            line = p.with_ends(of[symbol][p.words], k - 1).astype(np.int64)
             own = p.with_ends(p.words, -1)
             some = np.flatnonzero((own >= 0) & np.repeat(p.learn, p.sizes + 1) & ~np.append(known, True)[own])
-            some = some[np.argsort(own[some], kind="stable")]
-            word, prevs, nexts = own[some], np.append(np.uint8(k - 1), line)[some], line[some + 1]
-            n = np.bincount(word, minlength=len(p.hashes))
-            to = np.cumsum(n)
-            there = np.flatnonzero(n)
-            rows = []
-            for b, i in by_bucket(p.hashes[there], buckets):
-                w = there[i]
-                inside = np.arange(int(n[w].sum())) + np.repeat(to[w] - n[w] - (np.cumsum(n[w]) - n[w]), n[w])
-                rows.append((b, p.hashes[w].tobytes(), planes(n[w].astype(np.uint32)), None, prevs[inside].tobytes(), nexts[inside].tobytes()))
-            yield batch_of(rows, CONTEXTS)
+            word, prevs, nexts = own[some], np.append(k - 1, line)[some], line[some + 1]
+            pair, n = np.unique(np.concatenate([word * 2 * k + prevs, (word * 2 + 1) * k + nexts]), return_counts=True)
+            yield batch_of(context_rows(p.hashes, *np.divmod(pair, 2 * k), n, buckets, int(mixed(np.array([p.number]).astype(np.uint64))[0] % np.uint64(branches))), CONTEXTS)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, of = shared.value
@@ -291,31 +317,37 @@ def classed(texts: DataFrame, words: DataFrame, buckets: int, keys: np.ndarray,
             at, known = found_in(h, keys)
             cls[known] = of[REST + at[known]]
             busy = np.flatnonzero(~known & (n >= settings.fewest))
-            slot = np.full(len(h), -1)
+            slot = np.full(len(h), -1, np.int32)
             slot[busy] = np.arange(len(busy))
-            seen = [(np.zeros(0, np.int64),) * 3]
-            for r in rows:
+            seen = []  # of each row, its busy words' slots in order, cells and counts
+            while rows:
+                r = rows.pop()
                 if r["rests"] is None:
-                    word = np.repeat(slot[found_in(np.frombuffer(r["hashes"], np.uint64), h)[0]], unplanes(r["counts"], np.uint32).astype(np.int64))
-                    keep = word >= 0
-                    seen.append((word[keep].astype(np.int32), np.frombuffer(r["prevs"], np.uint8)[keep], np.frombuffer(r["nexts"], np.uint8)[keep]))
-            word, prevs, nexts = (np.concatenate(x) for x in zip(*seen, strict=True))
-            del rows, table, seen
-            order = np.argsort(word, kind="stable")
-            word, prevs, nexts = word[order].astype(np.int64), prevs[order].astype(np.int64), nexts[order].astype(np.int64)
-            for lo in range(0, len(busy), 20_000):
-                hi = min(lo + 20_000, len(busy))
-                a, b = np.searchsorted(word, [lo, hi])
-                some = (word[a:b] - lo) * k
-                before = np.bincount(some + prevs[a:b], minlength=(hi - lo) * k).reshape(-1, k)
-                after = np.bincount(some + nexts[a:b], minlength=(hi - lo) * k).reshape(-1, k)
-                cls[busy[lo:hi]] = (before @ fit_ + after @ fit_.T)[:, : k - 1].argmax(1)
+                    word = np.repeat(slot[found_in(np.frombuffer(r["hashes"], np.uint64), h)[0]], unplanes(r["counts"], np.uint16))
+                    order = np.argsort(word, kind="stable")[np.count_nonzero(word < 0) :]
+                    seen.append((word[order], unplanes(r["cells"], np.uint16)[order], planes(unplanes(r["times"], np.uint64)[order])))
+            del table
+            seen = [(w, c, t) for w, c, t in seen if len(w)]
+            step = 20_000
+            for lo in range(0, len(busy), step):
+                hi = min(lo + step, len(busy))
+                met = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for word, cell, times in seen:
+                    a, b = np.searchsorted(word, [lo, hi])
+                    met[0].append((word[a:b].astype(np.int64) - lo) * 2 * k + cell[a:b])
+                    met[1].append(unplanes(times, np.uint64)[a:b])
+                total = np.bincount(np.concatenate(met[0]), np.concatenate(met[1]), (hi - lo) * 2 * k).reshape(-1, 2, k)
+                cls[busy[lo:hi]] = (total[:, 0] @ fit_ + total[:, 1] @ fit_.T)[:, : k - 1].argmax(1)
             sums = np.bincount(cls, n, k).astype(np.int64), np.bincount(cls, minlength=k)
             yield batch_of([(own["bucket"], own["hashes"], own["counts"], cls.tobytes(), sums[0].tolist(), sums[1].tolist())], CLASSED)
             trim()
 
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("prevs", "nexts")]
-    met = texts.mapInArrow(contexts, CONTEXTS).unionByName(words.select("bucket", "hashes", "counts", "rests", *empty))
+    met = texts.mapInArrow(contexts, CONTEXTS)
+    if branches > 1:
+        node = (F.col("bucket").cast("long") * branches + F.col("branch")).alias("node")
+        met = met.select("*", node).repartition("node").sortWithinPartitions("node").mapInArrow(lambda b: contexts_summed(b, 2 * k), CONTEXTS)
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("branch", "int"), ("cells", "binary"), ("times", "binary"))]
+    met = met.unionByName(words.select("bucket", "hashes", "counts", "rests", *empty))
     return written(met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(assign, CLASSED), "classes")
 
 

@@ -97,6 +97,13 @@ def test_scores_word_by_word(spark):
     assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
 
 
+def classes_of(words):
+    of = {}
+    for r in words.collect():
+        of |= {int(x): int(g) for x, g in zip(np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.classes, np.uint8))}
+    return of
+
+
 def test_words_beyond_the_clustered_ones_get_the_class_of_their_like(spark):
     import random
 
@@ -105,8 +112,56 @@ def test_words_beyond_the_clustered_ones_get_the_class_of_their_like(spark):
     rows = [(i, " ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(30))) for i in range(60)]
     keyed = docs(spark, rows).selectExpr("doc_id AS _k", "text", "true AS in_training")
     model = brown.learn(keyed, brown.Settings(symbols=20, classes=2, piece_bytes=500, bucket_bytes=2000))
-    of = {}
-    for r in model.words.collect():
-        of |= {int(x): int(g) for x, g in zip(np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.classes, np.uint8))}
+    of = classes_of(model.words)
     h = lambda w: int(brown.words_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0])
     assert len({of[h(w)] for w in nouns}) == 1 and len({of[h(w)] for w in verbs}) == 1 and of[h(nouns[0])] != of[h(verbs[0])]
+
+
+def test_classes_are_those_that_contexts_fit_best(spark):
+    import random
+    from dataclasses import replace
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(70)]
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(70)], k=rng.randint(0, 40)))) for i in range(80)]
+    keyed = docs(spark, rows).selectExpr("doc_id AS _k", "text", "doc_id % 4 <> 0 AS in_training")
+    settings = replace(SMALL, fewest=2)
+    h = lambda w: int(brown.words_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0])
+    texts = brown.as_pieces(keyed, settings.piece_bytes)
+    words = brown.vocabulary(texts, 8, settings.symbols)
+    counts = Counter(w for i, t in rows if i % 4 for w in t.split())
+    keys = np.sort(np.array([h(w) for w, _ in counts.most_common(settings.symbols)], np.uint64))
+    matrix = brown.bigrams(texts, keys, brown.REST + len(keys) + 1)
+    of = brown.exchange(matrix, settings.classes, settings.sweeps)
+    member, k = np.eye(settings.classes + 1)[of], settings.classes + 1
+    cc = member.T @ matrix @ member
+    p = (cc + 0.5) / (cc + 0.5).sum()
+    # word by word: the classes before and after it, each word by its own class or its ending's
+    first = {w: int(of[brown.REST + np.searchsorted(keys, np.uint64(h(w)))]) if np.uint64(h(w)) in keys else int(of[int(brown.words_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[2][0])]) for w in vocabulary}
+    fits = {w: np.zeros(k - 1) for w in counts}
+    for i, t in rows:
+        line = [k - 1, *(first[w] for w in t.split()), k - 1]
+        for j, w in enumerate(t.split()):
+            if i % 4:
+                for g in range(k - 1):
+                    fits[w][g] += math.log(p[line[j], g] / p[line[j]].sum() / p[:, g].sum()) + math.log(p[g, line[j + 2]] / p[g].sum() / p[:, line[j + 2]].sum())
+    want = {h(w): first[w] if np.uint64(h(w)) in keys or counts[w] < 2 else int(fits[w].argmax()) for w in counts}
+    for branch_buckets in (4096, 3):  # one branch, then three
+        found = brown.classed(texts, words, 8, keys, of, cc, replace(settings, branch_buckets=branch_buckets))
+        assert classes_of(found) == want
+
+
+def test_a_word_has_as_many_contexts_as_there_are_cells():
+    rng = np.random.default_rng(1)
+    h, cells, n = np.array([5 << 32, 9 << 32], np.uint64), 6, 4000
+    batches, total = [], Counter()
+    for _ in range(20):
+        word, cell = rng.integers(0, 2, n), rng.integers(0, cells, n)
+        pair, times = np.unique(word * cells + cell, return_counts=True)
+        total.update(dict(zip(pair.tolist(), times.tolist())))
+        rows = brown.context_rows(h, *np.divmod(pair, cells), times, 1, 0)
+        assert len(brown.unplanes(rows[0][5], np.uint16)) <= 2 * cells
+        batches.append(brown.batch_of([(*r, 0) for r in rows], brown.CONTEXTS + ", node long"))
+    (out,) = [b.to_pylist()[0] for b in brown.contexts_summed(iter(batches), cells)]
+    size, cell, times = brown.unplanes(out["counts"], np.uint16), brown.unplanes(out["cells"], np.uint16), brown.unplanes(out["times"], np.uint64)
+    assert len(cell) <= 2 * cells and {int(w * cells + c): int(t) for w, c, t in zip(np.repeat([0, 1], size), cell, times)} == total
