@@ -37,8 +37,8 @@ class Settings:
     sweeps: int = 30  # at most; exchange ends when a sweep moves nothing
     fewest: int = 3  # times that a word must occur to be classed by its neighbours
     piece_bytes: int = 4 << 20
-    bucket_bytes: int = 32 << 20  # of text, whose words a bucket holds
-    branch_buckets: int = 4096  # for each, one more branch of pieces sums contexts before they meet in buckets
+    bucket_bytes: int = 16 << 20  # of text, whose words a bucket holds
+    branch_buckets: int = 8192  # for each, one more branch of pieces sums contexts before they meet in buckets
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -251,6 +251,16 @@ CONTEXTS = f"{COUNTED}, branch int, cells binary, times binary"
 CLASSED = "bucket int, hashes binary, counts binary, classes binary, class_tokens array<long>, class_types array<long>"
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """x in the narrowest unsigned type that holds all of it."""
+    return planes(x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8))
+
+
+def widened(b: bytes, n: int) -> np.ndarray:
+    """The n numbers that narrow has packed."""
+    return unplanes(b, np.dtype(f"u{len(b) // n}")) if n else np.zeros(0, np.uint8)
+
+
 def context_rows(h: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray, buckets: int, branch: int) -> list[tuple]:
     """Rows of CONTEXTS, one a bucket: the words of h that occur in `word` (ascending), how many cells each has, those cells and
     how often each was met."""
@@ -258,7 +268,7 @@ def context_rows(h: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarra
     rows = []
     for b, i in by_bucket(h[there], buckets):
         inside = np.arange(int(size[i].sum())) + np.repeat(first[i] - (np.cumsum(size[i]) - size[i]), size[i])
-        rows.append((b, h[there[i]].tobytes(), planes(size[i].astype(np.uint16)), None, branch, planes(cell[inside].astype(np.uint16)), planes(n[inside].astype(np.uint64))))
+        rows.append((b, h[there[i]].tobytes(), planes(size[i].astype(np.uint16)), None, branch, narrow(cell[inside]), narrow(n[inside])))
     return rows
 
 
@@ -268,14 +278,14 @@ def contexts_summed(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[p
         rows = table.to_pylist()
         sizes = [unplanes(r["counts"], np.uint16).astype(np.int64) for r in rows]
         h, own = np.unique(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]), return_inverse=True)
-        key = np.repeat(own, np.concatenate(sizes)) * cells + np.concatenate([unplanes(r["cells"], np.uint16) for r in rows])
+        key = np.repeat(own, np.concatenate(sizes)) * cells + np.concatenate([widened(r["cells"], s.sum()) for r, s in zip(rows, sizes, strict=True)])
         order = np.argsort(key, kind="stable")
-        key, n = key[order], np.concatenate([unplanes(r["times"], np.uint64) for r in rows])[order]
+        key, n = key[order], np.concatenate([widened(r["times"], s.sum()) for r, s in zip(rows, sizes, strict=True)]).astype(np.int64)[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
         n = np.add.reduceat(n, at) if len(key) else n
         word, cell = np.divmod(key[at], cells)
         size = np.bincount(word, minlength=len(h))
-        yield batch_of([(rows[0]["bucket"], h.tobytes(), planes(size.astype(np.uint16)), None, rows[0]["branch"], planes(cell.astype(np.uint16)), planes(n))], CONTEXTS)
+        yield batch_of([(rows[0]["bucket"], h.tobytes(), planes(size.astype(np.uint16)), None, rows[0]["branch"], narrow(cell), narrow(n))], CONTEXTS)
         trim()
 
 
@@ -308,10 +318,11 @@ def classed(texts: DataFrame, words: DataFrame, buckets: int, keys: np.ndarray,
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, of = shared.value
         for table in groups(batches, "bucket"):
-            rows = table.to_pylist()
-            own = next((r for r in rows if r["rests"] is not None), None)
-            if own is None:
+            own_at = np.flatnonzero(table.column("rests").is_valid().to_numpy())
+            if not len(own_at):
                 continue
+            row = lambda i: table.slice(i, 1).to_pylist()[0]  # noqa: E731, B023
+            own = row(int(own_at[0]))
             h, n = np.frombuffer(own["hashes"], np.uint64), unplanes(own["counts"], np.uint64).astype(np.int64)
             cls = of[np.frombuffer(own["rests"], np.uint8)].astype(np.uint8)
             at, known = found_in(h, keys)
@@ -320,22 +331,21 @@ def classed(texts: DataFrame, words: DataFrame, buckets: int, keys: np.ndarray,
             slot = np.full(len(h), -1, np.int32)
             slot[busy] = np.arange(len(busy))
             seen = []  # of each row, its busy words' slots in order, cells and counts
-            while rows:
-                r = rows.pop()
-                if r["rests"] is None:
+            for i in range(table.num_rows):
+                if i != own_at[0]:
+                    r = row(i)
                     word = np.repeat(slot[found_in(np.frombuffer(r["hashes"], np.uint64), h)[0]], unplanes(r["counts"], np.uint16))
                     order = np.argsort(word, kind="stable")[np.count_nonzero(word < 0) :]
-                    seen.append((word[order], unplanes(r["cells"], np.uint16)[order], planes(unplanes(r["times"], np.uint64)[order])))
-            del table
+                    seen.append((word[order], widened(r["cells"], len(word))[order], widened(r["times"], len(word))[order]))
             seen = [(w, c, t) for w, c, t in seen if len(w)]
             step = 20_000
             for lo in range(0, len(busy), step):
                 hi = min(lo + step, len(busy))
-                met = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                met = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
                 for word, cell, times in seen:
                     a, b = np.searchsorted(word, [lo, hi])
                     met[0].append((word[a:b].astype(np.int64) - lo) * 2 * k + cell[a:b])
-                    met[1].append(unplanes(times, np.uint64)[a:b])
+                    met[1].append(times[a:b])
                 total = np.bincount(np.concatenate(met[0]), np.concatenate(met[1]), (hi - lo) * 2 * k).reshape(-1, 2, k)
                 cls[busy[lo:hi]] = (total[:, 0] @ fit_ + total[:, 1] @ fit_.T)[:, : k - 1].argmax(1)
             sums = np.bincount(cls, n, k).astype(np.int64), np.bincount(cls, minlength=k)

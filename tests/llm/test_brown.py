@@ -160,8 +160,9 @@ def test_a_word_has_as_many_contexts_as_there_are_cells():
         pair, times = np.unique(word * cells + cell, return_counts=True)
         total.update(dict(zip(pair.tolist(), times.tolist())))
         rows = brown.context_rows(h, *np.divmod(pair, cells), times, 1, 0)
-        assert len(brown.unplanes(rows[0][5], np.uint16)) <= 2 * cells
+        assert len(rows[0][5]) <= 2 * cells
         batches.append(brown.batch_of([(*r, 0) for r in rows], brown.CONTEXTS + ", node long"))
     (out,) = [b.to_pylist()[0] for b in brown.contexts_summed(iter(batches), cells)]
-    size, cell, times = brown.unplanes(out["counts"], np.uint16), brown.unplanes(out["cells"], np.uint16), brown.unplanes(out["times"], np.uint64)
+    size = brown.unplanes(out["counts"], np.uint16)
+    cell, times = (brown.widened(out[c], int(size.sum())) for c in ("cells", "times"))
     assert len(cell) <= 2 * cells and {int(w * cells + c): int(t) for w, c, t in zip(np.repeat([0, 1], size), cell, times)} == total
