@@ -6,7 +6,7 @@ as one of four; a point looks its bin up on each level that some span has. Rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,3 +56,23 @@ def spans_overlapping(a: DataFrame, b: DataFrame, by: Sequence[str], own: tuple[
     first = points_in_spans(fine(a, own), b, by, own[0], *other)
     second = points_in_spans(fine(b, other), a, by, other[0], *own).where(F.col(other[0]) > F.col(own[0]))
     return first.unionByName(second.select(*first.columns))
+
+
+# ---- totals over joins, without a row for each pair ----
+
+
+def _met_once(rows: DataFrame, columns: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+    """Rows that are equal in `columns` as one, with totals over them."""
+    return rows.groupBy(*columns).agg(*[x.alias(name) for name, x in totals.items()])
+
+
+def totals_of(join: Callable[[DataFrame, DataFrame], DataFrame], rows: DataFrame, places: Sequence[str], totals: dict[str, Column], asked: DataFrame, key: str, asked_places: Sequence[str], merged: dict[str, Column]) -> DataFrame:
+    """(key, *merged) of what each of asked meets in join(rows, asked). What is equal in all the places that the join looks at meets once: rows
+    are first summed up by `places` into `totals`, and asked by `asked_places`; `merged` sums the totals up again. So pairs
+    are those of different places, and what shares one costs a sum. A key that meets nothing has no row; one of several rows has all they meet."""
+    own = [f"_{c}" for c in asked_places]
+    wanted = asked.select(key, *[F.col(c).alias(o) for c, o in zip(asked_places, own, strict=True)])
+    places_of = wanted.select(*[F.col(o).alias(c) for c, o in zip(asked_places, own, strict=True)]).distinct()
+    met = join(_met_once(rows, places, totals), places_of).groupBy(*asked_places).agg(*[x.alias(name) for name, x in merged.items()])
+    found = met.select(*[F.col(c).alias(o) for c, o in zip(asked_places, own, strict=True)], *merged)
+    return wanted.join(found, own).groupBy(key).agg(*[x.alias(name) for name, x in merged.items()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,8 +149,10 @@ def _span_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("spans_covering", f"SELECT span_id, count(*) AS n, min(point_id) AS first, max(spot) AS furthest FROM {_SPAN} s JOIN {_AT} p ON p.document_id = s.document_id AND spot BETWEEN low AND high GROUP BY span_id")
 def spans_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p = _span_rows(spark, sf_dir)
-    met = spans.points_in_spans(p, s, ["document_id"], "at", "low", "high")
-    return met.groupBy("span_id").agg(F.count(F.lit(1)).alias("n"), F.min("point_id").alias("first"), F.max("at").alias("furthest"))
+    join = lambda points, wanted: spans.points_in_spans(points, wanted, ["document_id"], "at", "low", "high")
+    totals = {"n": F.count(F.lit(1)), "first": F.min("point_id"), "furthest": F.max("at")}
+    merged = {"n": F.sum("n"), "first": F.min("first"), "furthest": F.max("furthest")}
+    return spans.totals_of(join, p, ["document_id", "at"], totals, s, "span_id", ["document_id", "low", "high"], merged)
 
 
 _ASKED = "(SELECT s_suppkey AS asked_id, s_suppkey % 5 AS document_id, s_suppkey * 13 % 800 AS lo, s_suppkey * 13 % 800 + [5, 200, 100000][s_suppkey % 3 + 1] AS hi FROM supplier)"
@@ -159,16 +163,20 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("asked_id"), (k % 5).alias("document_id"), lo.alias("lo"), (lo + F.element_at(F.array(*[F.lit(v) for v in (5, 200, 100000)]), (k % 3 + 1).cast("int"))).alias("hi"))
 
 
+def _asked_totals(spark: SparkSession, sf_dir: str, joined: Callable[..., DataFrame]) -> DataFrame:
+    join = lambda rows, wanted: joined(rows, wanted, ["document_id"], ("low", "high"), ("lo", "hi"))
+    totals, merged = {"n": F.count(F.lit(1)), "ids": F.sum("span_id")}, {"n": F.sum("n"), "ids": F.sum("ids")}
+    return spans.totals_of(join, _span_rows(spark, sf_dir)[0], ["document_id", "low", "high"], totals, _asked(spark, sf_dir), "asked_id", ["document_id", "lo", "hi"], merged)
+
+
 @query("spans_within", f"SELECT asked_id, count(*) AS n, sum(span_id)::BIGINT AS ids FROM {_ASKED} a JOIN {_SPAN} s ON a.document_id = s.document_id AND low >= lo AND high <= hi GROUP BY asked_id")
 def spans_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = spans.spans_within(_span_rows(spark, sf_dir)[0], _asked(spark, sf_dir), ["document_id"], ("low", "high"), ("lo", "hi"))
-    return met.groupBy("asked_id").agg(F.count(F.lit(1)).alias("n"), F.sum("span_id").alias("ids"))
+    return _asked_totals(spark, sf_dir, spans.spans_within)
 
 
 @query("spans_overlapping", f"SELECT asked_id, count(*) AS n, sum(span_id)::BIGINT AS ids FROM {_ASKED} a JOIN {_SPAN} s ON a.document_id = s.document_id AND low <= hi AND lo <= high GROUP BY asked_id")
 def spans_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = spans.spans_overlapping(_span_rows(spark, sf_dir)[0], _asked(spark, sf_dir), ["document_id"], ("low", "high"), ("lo", "hi"))
-    return met.groupBy("asked_id").agg(F.count(F.lit(1)).alias("n"), F.sum("span_id").alias("ids"))
+    return _asked_totals(spark, sf_dir, spans.spans_overlapping)
 
 
 # ---- coreference ----

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerleaf.operators import links, spans, text
 
@@ -70,3 +71,44 @@ def test_a_wide_span_makes_few_rows(spark):
     points = spark.range(5).selectExpr("1 AS k", "id * 300000 AS at")
     assert spans.points_in_spans(points, one, ["k"], "at", "low", "high").count() == 4
     assert spans.points_in_spans(points, one.limit(0), ["k"], "at", "low", "high").count() == 0
+
+
+def test_totals_of_spans_meet_each_place_once(spark):
+    rng = random.Random(3)
+    points = [(i, rng.randint(0, 1), rng.randint(0, 6)) for i in range(300)]
+    asked = [(i % 150, rng.randint(0, 1), lo := rng.randint(-1, 5), lo + rng.choice([0, 3, 1000])) for i in range(200)]
+    met = []
+
+    def join(a, b):
+        out = spans.points_in_spans(a, b, ["d"], "at", "lo", "hi")
+        met.append(out.count())
+        return out
+
+    p = spark.createDataFrame(points, "id long, d int, at long")
+    totals, merged = {"n": F.count(F.lit(1)), "least": F.min("id"), "ids": F.sum("id")}, {"n": F.sum("n"), "least": F.min("least"), "ids": F.sum("ids")}
+    got = spans.totals_of(join, p, ["d", "at"], totals, spark.createDataFrame(asked, "k long, d int, lo long, hi long"), "k", ["d", "lo", "hi"], merged)
+    want = {}
+    for k, d, lo, hi in asked:
+        want.setdefault(k, []).extend(i for i, e, at in points if e == d and lo <= at <= hi)
+    assert {tuple(r) for r in got.collect()} == {(k, len(x), min(x), sum(x)) for k, x in want.items() if x}
+    assert met[0] <= 2 * 7 * 7 * 3  # places of a document, whatever the points and spans
+
+
+def test_span_queries_do_not_meet_pair_by_pair(spark, tmp_path, monkeypatch):
+    from ledgerleaf.plans import structures
+
+    spark.range(20_000).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(6000).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    pairs, plain = [], spans.points_in_spans
+
+    def counted(*args):
+        out = plain(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(spans, "points_in_spans", counted)
+    assert structures.spans_covering(spark, str(tmp_path)).count() > 0
+    assert structures.spans_within(spark, str(tmp_path)).count() > 0
+    assert structures.spans_overlapping(spark, str(tmp_path)).count() > 0
+    # there are 900 different spans, 5000 places of points and 2400 different spans asked for
+    assert max(pairs) <= 900 * 5000 // 5
