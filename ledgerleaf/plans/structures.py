@@ -230,10 +230,10 @@ _SPOKEN = f"(SELECT doc_id AS id, concat(substr(text, 1, doc_id % 50), ' ', [{',
 
 
 def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, each with a sentence that names something put in near its start."""
-    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    """Whole documents, each with a sentence that names something put in near its start. A null text is empty."""
+    d, k, body = table(spark, sf_dir, "documents"), F.col("doc_id"), F.coalesce("text", F.lit(""))
     said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (k % len(_SAID) + 1).cast("int"))
-    whole = F.concat(F.substring(F.col("text"), F.lit(1), (k % 50).cast("int")), F.lit(" "), said, F.lit(" "), F.col("text"))
+    whole = F.concat(F.substring(body, F.lit(1), (k % 50).cast("int")), F.lit(" "), said, F.lit(" "), body)
     return d.select(k.alias("id"), (k % 30).cast("int").alias("page"), whole.alias("text"))
 
 
