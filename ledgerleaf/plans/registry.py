@@ -712,9 +712,11 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vectors.search(*_vectors(spark, sf_dir), k=5, where=store.payload_filter({"label": [1, 2, 4]})))
 
 
-@query("vector_threshold", f"SELECT query_id, vec_id, score FROM ({_topk_sql(f'{_COS} >= 0.2', None)})")
+@query("vector_threshold", _topk_sql(f"{_COS} >= 0.2", None))
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(vectors.search(*_vectors(spark, sf_dir), k=None, threshold=0.2))
+    """All that reach the threshold, each with its rank among its query's."""
+    found = vectors.search(*_vectors(spark, sf_dir), k=None, threshold=0.2)
+    return rounded(found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))))
 
 
 @query("vector_topk_dot", _topk_sql(k=7, score="list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"))

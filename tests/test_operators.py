@@ -288,3 +288,30 @@ def test_vector_threshold_returns_every_match(spark, tmp_path):
     spark.range(1500).selectExpr("id AS vec_id", "array(1.0f, cast(id % 2 AS float)) AS embedding", "0 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = registry.vector_threshold(spark, str(tmp_path)).groupBy("query_id").count().collect()
     assert {r.query_id: r["count"] for r in got} == {q: 1500 for q in range(0, 1500, 20)}
+
+
+def test_vector_threshold_ranks_every_match(spark, tmp_path):
+    from ledgerleaf.plans import registry
+
+    spark.range(100).selectExpr("id AS vec_id", "array(1.0f, cast(id % 3 AS float)) AS embedding", "0 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in registry.vector_threshold(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {0, 20, 40, 60, 80} and all(sorted(x[0] for x in rows) == [*range(1, len(rows) + 1)] for rows in got.values())
+    assert all(sorted(rows) == sorted(rows, key=lambda x: (-x[2], x[1])) for rows in got.values())
+
+
+def test_numbers_of_a_large_group_come_of_many_tasks(spark):
+    rows = spark.range(20_000, numPartitions=8).selectExpr("if(id % 50 = 0, null, 'one') AS g", "id % 7 AS a", "id AS b")
+    out = text.numbered(rows, "g", ["a", "b"])
+    count, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.a, r.b)):
+        count[r.g] = count.get(r.g, 0) + 1
+        want[r.b] = count[r.g]
+    assert {r.b: r.n for r in out.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which makes one task of little data
+    try:
+        out = text.numbered(rows, "g", ["a", "b"]).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) > 1 and max(r["count"] for r in out) < 15_000
