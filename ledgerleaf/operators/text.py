@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.exprs import amount_cell, stripped
 from ledgerleaf.operators.spans import points_in_spans
+from ledgerleaf.sources.scratch import written
 
 # ---- tables ----
 
@@ -315,11 +318,24 @@ def validated(claims: DataFrame, citations: DataFrame) -> DataFrame:
     return claims.select("claim_id").join(have, "claim_id", "left").select("claim_id", F.col("_h").isNotNull().alias("cited"))
 
 
+def numbered(rows: DataFrame, by: str, order: Sequence[str], n: str = "n") -> DataFrame:
+    """rows with n, their number within their group in order, from 1. Rows are dealt by ranges of group and order, so that a group of any size
+    is many tasks' work; each range's numbers follow those of the ranges before it. Equal rows are of one range."""
+    ranges = rows.repartitionByRange(F.col(by), *[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
+    ranges = written(ranges, "ranges")  # so that the ranges are those that were counted
+    before = ranges.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    ahead = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(F.col(by).alias("_by"), F.col("_range").alias("_at"), F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range", by).orderBy(*order))
+    met = ranges.withColumn("_own", own).join(F.broadcast(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
+    return met.withColumn(n, (F.col("_before") + F.col("_own")).cast("int")).select(*rows.columns, n)
+
+
 def footnotes(citations: DataFrame, by: str) -> DataFrame:
-    """Numbered notes of each group, by section and page."""
-    w = Window.partitionBy(by).orderBy("section", "page", "claim_id")
-    n = F.row_number().over(w)
-    return citation_set(citations).withColumn("n", n).withColumn("note", F.concat(F.lit("[^"), F.col("n"), F.lit("]: ["), F.col("section"), F.lit(", p. "), F.col("page"), F.lit('] — "'), F.substring("snippet", 1, 280), F.lit('"')))
+    """Numbered notes of each group, by section and page. Of snippets only what a note shows is moved."""
+    short = citations.withColumn("snippet", F.substring("snippet", 1, 280))
+    rows = numbered(citation_set(short), by, ["section", "page", "claim_id"])
+    return rows.withColumn("note", F.concat(F.lit("[^"), F.col("n"), F.lit("]: ["), F.col("section"), F.lit(", p. "), F.col("page"), F.lit('] — "'), F.col("snippet"), F.lit('"')))
 
 
 # ---- vectors ----
