@@ -12,24 +12,13 @@ from pyspark.sql import functions as F
 from ledgerleaf.operators.store import content_hash, point_id, upserted
 
 METRICS = ("cosine", "dot", "euclid")
-QUERY_BLOCK, ROW_BLOCK = 256, 4096
+QUERY_BLOCK, ROW_BLOCK, PARTS = 4096, 512, 32  # queries and rows that meet at once; parts of the rows
 
 
-def packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """(size, keys, vectors) blocks of rows whose vectors have equally many components, all finite. A block is made where its rows are read."""
+def sized(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(size, key, vector) of rows whose vectors have a component and finite ones alone."""
     fine = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, block):
-                part = batch.slice(lo, block)
-                size = part.column(2).to_numpy()
-                for n in np.unique(size).tolist():
-                    own = part.filter(pa.array(size == n))
-                    x = np.ascontiguousarray(own.column(1).flatten().to_numpy(zero_copy_only=False), np.float64)
-                    yield pa.record_batch([pa.array([n], pa.int32()), pa.array([own.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["size", "keys", "vectors"])
-
-    return rows.where(fine).select(F.col(key).cast("long"), F.col(vector).cast("array<double>"), F.size(vector)).mapInArrow(run, "size int, keys binary, vectors binary")
+    return rows.where(fine).select(F.size(vector).alias("size"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
 
 
 def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -43,35 +32,99 @@ def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(task, role, keys, vectors) of the runs of equal tasks and roles of sorted rows (task, role, key, vector)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task, role, keys = (batch.column(i).to_numpy() for i in range(3))
+        cuts = [0, *(np.flatnonzero((task[1:] != task[:-1]) | (role[1:] != role[:-1])) + 1).tolist(), len(task)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            x = batch.column(3).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
+            yield int(task[lo]), int(role[lo]), keys[lo:hi], x.reshape(hi - lo, -1)
+
+
+class Best:
+    """The k best of what a block of queries has met, or all that reach a threshold where k is None."""
+
+    def __init__(self, k: int | None, threshold: float | None, metric: str):
+        self.k, self.threshold, self.metric = k, threshold, metric
+        self.asked: list[tuple[np.ndarray, np.ndarray]] = []
+        self.block: tuple[np.ndarray, np.ndarray] | None = None
+        self.at, self.keys, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def ask(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.asked.append((ids.copy(), x.copy()))
+
+    def meet(self, keys: np.ndarray, x: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+        if not self.asked:
+            return
+        if self.block is None:
+            self.block = (np.concatenate([a[0] for a in self.asked]), np.concatenate([a[1] for a in self.asked]))
+            self.least = np.full(len(self.block[0]), -np.inf)
+        s = scores(self.block[1], x, self.metric)
+        fits = ~np.isnan(s) if self.threshold is None else s >= self.threshold
+        if self.k is None:
+            i, j = np.nonzero(fits)
+            yield self._rows(i, keys[j], s[i, j], name)
+            return
+        if self.k < len(keys):
+            # no worse than the k-th of these rows
+            s = np.where(fits, s, -np.inf)
+            fits &= s >= np.partition(s, len(keys) - self.k, axis=1)[:, len(keys) - self.k, None]
+        i, j = np.nonzero(fits & (s >= self.least[:, None]))
+        at, own, score = np.concatenate([self.at, i]), np.concatenate([self.keys, keys[j]]), np.concatenate([self.scores, s[i, j]])
+        order = np.lexsort((own, -score, at))
+        at, own, score = at[order], own[order], score[order]
+        first = np.searchsorted(at, at)
+        keep = np.arange(len(at)) - first < self.k
+        self.at, self.keys, self.scores = at[keep], own[keep], score[keep]
+        n = np.bincount(self.at, minlength=len(self.least))
+        full = n >= self.k
+        self.least[full] = self.scores[np.cumsum(n)[full] - 1]
+
+    def rest(self, name: str) -> Iterator[pa.RecordBatch]:
+        if len(self.at):
+            yield self._rows(self.at, self.keys, self.scores, name)
+
+    def _rows(self, i: np.ndarray, keys: np.ndarray, score: np.ndarray, name: str) -> pa.RecordBatch:
+        assert self.block is not None
+        return pa.record_batch([pa.array(self.block[0][i]), pa.array(keys), pa.array(score)], names=["query_id", name, "score"])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int | None = 10, key: str = "vec_id", where: Column | None = None, threshold: float | None = None, metric: str = "cosine") -> DataFrame:
     """(query_id, key, score, rank): of each of queries (query_id, query_vector) the k best of vectors (key, vector), or without a rank all
     that reach a threshold where k is None. Filters apply before; ties are ranked by key. Vectors of other lengths than a query's, and null or non-finite
-    ones, aren't found. Blocks of queries meet blocks of rows; each meeting passes on the k best of each query."""
+    ones, aren't found. A task holds a block of queries, reads a part of the rows after it, one by one and a few at a time, and passes on the
+    k best of each query."""
     rows = vectors if where is None else vectors.where(where)
-    # blocks of queries are dealt to numbers, and rows' blocks go to each number, dealt apart by a number of their own
-    many, parts = max(1, -(-queries.count() // QUERY_BLOCK)), 16
-    dealt = lambda keys, n: F.pmod(F.xxhash64(keys), F.lit(n)).cast("int")
-    blocks = packed(queries, "query_id", "query_vector", QUERY_BLOCK).select("size", dealt("keys", many).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
-    met = packed(rows, key, "vector", ROW_BLOCK).select("size", "keys", "vectors", dealt("keys", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("n"))
-    met = met.join(blocks, ["size", "n", "part"])
+    # queries are dealt to blocks and rows to parts, by their ids; each block meets each part
+    many = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = lambda n: F.pmod(F.xxhash64("key"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = sized(queries, "query_id", "query_vector").select("*", dealt(many).alias("n"), every(PARTS).alias("part"), F.lit(0).alias("role"))
+    held = sized(rows, key, "vector").select("*", every(many).alias("n"), dealt(PARTS).alias("part"), F.lit(1).alias("role"))
+    task = (F.col("size") * many + F.col("n")) * PARTS + F.col("part")
+    met = asked.unionByName(held).select(task.alias("task"), "role", "key", "vector").repartition("task").sortWithinPartitions("task", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[c], np.float64).reshape(-1, r["size"]) for c in ("q_vectors", "vectors"))
-                ids, keys = np.frombuffer(r["q_keys"], np.int64), np.frombuffer(r["keys"], np.int64)
-                s = scores(a, b, metric)
-                fits = ~np.isnan(s) if threshold is None else s >= threshold
-                i, j = np.nonzero(fits)
-                if k is not None and len(keys) > k:
-                    order = np.lexsort((keys[j], -s[i, j], i))
-                    i, j = i[order], j[order]
-                    first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
-                    place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-                    i, j = i[place < k], j[place < k]
-                yield pa.record_batch([pa.array(ids[i]), pa.array(keys[j]), pa.array(s[i, j])], names=["query_id", key, "score"])
-
-    found = met.select("size", "keys", "vectors", "q_keys", "q_vectors").mapInArrow(run, f"query_id long, `{key}` long, score double")
+        best: Best | None = None
+        last = None
+        for task, role, keys, x in _runs(batches):
+            if task != last:
+                if best is not None:
+                    yield from best.rest(key)
+                best, last = Best(k, threshold, metric), task
+            assert best is not None
+            if role == 0:
+                best.ask(keys, x)
+                continue
+            for lo in range(0, len(keys), ROW_BLOCK):
+                yield from best.meet(keys[lo : lo + ROW_BLOCK], x[lo : lo + ROW_BLOCK], key)
+        if best is not None:
+            yield from best.rest(key)
+
+    found = met.mapInArrow(run, f"query_id long, `{key}` long, score double")
     if k is None:
         return found
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))

@@ -315,3 +315,39 @@ def test_numbers_of_a_large_group_come_of_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(out) > 1 and max(r["count"] for r in out) < 15_000
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_search_in_small_blocks_equals_brute_force(spark, monkeypatch, metric):
+    import numpy as np
+
+    for name, n in (("QUERY_BLOCK", 7), ("ROW_BLOCK", 4), ("PARTS", 3)):
+        monkeypatch.setattr(vectors, name, n)
+    rng = np.random.default_rng(4)
+    x = [[float(v) for v in rng.integers(-2, 3, 3 if i % 10 else 2)] for i in range(120)]
+    x[5], x[6], x[7] = None, [1.0, float("nan"), 0.0], [0.0, 0.0, 0.0]
+    rows = spark.createDataFrame([*enumerate(x)], "vec_id long, vector array<double>")
+    queries = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    fine = [i for i in range(120) if i not in (5, 6)]
+    want = {}
+    for q in (i for i in fine if i % 5 == 0):
+        hits = []
+        for i in fine:
+            if len(x[i]) == len(x[q]):
+                score = vectors.scores(np.array([x[q]]), np.array([x[i]]), metric)[0, 0]
+                if not np.isnan(score):
+                    hits.append((-round(float(score), 9), i))
+        want[q] = [i for _, i in sorted(hits)[:6]], sum(-h[0] >= 0.5 for h in hits)
+    got = {}
+    found = vectors.search(rows, queries, k=6, metric=metric).collect()
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(round(r.score, 6))
+    score = lambda q, i: round(float(vectors.scores(np.array([x[q]]), np.array([x[i]]), metric)[0, 0]), 6)
+    assert {q: v for q, v in got.items()} == {q: [score(q, i) for i in ids] for q, (ids, _) in want.items() if ids}
+    if metric == "dot":  # whole numbers, so that ties are exact
+        ids = {}
+        for r in sorted(found, key=lambda r: r["rank"]):
+            ids.setdefault(r.query_id, []).append(r.vec_id)
+        assert ids == {q: v for q, (v, _) in want.items()}
+        reached = vectors.search(rows, queries, k=None, threshold=0.5, metric=metric).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in reached} == {q: n for q, (_, n) in want.items() if n}
