@@ -33,10 +33,12 @@ def classify_tables(tables: DataFrame) -> DataFrame:
     """tables (table_id, headers, rows) with table_type and confidence: the kind with most of its words in the headers and first five
     rows; full confidence at three tenths of the words; none found: other, 0."""
     text = F.lower(F.concat_ws(" ", F.array_join("headers", " "), F.array_join(F.flatten(F.slice("rows", 1, 5)), " ")))
-    hits = [F.struct(F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))).alias("hits"), F.lit(-i).alias("rank"), F.lit(kind).alias("kind"), F.lit(len(words)).alias("of")) for i, (kind, words) in enumerate(TABLE_WORDS)]
-    best = F.array_max(F.array(*hits))
-    found = best["hits"] > 0
-    return tables.select("table_id", F.when(found, best["kind"]).otherwise("other").alias("table_type"), F.when(found, F.least(F.lit(1.0), best["hits"] / (best["of"] * 0.3))).otherwise(0.0).alias("confidence"))
+    rows = tables.select("table_id", text.alias("_text"))  # made once a table, not once a word
+    held = lambda words: sum((F.contains("_text", F.lit(w)).cast("int") for w in words), F.lit(0))
+    hits = [F.struct(held(words).alias("hits"), F.lit(-i).alias("rank"), F.lit(kind).alias("kind"), F.lit(len(words)).alias("of")) for i, (kind, words) in enumerate(TABLE_WORDS)]
+    rows = rows.select("table_id", F.greatest(*hits).alias("best"))
+    best, found = F.col("best"), F.col("best.hits") > 0
+    return rows.select("table_id", F.when(found, best["kind"]).otherwise("other").alias("table_type"), F.when(found, F.least(F.lit(1.0), best["hits"] / (best["of"] * 0.3))).otherwise(0.0).alias("confidence"))
 
 
 def unit_of(headers: Column, rows: Column, compat: bool = False) -> Column:

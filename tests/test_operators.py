@@ -351,3 +351,11 @@ def test_search_in_small_blocks_equals_brute_force(spark, monkeypatch, metric):
         assert ids == {q: v for q, (v, _) in want.items()}
         reached = vectors.search(rows, queries, k=None, threshold=0.5, metric=metric).groupBy("query_id").count().collect()
         assert {r.query_id: r["count"] for r in reached} == {q: n for q, (_, n) in want.items() if n}
+
+
+def test_a_table_is_lowered_once_not_once_a_word(spark):
+    rows = spark.createDataFrame([(1, ["Total Assets"], [["Equity", None]]), (2, None, None), (3, ["Loan"], [["x"]] * 5 + [["assets liabilities equity"]])], "table_id int, headers array<string>, rows array<array<string>>")
+    out = text.classify_tables(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    got = {r.table_id: (r.table_type, round(r.confidence, 4)) for r in out.collect()}
+    assert got == {1: ("balance_sheet", 0.9091), 2: ("other", 0.0), 3: ("indebtedness", round(1 / 2.1, 4))}
