@@ -194,7 +194,9 @@ def entities(texts: DataFrame) -> DataFrame:
     percentages, fiscal years, days, and, by their honorifics, suffixes or names, persons, companies and regulators."""
     t = F.col("text")
     each = lambda pattern, g, case=False: F.regexp_extract_all(t, F.lit(pattern if case else f"(?i){pattern}"), F.lit(g))
-    zipped = lambda pattern, *groups: F.arrays_zip(*[each(pattern, g).alias(f"g{g}") for g in (0, *groups)])
+    # a text is searched once a pattern; a match's groups are found in the match
+    of = lambda pattern, x, g: x if g == 0 else F.regexp_extract(x, f"(?i){pattern}", g)
+    zipped = lambda pattern, *groups: F.transform(each(pattern, 0), lambda x: F.struct(*[of(pattern, x, g).alias(f"g{g}") for g in (0, *groups)]))
     number = lambda x: F.regexp_replace(x, ",", "").try_cast("double")
 
     def row(kind: str, raw: Column, norm: Column, val: Column, confidence: float) -> Column:

@@ -359,3 +359,18 @@ def test_a_table_is_lowered_once_not_once_a_word(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     got = {r.table_id: (r.table_type, round(r.confidence, 4)) for r in out.collect()}
     assert got == {1: ("balance_sheet", 0.9091), 2: ("other", 0.0), 3: ("indebtedness", round(1 / 2.1, 4))}
+
+
+def test_a_match_groups_are_those_of_its_text(spark):
+    import random
+
+    rng = random.Random(6)
+    parts = ["FY 202345", "fy2023-24", "F.Y. 22", "20-21", "2022-2023", "Rs. 1,250.50", "crores", "cr", "5 to 7", "₹12-₹ 13.5", "lakh", "12/03/2024", "1-2-3456", "31.02.2023", "7.25 %", "é23", "a", "-", "23a", " ", "9"]
+    rows = spark.createDataFrame([(i, "".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(30))) for i in range(200)], "id int, text string")
+    for pattern, groups in ((text.CRORE, 1), (text.LAKH, 1), (text.PRICE_BAND, 2), (text.PERCENTAGE, 1), (text.FISCAL_YEAR, 4), (text.DAY, 3)):
+        for g in range(1, groups + 1):
+            whole = F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(g))
+            apart = F.transform(F.regexp_extract_all("text", F.lit(f"(?i){pattern}"), F.lit(0)), lambda x: F.regexp_extract(x, f"(?i){pattern}", g))  # noqa: B023
+            assert rows.where(whole != apart).isEmpty() and not rows.where(F.size(whole) > 0).isEmpty()
+    plan = text.entities(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(text") == 9  # one search a pattern
