@@ -2,68 +2,130 @@
 
 A block is a piece of text with its box (x0, x1 from the left, y0, y1 from the top). Blocks that overlap vertically make a band; bands of two
 cells or more that follow each other closely make a table; the gaps that run through all of a table's bands below the first part its columns.
-Windows are by page, or by table, so that a task holds a page at a time, however long the document.
+Spark brings the blocks of a page together and in order, once; a task then numbers those of many pages at a time by their coordinates, and
+holds an Arrow batch and a page, however long the document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ["document_id", "page_num"]
 
 
-def bands(blocks: DataFrame, cell_gap: float = 8.0) -> DataFrame:
-    """blocks (document_id, page_num, text, x0, x1, y0, y1) with band, their row of the page from the top, and piece, their place among the
-    band's pieces of text: blocks less than cell_gap apart are one piece. Blocks without text or with an empty or null box are left out."""
-    fine = blocks.where("trim(text) <> '' AND x0 <= x1 AND y0 <= y1").withColumn("text", F.trim("text"))
-    down = Window.partitionBy(*PAGE).orderBy("y0", "y1", "x0", "text")
+def _starts(of: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; the first does."""
+    return np.append(True, of[1:] != of[:-1])[: len(of)]
+
+
+def _reach(of: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The largest end before each row within its group, NaN the largest as in SQL; undefined for a group's first. Groups ascend."""
+    n, order = len(ends), np.argsort(ends, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    best = np.maximum.accumulate(of * n + rank) % max(n, 1)  # a later group's keys are above all of an earlier one's
+    return ends[order[np.append(0, best[:-1])[:n]]]
+
+
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a > b, NaN the largest as in SQL."""
+    return ~(a <= b) & ~np.isnan(b)
+
+
+def _joined(texts: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Texts that follow each other, so many a row, with blanks between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(_offsets(counts), pa.int32()), texts), " ")
+
+
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(counts))
+
+
+def _columns(table: np.ndarray, x0: np.ndarray, x1: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each piece's column and how many gaps each table has: those that its pieces below the header leave, parted in their middles. A piece
+    goes where its own middle is."""
+    along = np.flatnonzero(body)
+    along = along[np.lexsort((x0[along], table[along]))]
+    of, left, reach = table[along], x0[along], _reach(table[along], x1[along])
+    gap = ~_starts(of) & _over(left, reach)
+    edge_table, edge = of[gap], (left[gap] + reach[gap]) / 2
+    edges = np.bincount(edge_table, minlength=table.max(initial=-1) + 1)
+    piece = np.append(np.zeros(len(edge), bool), np.ones(len(table), bool))
+    order = np.lexsort((piece, np.append(edge, (x0 + x1) / 2), np.append(edge_table, table)))  # an edge before a middle upon it
+    passed = np.empty(len(order), np.int64)
+    passed[order] = np.cumsum(~piece[order])
+    return passed[piece] - _offsets(edges)[table], edges
+
+
+def _tables(rows: pa.Table, cell_gap: float, band_gap: float) -> pa.Table:
+    """The tables of whole pages, whose blocks come page by page and from the left."""
+    of = np.cumsum(rows["place"].to_numpy() == 1) - 1
+    x0, x1, y0, y1 = (rows[c].to_numpy() for c in ("x0", "x1", "y0", "y1"))
     # a block that starts below the middle of all before it, as far down as they reach, opens a band
-    low = F.max((F.col("y0") + F.col("y1")) / 2).over(down.rowsBetween(Window.unboundedPreceding, -1))
-    rows = fine.withColumn("_new", F.when(low.isNull() | (F.col("y0") > low), 1).otherwise(0))
-    rows = rows.withColumn("band", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    along = Window.partitionBy(*PAGE, "band").orderBy("x0", "x1", "text")
-    reach = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.when(reach.isNull() | (F.col("x0") - reach >= cell_gap), 1).otherwise(0))
-    return rows.withColumn("piece", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def table_blocks(blocks: DataFrame, cell_gap: float = 8.0, band_gap: float = 1.5) -> DataFrame:
-    """bands' blocks that belong to a table, with table, its number on the page, and line, the band's place in it (0: the header). A band of
-    one piece, or one further below the last than band_gap times the last's height, ends a table; one of a single band is none."""
-    rows = bands(blocks, cell_gap)
-    each = rows.groupBy(*PAGE, "band").agg(F.max("piece").alias("pieces"), F.min("y0").alias("top"), F.max("y1").alias("bottom"))
-    down = Window.partitionBy(*PAGE).orderBy("band")
-    before = F.lag(F.struct("pieces", "top", "bottom")).over(down)
-    far = F.col("top") - before["bottom"] > band_gap * (before["bottom"] - before["top"])
-    each = each.withColumn("_new", F.when(before.isNull() | (before["pieces"] < 2) | far, 1).otherwise(0)).withColumn("_keep", F.col("pieces") >= 2)
-    each = each.withColumn("_run", F.sum(F.when(F.col("_new") == 1, 1).when(~F.col("_keep"), 1).otherwise(0)).over(down.rowsBetween(Window.unboundedPreceding, 0))).where("_keep")
-    run = Window.partitionBy(*PAGE, "_run")
-    each = each.withColumns({"line": F.row_number().over(run.orderBy("band")) - 1, "_n": F.count(F.lit(1)).over(run)}).where("_n > 1")
-    each = each.withColumn("table", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("_run")))
-    return rows.join(each.select(*PAGE, "band", "table", "line"), [*PAGE, "band"])
-
-
-def columns(rows: DataFrame) -> DataFrame:
-    """(document_id, page_num, table, edges): where a table's columns part, the middles of the gaps that all its bands below the header leave."""
-    of = [*PAGE, "table"]
-    # a band's pieces, not its blocks: the words of a cell may leave gaps
-    pieces = rows.where("line > 0").groupBy(*of, "line", "piece").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    along = Window.partitionBy(*of).orderBy("x0", "x1")
-    reach = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    edges = pieces.withColumn("reach", reach).withColumn("edge", F.when(F.col("x0") > F.col("reach"), (F.col("x0") + F.col("reach")) / 2))
-    return edges.groupBy(*of).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    down = np.lexsort((y0, of))
+    low = _reach(of[down], ((y0 + y1) / 2)[down])
+    band = np.empty(len(of), np.int64)
+    band[down] = np.cumsum(_starts(of[down]) | _over(y0[down], low)) - 1
+    along = np.argsort(band, kind="stable")
+    band, x0, x1, y0, y1, of = band[along], x0[along], x1[along], y0[along], y1[along], of[along]
+    # in a band, blocks less than cell_gap apart are one piece of text
+    first = np.flatnonzero(_starts(band) | ~(x0 - _reach(band, x1) < cell_gap))
+    text = _joined(rows["text"].combine_chunks().take(pa.array(along)), np.diff(np.append(first, len(band))))
+    left, right, piece_band, at = x0[first], np.maximum.reduceat(x1, first), band[first], np.flatnonzero(_starts(band))
+    top, bottom, page, pieces = np.fmin.reduceat(y0, at), np.maximum.reduceat(y1, at), of[at], np.bincount(piece_band)
+    # a band of one piece, or one further below the last than band_gap times the last's height, ends a table; one of a single band is none
+    far = _over(top[1:] - bottom[:-1], band_gap * (bottom[:-1] - top[:-1]))
+    run = np.cumsum(_starts(page) | (pieces < 2) | np.append(True, (pieces[:-1] < 2) | far)) - 1
+    inside = (np.bincount(run) > 1)[run]
+    header = _starts(run)[inside]
+    table, line = np.cumsum(header) - 1, np.cumsum(inside) - 1
+    kept = np.flatnonzero(inside[piece_band])
+    line_of = line[piece_band[kept]]
+    column, edges = _columns(table[line_of], left[kept], right[kept], ~header[line_of])
+    # every line has a cell for each of its table's columns
+    cell = _offsets(edges[table] + 1)
+    order = np.lexsort((column, line_of))
+    texts = _joined(text.take(pa.array(kept[order])), np.bincount(cell[line_of] + column, minlength=cell[-1]))
+    lines = pa.ListArray.from_arrays(pa.array(cell, pa.int32()), texts)
+    tables = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(header), len(table)), pa.int32()), lines)
+    on = page[inside][header]
+    new = np.flatnonzero(_starts(on))
+    number = np.arange(len(on)) - np.repeat(new, np.diff(np.append(new, len(on)))) + 1
+    whose = rows.select(PAGE).take(pa.array(np.flatnonzero(rows["place"].to_numpy() == 1)[on]))
+    return whose.append_column("table", pa.array(number, pa.int32())).append_column("cells", tables)
+
+
+def _in_pages(cell_gap: float, band_gap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a page that the next batch may go on with
+        for batch in chain(batches, [None]):
+            starts = np.flatnonzero(batch["place"].to_numpy() == 1) if batch is not None else [0]
+            if len(starts):
+                whole = [b for b in [*held, batch.slice(0, starts[-1]) if batch is not None else None] if b is not None and b.num_rows]
+                if whole:
+                    yield from _tables(pa.Table.from_batches(whole), cell_gap, band_gap).combine_chunks().to_batches()
+                held = [batch.slice(starts[-1])] if batch is not None else []
+            elif batch.num_rows:
+                held.append(batch)
+
+    return run
 
 
 def page_tables(blocks: DataFrame, cell_gap: float = 8.0, band_gap: float = 1.5) -> DataFrame:
     """(document_id, page_num, table, table_id, cells): the tables of pages of blocks, each an array of rows of as many cells as it has
-    columns, the header first; empty where a row has nothing in a column. A piece that spans several columns goes where its middle is; of
-    several in a cell, blanks part them. What text.extracted takes as raw tables."""
-    rows, of = table_blocks(blocks, cell_gap, band_gap), [*PAGE, "table"]
-    pieces = rows.groupBy(*of, "line", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))), lambda b: b["text"]), " ").alias("text"), ((F.min("x0") + F.max("x1")) / 2).alias("middle"), F.min("x0").alias("x0"))
-    placed = pieces.join(columns(rows), of).withColumn("column", F.size(F.filter("edges", lambda e: e <= F.col("middle"))))
-    cells = placed.groupBy(*of, "line", "column", F.size("edges").alias("last")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda b: b["text"]), " ").alias("text"))
-    line = cells.groupBy(*of, "line", "last").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("by"))
-    filled = F.transform(F.sequence(F.lit(0), F.col("last")), lambda c: F.coalesce(F.col("by")[c], F.lit("")))
-    whole = line.select(*of, "line", filled.alias("row")).groupBy(*of).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "row"))), lambda r: r["row"]).alias("cells"))
-    return whole.withColumn("table_id", F.concat_ws("_", F.lit("table"), "document_id", "page_num", "table"))
+    columns, the header first; empty where a row has nothing in a column. Blocks less than cell_gap apart are one piece of text. A piece that
+    spans several columns goes where its middle is; of several in a cell, blanks part them. Blocks without text or with an empty or null box
+    are left out. What text.extracted takes as raw tables."""
+    fine = blocks.where("trim(text) <> '' AND x0 <= x1 AND y0 <= y1").select(*PAGE, F.trim("text").alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")])
+    # a window, so that rows that are together by page are not moved again
+    rows = fine.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("x0", "x1", "text")))
+    kinds = dict(rows.dtypes)
+    found = rows.mapInArrow(_in_pages(cell_gap, band_gap), f"document_id {kinds['document_id']}, page_num {kinds['page_num']}, table int, cells array<array<string>>")
+    return found.withColumn("table_id", F.concat_ws("_", F.lit("table"), "document_id", "page_num", "table"))

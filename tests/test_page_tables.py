@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import page_tables, text, variants
+from ledgerleaf.plans import structures
 
 BLOCK = "document_id int, page_num int, text string, x0 double, x1 double, y0 double, y1 double"
 
@@ -60,6 +61,33 @@ def test_kinds_of_tables_from_blocks(spark):
     assert page_tables.page_tables(spark.createDataFrame([], BLOCK)).count() == 0
 
 
+def test_pages_longer_than_a_batch_and_many_in_one(spark):
+    long = [["Item", "Amount"], *[[f"Line {i}", str(10 * i)] for i in range(1, 60)]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pages = [laid_out(x) for x in (A, long, B, A[:1], long, B)]
+    try:
+        for n in (1, 7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert found(spark, *pages) == {(0, 1): A, (1, 1): long, (2, 1): B, (4, 1): long, (5, 1): B}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_page_without_a_number_keeps_its_table(spark):
+    rows = [(1, None, *b) for b in laid_out(B)]
+    assert [(r.page_num, r.table, r.cells) for r in page_tables.page_tables(spark.createDataFrame(rows, BLOCK)).collect()] == [(None, 1, B)]
+
+
+def test_blocks_in_one_place_come_by_their_text(spark):
+    twice = [("b", 50.0, 55.0, 0.0, 10.0), ("a", 50.0, 55.0, 0.0, 10.0), ("x", 90.0, 95.0, 0.0, 10.0), ("1", 50.0, 55.0, 14.0, 24.0), ("2", 90.0, 95.0, 14.0, 24.0)]
+    assert found(spark, twice, twice[::-1]) == {(p, 1): [["a b", "x"], ["1", "2"]] for p in (0, 1)}
+
+
+def test_orders_lines_are_moved_once(spark):
+    plan = structures.block_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 VALUES = {
     "string": ["a", None, 'q"\n é', ""], "int": [1, None, -5, 0], "double": [0.5, None, -1e9, 0.0], "boolean": [True, None, False, True], "array<string>": [["a", None, "b,"], None, [], ["é"]], "array<int>": [[1, 2], None, [], [0]],
     "array<array<string>>": [[["a"], ["b", "c"]], None, [], [[]]], "map<string, string>": [{"k": "v"}, None, {}, {"é": "1"}],
