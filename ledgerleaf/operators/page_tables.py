@@ -9,7 +9,6 @@ holds an Arrow batch and a page, however long the document.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,20 +63,42 @@ def _columns(table: np.ndarray, x0: np.ndarray, x1: np.ndarray, body: np.ndarray
     return passed[piece] - _offsets(edges)[table], edges
 
 
+def _blocks(rows: pa.Table) -> tuple[np.ndarray, pa.Array, list[np.ndarray]]:
+    """The page of each block of whole pages, counted from 0, its text and its box; those without text or with an empty or null box left out."""
+    parts = rows["blocks"].combine_chunks()
+    of = np.repeat(np.cumsum(_starts(rows["page"].to_numpy())) - 1, pc.fill_null(pc.list_value_length(parts), 0).to_numpy())
+    blocks = parts.flatten()
+    text, *box = (pc.struct_field(blocks, c) for c in ("text", "x0", "x1", "y0", "y1"))
+    text, null = pc.utf8_trim(text, " "), np.any([x.is_null().to_numpy(zero_copy_only=False) for x in box], axis=0)
+    x0, x1, y0, y1 = box = [x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in box]
+    fine = pc.fill_null(pc.not_equal(text, ""), False).to_numpy(zero_copy_only=False) & ~null & ~_over(x0, x1) & ~_over(y0, y1)
+    return of[fine], text.filter(pa.array(fine)), [x[fine] for x in box]
+
+
+def _rightward(band: np.ndarray, x0: np.ndarray, x1: np.ndarray, text: pa.Array) -> np.ndarray:
+    """Blocks in order of band, x0, x1 and text."""
+    along = np.lexsort((x1, x0, band))
+    b, left, right = band[along], x0[along], x1[along]
+    if np.any((b[1:] == b[:-1]) & ~_over(left[1:], left[:-1]) & ~_over(right[1:], right[:-1])):
+        rank = np.empty(len(band), np.int64)
+        rank[pc.sort_indices(text).to_numpy()] = np.arange(len(band))
+        along = np.lexsort((rank, x1, x0, band))
+    return along
+
+
 def _tables(rows: pa.Table, cell_gap: float, band_gap: float) -> pa.Table:
-    """The tables of whole pages, whose blocks come page by page and from the left."""
-    of = np.cumsum(rows["place"].to_numpy() == 1) - 1
-    x0, x1, y0, y1 = (rows[c].to_numpy() for c in ("x0", "x1", "y0", "y1"))
+    """The tables of whole pages, which come page by page."""
+    of, text, (x0, x1, y0, y1) = _blocks(rows)
     # a block that starts below the middle of all before it, as far down as they reach, opens a band
     down = np.lexsort((y0, of))
     low = _reach(of[down], ((y0 + y1) / 2)[down])
     band = np.empty(len(of), np.int64)
     band[down] = np.cumsum(_starts(of[down]) | _over(y0[down], low)) - 1
-    along = np.argsort(band, kind="stable")
+    along = _rightward(band, x0, x1, text)
     band, x0, x1, y0, y1, of = band[along], x0[along], x1[along], y0[along], y1[along], of[along]
     # in a band, blocks less than cell_gap apart are one piece of text
     first = np.flatnonzero(_starts(band) | ~(x0 - _reach(band, x1) < cell_gap))
-    text = _joined(rows["text"].combine_chunks().take(pa.array(along)), np.diff(np.append(first, len(band))))
+    text = _joined(text.take(pa.array(along)), np.diff(np.append(first, len(band))))
     left, right, piece_band, at = x0[first], np.maximum.reduceat(x1, first), band[first], np.flatnonzero(_starts(band))
     top, bottom, page, pieces = np.fmin.reduceat(y0, at), np.maximum.reduceat(y1, at), of[at], np.bincount(piece_band)
     # a band of one piece, or one further below the last than band_gap times the last's height, ends a table; one of a single band is none
@@ -98,34 +119,41 @@ def _tables(rows: pa.Table, cell_gap: float, band_gap: float) -> pa.Table:
     on = page[inside][header]
     new = np.flatnonzero(_starts(on))
     number = np.arange(len(on)) - np.repeat(new, np.diff(np.append(new, len(on)))) + 1
-    whose = rows.select(PAGE).take(pa.array(np.flatnonzero(rows["place"].to_numpy() == 1)[on]))
+    whose = rows.select(PAGE).take(pa.array(np.flatnonzero(_starts(rows["page"].to_numpy()))[on]))
     return whose.append_column("table", pa.array(number, pa.int32())).append_column("cells", tables)
 
 
 def _in_pages(cell_gap: float, band_gap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of a page that the next batch may go on with
-        for batch in chain(batches, [None]):
-            starts = np.flatnonzero(batch["place"].to_numpy() == 1) if batch is not None else [0]
+        for batch in batches:
+            page = batch["page"].to_numpy()
+            last = held[-1]["page"].to_numpy()[-1:] if held else page[:0]
+            starts = np.flatnonzero(_starts(np.append(last, page))[len(last) :])
+            if len(starts) and (whole := [b for b in [*held, batch.slice(0, starts[-1])] if b.num_rows]):
+                yield from _tables(pa.Table.from_batches(whole), cell_gap, band_gap).combine_chunks().to_batches()
             if len(starts):
-                whole = [b for b in [*held, batch.slice(0, starts[-1]) if batch is not None else None] if b is not None and b.num_rows]
-                if whole:
-                    yield from _tables(pa.Table.from_batches(whole), cell_gap, band_gap).combine_chunks().to_batches()
-                held = [batch.slice(starts[-1])] if batch is not None else []
-            elif batch.num_rows:
-                held.append(batch)
+                held, batch = [], batch.slice(starts[-1])
+            held += [batch] if batch.num_rows else []
+        if held:
+            yield from _tables(pa.Table.from_batches(held), cell_gap, band_gap).combine_chunks().to_batches()
 
     return run
 
 
+def tables_of_parts(parts: DataFrame, cell_gap: float = 8.0, band_gap: float = 1.5) -> DataFrame:
+    """page_tables of rows (document_id, page_num, blocks), each with an array of blocks of a page, all of them or some: as sources.pages.read_pages
+    gives them, or a line a row."""
+    # a window, so that rows that are together by page are neither moved nor sorted again; a page is the least number of its rows
+    rows = parts.select(*PAGE, "blocks", F.monotonically_increasing_id().alias("_row")).withColumn("page", F.min("_row").over(Window.partitionBy(*PAGE))).drop("_row")
+    kinds = dict(rows.dtypes)
+    found = rows.mapInArrow(_in_pages(cell_gap, band_gap), f"document_id {kinds['document_id']}, page_num {kinds['page_num']}, table int, cells array<array<string>>")
+    return found.withColumn("table_id", F.concat_ws("_", F.lit("table"), "document_id", "page_num", "table"))
+
+
 def page_tables(blocks: DataFrame, cell_gap: float = 8.0, band_gap: float = 1.5) -> DataFrame:
     """(document_id, page_num, table, table_id, cells): the tables of pages of blocks, each an array of rows of as many cells as it has
     columns, the header first; empty where a row has nothing in a column. Blocks less than cell_gap apart are one piece of text. A piece that
     spans several columns goes where its middle is; of several in a cell, blanks part them. Blocks without text or with an empty or null box
     are left out. What text.extracted takes as raw tables."""
-    fine = blocks.where("trim(text) <> '' AND x0 <= x1 AND y0 <= y1").select(*PAGE, F.trim("text").alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")])
-    # a window, so that rows that are together by page are not moved again
-    rows = fine.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy("x0", "x1", "text")))
-    kinds = dict(rows.dtypes)
-    found = rows.mapInArrow(_in_pages(cell_gap, band_gap), f"document_id {kinds['document_id']}, page_num {kinds['page_num']}, table int, cells array<array<string>>")
-    return found.withColumn("table_id", F.concat_ws("_", F.lit("table"), "document_id", "page_num", "table"))
+    return tables_of_parts(blocks.select(*PAGE, F.array(F.struct("text", "x0", "x1", "y0", "y1")).alias("blocks")), cell_gap, band_gap)

@@ -280,12 +280,12 @@ def block_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(~((F.col("n") > 1) & (F.col("l_partkey") % 3 == 0)), F.col("l_partkey"))
     body = [word(F.col("n"), 0), word(part, 1, 3), word(F.col("l_quantity").cast("int"), 2, 9), word(F.lit("s"), 3), word(F.col("l_suppkey"), 3, 8)]
     titles = [word(F.lit(t), c, shift) for t, c, shift in (("Line", 0, 0), ("Part", 1, 0), ("key", 1, 25), ("Quantity", 2, 0), ("Supplier", 3, 0))] + [F.struct(F.lit("Lines of the order").alias("text"), F.lit(-1.0).alias("x0"))]
-    at = lambda words, y0: F.array(*[F.struct(w["text"].alias("text"), w["x0"].alias("x0"), y.alias("y0")) for w, y in zip(words, y0)])
-    # an order's first line brings the titles and the line of text, so that words stay with their lines
-    body, titles = at(body, [(F.col("n") * 14 + F.col("l_partkey") % 3).cast("double")] * 5), at(titles, [F.lit(0.0)] * 5 + [F.lit(-40.0)])
-    words = lines.select("l_orderkey", F.explode(F.when(F.col("n") == 1, F.concat(titles, body)).otherwise(body)).alias("w")).select("l_orderkey", "w.*").where("text IS NOT NULL")
-    blocks = words.select(F.lit(0).alias("document_id"), F.col("l_orderkey").alias("page_num"), "text", "x0", (F.col("x0") + 5 * F.length("text")).alias("x1"), "y0", (F.col("y0") + 10).alias("y1"))
-    out = page_tables.page_tables(blocks)
+    box = lambda w, y: F.struct(w["text"].alias("text"), w["x0"].alias("x0"), (w["x0"] + 5 * F.length(w["text"])).alias("x1"), y.alias("y0"), (y + 10).alias("y1"))
+    y = (F.col("n") * 14 + F.col("l_partkey") % 3).cast("double")
+    body, titles = [box(w, y) for w in body], [box(w, F.lit(y0)) for w, y0 in zip(titles, [0.0] * 5 + [-40.0])]
+    # a line's words stay together; an order's first brings the titles and the line of text
+    words = F.when(F.col("n") == 1, F.array(*titles, *body)).otherwise(F.array(*body))
+    out = page_tables.tables_of_parts(lines.select(F.lit(0).alias("document_id"), F.col("l_orderkey").alias("page_num"), words.alias("blocks")))
     return out.select("page_num", F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), "\n").alias("cells"))
 
 
