@@ -112,8 +112,8 @@ def _tables(rows: pa.Table, cell_gap: float, band_gap: float) -> pa.Table:
     column, edges = _columns(table[line_of], left[kept], right[kept], ~header[line_of])
     # every line has a cell for each of its table's columns
     cell = _offsets(edges[table] + 1)
-    order = np.lexsort((column, line_of))
-    texts = _joined(text.take(pa.array(kept[order])), np.bincount(cell[line_of] + column, minlength=cell[-1]))
+    place, left, text = cell[line_of] + column, left[kept], text.take(pa.array(kept))
+    texts = _joined(text.take(pa.array(_rightward(place, left, left, text))), np.bincount(place, minlength=cell[-1]))
     lines = pa.ListArray.from_arrays(pa.array(cell, pa.int32()), texts)
     tables = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(header), len(table)), pa.int32()), lines)
     on = page[inside][header]
